@@ -66,3 +66,10 @@ def bitmap_test(keys: DataFrame, key: str):
         return F.element_at(bits, (F.floor(s / 64) + 1).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (s % 64).cast("int"))) != 0
 
     return test
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}

@@ -17,7 +17,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_rows, tokenizer_file
+from .common import byte_letters, text_rows, tokenizer_file
 
 #: The splitting pattern of this vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -27,13 +27,6 @@ CUT = re.compile(f" (?={SAFE})")
 CACHE = 300_000
 
 
-def _byte_letters() -> dict[int, str]:
-    """The printable letter that stands for each byte in byte-level vocabularies."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 class PrefixCounter:
     def __init__(self, path: str):
         import regex
@@ -41,7 +34,7 @@ class PrefixCounter:
 
         self.tok = Tokenizer.from_file(path)
         spec = json.loads(self.tok.to_str())
-        letters = _byte_letters()
+        letters = byte_letters()
         self.letters = "".join(letters[b] for b in range(256))
         back = {c: b for b, c in letters.items()}
         self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, prefix_counts, quality, secrets, simhash, suffix_dedup, token_output
+from . import decontaminate, exact_dedup, fuzzy_lines, mixing, prefix_counts, quality, secrets, simhash, suffix_dedup, token_output
 from .common import documents
 
 
@@ -16,10 +16,18 @@ def op2_simple8b_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(documents(spark, sf_dir))
 
 
+def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(documents(spark, sf_dir))
 
 
+def op5_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.line_groups(documents(spark, sf_dir))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -40,7 +48,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simple8b_output, op4_secret_scan, op6_benchmark_decontamination, op7_simhash_near_dedup, op8_suffix_array_dedup, op9_prefix_token_counts, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simple8b_output, op3_soft_mixing, op4_secret_scan, op5_fuzzy_line_dedup, op6_benchmark_decontamination, op7_simhash_near_dedup, op8_suffix_array_dedup, op9_prefix_token_counts, op10_exact_dedup)}
 
 ORACLES = {
     "op10_exact_dedup": r"""

@@ -9,7 +9,7 @@ shards before it (one number a shard), plus shard_start, plus the lengths before
 from __future__ import annotations
 
 import zlib
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,41 +19,71 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import simple8b
-from .common import scratch_path, text_rows, tokenizer_file
+from .common import byte_letters, scratch_path, text_rows, tokenizer_file
 
 SEGMENT_IDS = 1 << 20
-CACHE = 400_000
+CACHE = 700_000
 SEGMENTS = "shard int, segment int, shard_start long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
+class _Words(dict):
+    """Ids (uint32 bytes) of words; a word that isn't there yet is encoded when it is first looked up."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        got = self[word] = self.encode(word)
+        return got
+
+
 class WordEncoder:
-    """Ids of a text through the tokenizers library, with each distinct ASCII-white-space-free word encoded once.
+    """Ids of a text through the tokenizers library, with each distinct word between ASCII white space encoded once.
 
-    The vocabulary drops white space, so words encode independently; that is checked when the file is loaded.
+    The vocabulary drops white space and lower-cases, so words encode independently and in lower case; that is checked
+    when the file is loaded. Words of Latin letters, with at most one full stop or comma after them, are pieces of the
+    splitting pattern as they stand and go to the library's merge model directly; all others go through the whole library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        if self.ids(["a b", "a\tb"]) != [self.ids(["a"])[0] + self.ids(["b"])[0]] * 2:
-            raise ValueError("this tokenizer keeps white space; words can't be encoded one by one")
-        self.words: dict[bytes, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        letters = byte_letters()
+        self.letters = {b: letters[b] for b in range(256)}
+        if self._whole("a b") != self._whole("a") + self._whole("b") or self._whole("Ab\tB.") != self._whole("ab b ."):
+            raise ValueError("this tokenizer keeps white space or case; words can't be encoded one by one")
+        if [t.id for t in self.tok.model.tokenize("thereof")] != self._whole("thereof"):
+            raise ValueError("this tokenizer's merge model can't be used on single words")
+        self.words = _Words(self._word)
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    @staticmethod
+    def _plain(word: str) -> bool:
+        return word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
+
+    def _word(self, raw: bytes) -> bytes:
+        word = raw.decode()
+        if self._plain(word):
+            ids = [t.id for t in self.tok.model.tokenize(word.lower().encode().decode("latin-1").translate(self.letters))]
+        elif word[-1] in ".," and self._plain(word[:-1]):
+            return self.words[raw[:-1]] + self.words[raw[-1:]]
+        else:
+            ids = self._whole(word)
+        return array("I", ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode().split() for t in texts]
-        words = self.words
-        if len(words) > CACHE:
-            words.clear()
-        new = list({w for w in chain.from_iterable(split) if w not in words})
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            for w, ids in zip(part, self.ids([w.decode() for w in part])):
-                words[w] = np.array(ids, np.uint32).tobytes()
-        return [np.frombuffer(b"".join(map(words.__getitem__, s)), np.uint32) for s in split]
+        if len(self.words) > CACHE:
+            self.words.clear()
+        get, out = self.words.__getitem__, []
+        for text in texts:
+            raw = text.encode()
+            words = (raw if b"<|" in raw else raw.lower()).split()  # special strings count only in their own case
+            out.append(np.frombuffer(b"".join(map(get, words)), np.uint32))
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
