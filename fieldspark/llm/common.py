@@ -51,19 +51,18 @@ BITMAP_BITS = 22
 def bitmap_test(keys: DataFrame, key: str):
     """A test `hash column -> boolean` that is true for every value of keys[key] (and for some others).
 
-    The bitmap has 2^22 bits whatever the number of keys, so the constant it puts in the plan is bounded (65,536 longs);
-    many keys only make it let more rows through. key is a long that is already a hash.
+    The bitmap has 2^22 bits whatever the number of keys, so what the tasks get is bounded (65,536 longs, as the result of
+    a scalar subquery); many keys only make it let more rows through. key is a long that is already a hash.
     """
     slot = lambda c: F.pmod(c, F.lit(1 << BITMAP_BITS))
-    words = keys.select(slot(F.col(key)).alias("s")).groupBy(F.floor(F.col("s") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b"))
-    table = [0] * (1 << (BITMAP_BITS - 6))
-    for r in words.collect():
-        table[r.w] = r.b
-    bits = F.from_json(F.lit(str(table)), "array<bigint>")
+    words = keys.select(slot(F.col(key)).alias("s")).groupBy(F.floor(F.col("s") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b"))
+    dense = keys.sparkSession.range(1 << (BITMAP_BITS - 6)).join(words, F.col("id") == F.col("w"), "left").select("id", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+    table = materialize(dense.agg(F.array_sort(F.collect_list(F.struct("id", "b"))).alias("t")).select(F.transform("t", lambda x: x["b"]).alias("t")), "bitmap")
 
     def test(col):
         s = slot(col)
-        return F.element_at(bits, (F.floor(s / 64) + 1).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (s % 64).cast("int"))) != 0
+        word = F.element_at(table.scalar(), (F.floor(s / 64) + 1).cast("int"))
+        return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (s % 64).cast("int"))) != 0
 
     return test
 
