@@ -1,4 +1,6 @@
 """All registered queries of the library and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import columns, fields, loops, matrices, meshes, spatial, streams  # noqa: F401
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
