@@ -17,6 +17,11 @@ from .ordering import powerset
 from .spatial import Side, balls_meet_boxes, range_join
 
 
+def _part(i: int):
+    """The i-th coordinate, as a function of one argument."""
+    return lambda p: p[i]
+
+
 def check_mesh(vertices: DataFrame, cells: DataFrame) -> DataFrame:
     """(problem, n) of each kind of fault that occurs: empty tables, cells of the wrong size, unknown vertices."""
     dim = vertices.select(F.size("p").alias("d")).agg(F.max("d").alias("d"))
@@ -50,9 +55,9 @@ def box_mesh(spark: SparkSession, lo: list[float], hi: list[float], shape: list[
 
 
 def with_points(simplices: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
-    """Simplices (key, v) with `ps`, the coordinates of their vertices in order."""
+    """Simplices (key, v) with `ps`, the coordinates of their vertices in order; those with unknown vertices are left out."""
     rows = simplices.select(key, "v", F.posexplode("v").alias("_n", "v_id")).join(vertices, "v_id")
-    return rows.groupBy(key, "v").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "p"))), lambda s: s["p"]).alias("ps"))
+    return rows.groupBy(key, "v").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "p"))), lambda s: s["p"]).alias("ps")).where(F.size("ps") == F.size("v"))
 
 
 def affine_maps(simplices: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
@@ -149,13 +154,13 @@ def closest_points(points: DataFrame, vertices: DataFrame, cells: DataFrame, map
     subs, relation = subfaces(faces)
     sub_maps = stored(affine_maps(subs.select(F.array_join(F.transform("subface", lambda x: x.cast("string")), ",").alias("sub"), F.col("subface").alias("v")), vertices, "sub").join(
         with_points(subs.select(F.array_join(F.transform("subface", lambda x: x.cast("string")), ",").alias("sub"), F.col("subface").alias("v")), vertices, "sub").select("sub", "ps"), "sub"))
-    boxes = with_points(faces.select("face_id", F.col("face").alias("v")), vertices, "face_id").select("face_id", F.col("v").alias("face"), *(F.array_min(F.transform("ps", lambda p, i=i: p[i])).alias(f"lo{i}") for i in range(dim)), *(F.array_max(F.transform("ps", lambda p, i=i: p[i])).alias(f"hi{i}") for i in range(dim)))
+    boxes = with_points(faces.select("face_id", F.col("face").alias("v")), vertices, "face_id").select("face_id", F.col("v").alias("face"), *(F.array_min(F.transform("ps", _part(i))).alias(f"lo{i}") for i in range(dim)), *(F.array_max(F.transform("ps", _part(i))).alias(f"hi{i}") for i in range(dim)))
     pairs = balls_meet_boxes(balls, axes, "r", boxes, [f"lo{i}" for i in range(dim)], [f"hi{i}" for i in range(dim)])
     wanted = pairs.select(F.col("l_id").alias("id"), F.col("l_p").alias("p"), F.explode(powerset(F.col("r_face"))).alias("s")).where(F.size("s") > 0)
     wanted = wanted.select("id", "p", F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("sub")).distinct()
     bary = _affine(F.col("a"), F.col("b"), F.col("p"))
     tried = wanted.join(sub_maps, "sub").withColumn("bary", bary).where(F.forall("bary", lambda x: x >= 0))
-    foot = F.array(*(_dot(F.col("bary"), F.transform("ps", lambda p, i=i: p[i])) for i in range(dim)))
+    foot = F.array(*(_dot(F.col("bary"), F.transform("ps", _part(i))) for i in range(dim)))
     tried = tried.withColumn("foot", foot)
     dsq = F.aggregate(F.zip_with("foot", "p", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     best = tried.groupBy("id").agg(F.min_by("foot", F.struct(dsq, F.col("sub"))).alias("q"))

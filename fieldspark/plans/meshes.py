@@ -104,10 +104,10 @@ def msh1_boundary_faces(spark, d):
     return f.select(F.col("face")[0].alias("x"), F.col("face")[1].alias("y"))
 
 
-@query(_TRI + "SELECT x AS a, CAST(NULL AS BIGINT) AS b FROM f UNION SELECT y, NULL FROM f UNION SELECT x, y FROM f")
+@query(_TRI + "SELECT x AS a, CAST(-1 AS BIGINT) AS b FROM f UNION SELECT y, -1 FROM f UNION SELECT x, y FROM f")
 def msh2_subfaces(spark, d):
     s, _ = mesh.subfaces(mesh.boundary_faces(_triangles(spark, d)))
-    return s.select(F.get("subface", F.lit(0)).alias("a"), F.get("subface", F.lit(1)).alias("b"))
+    return s.select(F.get("subface", F.lit(0)).alias("a"), F.coalesce(F.get("subface", F.lit(1)), F.lit(-1).cast("long")).alias("b"))
 
 
 @query(_TRI + "SELECT x AS v_id FROM f UNION SELECT y FROM f")
