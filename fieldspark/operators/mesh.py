@@ -110,9 +110,9 @@ def locate(points: DataFrame, maps: DataFrame, dim: int, key: str = "id", tol: f
     return first.select(key, "m.cell_id", "m.v", "m.bary")
 
 
-def inside(points: DataFrame, maps: DataFrame, dim: int, key: str = "id") -> DataFrame:
-    """points with a boolean column `inside`."""
-    hit = locate(points, maps, dim, key).select(key, F.lit(True).alias("inside"))
+def inside(points: DataFrame, maps: DataFrame, dim: int, key: str = "id", tol: float = 1e-12) -> DataFrame:
+    """points with a boolean column `inside`; tol keeps points on edges between cells inside whatever the rounding."""
+    hit = locate(points, maps, dim, key, tol).select(key, F.lit(True).alias("inside"))
     return points.join(hit, key, "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
@@ -172,9 +172,9 @@ def reflect(points: DataFrame, closest: DataFrame, key: str = "id") -> DataFrame
     return points.join(closest, key).select(key, F.zip_with("p", "q", lambda p, q: p + 2 * (q - p)).alias("p"))
 
 
-def evaluate(points: DataFrame, maps: DataFrame, values: DataFrame, dim: int, key: str = "id", functions: list | None = None) -> DataFrame:
+def evaluate(points: DataFrame, maps: DataFrame, values: DataFrame, dim: int, key: str = "id", functions: list | None = None, tol: float = 1e-12) -> DataFrame:
     """(key, fn_id, value): piecewise linear functions (fn_id, v_id, value) at points; 0 outside the mesh."""
-    weights = locate(points, maps, dim, key).select(key, F.posexplode("v").alias("n", "v_id"), "bary").select(key, "v_id", F.element_at("bary", F.col("n") + 1).alias("w"))
+    weights = locate(points, maps, dim, key, tol).select(key, F.posexplode("v").alias("n", "v_id"), "bary").select(key, "v_id", F.element_at("bary", F.col("n") + 1).alias("w"))
     sums = weights.join(values, "v_id").groupBy(key, "fn_id").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
     ids = functions if functions is not None else [r.fn_id for r in values.select("fn_id").distinct().collect()]
     full = points.select(key, F.explode(F.array(*map(F.lit, ids))).alias("fn_id"))
@@ -191,7 +191,7 @@ def observation_matrix(points: DataFrame, maps: DataFrame, dim: int, key: str =
 
     drop_empty renumbers the columns that occur from 0 in order of their vertex (column `vertex` keeps the old id).
     """
-    w = locate(points, maps, dim, key).select(F.col(key).alias("i"), F.posexplode("v").alias("n", "j"), "bary").select("i", "j", F.element_at("bary", F.col("n") + 1).alias("v"))
+    w = locate(points, maps, dim, key, 1e-12).select(F.col(key).alias("i"), F.posexplode("v").alias("n", "j"), "bary").select("i", "j", F.element_at("bary", F.col("n") + 1).alias("v"))
     if not drop_empty:
         return w
     from .ordering import ranked
@@ -237,7 +237,7 @@ def grid_values(spark: SparkSession, lo, hi, shape, vertices: DataFrame, cells:
     asked = pts.select("id", F.array(*(f"x{d}" for d in range(dim))).alias("p"))
     if reflected:
         asked = reflect(asked, closest_points(asked, vertices, cells, maps, dim))
-    got = locate(asked, maps, dim).select("id", F.posexplode("v").alias("n", "v_id"), "bary").select("id", "v_id", F.element_at("bary", F.col("n") + 1).alias("w"))
+    got = locate(asked, maps, dim, tol=1e-12).select("id", F.posexplode("v").alias("n", "v_id"), "bary").select("id", "v_id", F.element_at("bary", F.col("n") + 1).alias("w"))
     sums = got.join(values, "v_id").groupBy("id").agg(F.sum(F.col("w") * F.col("value")).alias("_v"))
     v = F.coalesce("_v", F.lit(fill))
     out = pts.join(sums, "id", "left").withColumn("v", F.when(mask, v).otherwise(F.lit(mask_fill)) if mask is not None else v)

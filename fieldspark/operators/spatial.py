@@ -62,7 +62,8 @@ def _meet(left: Side, right: Side, width: list[float], on: Column, salt: int, l_
         b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).cast("long"))
         keys.append("_salt")
     once = [F.col(f"_c{i}") == F.floor(F.greatest("l_" + x, "r_" + y) / w) for i, (x, y, w) in enumerate(zip(left.lo, right.lo, width))]
-    return a.join(b, keys).where(reduce(and_, once) & on).drop(*keys)
+    meet = [(F.col("l_" + p) <= F.col("r_" + q)) & (F.col("r_" + r) <= F.col("l_" + t)) for p, q, r, t in zip(left.lo, right.hi, right.lo, left.hi)]
+    return a.join(b, keys).where(reduce(and_, once) & reduce(and_, meet) & on).drop(*keys)
 
 
 def range_join(left: Side, right: Side, on: Column, width: list[float] | None = None, max_cells: int = MAX_CELLS, salt: int = 1) -> DataFrame:

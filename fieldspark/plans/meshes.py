@@ -46,8 +46,7 @@ def loc1_locate(spark, d):
 
 @query(with_views(["pts2"], _P + " SELECT id, x <= 51 AND y <= 1000 AS inside FROM p"))
 def loc2_inside(spark, d):
-    hit = mesh.locate(parts(spark, d), parts_mesh(spark)[2], 2, tol=1e-12).select("id", F.lit(True).alias("inside"))
-    return parts(spark, d).select("id").join(hit, "id", "left").select("id", F.coalesce("inside", F.lit(False)).alias("inside"))
+    return mesh.inside(parts(spark, d), parts_mesh(spark)[2], 2).select("id", "inside")
 
 
 def _values(vertices):
@@ -59,11 +58,8 @@ def _values(vertices):
 @query(with_views(["pts2"], _P + " SELECT id, fn_id, CASE WHEN x > 51 THEN 0 WHEN fn_id = 0 THEN round(x+2*y, 6) ELSE round(3*x-y, 6) END AS value FROM p, (SELECT CAST(unnest(range(2)) AS INT) AS fn_id)"))
 def loc3_evaluate(spark, d):
     vertices, _, maps = parts_mesh(spark)
-    w = mesh.locate(parts(spark, d), maps, 2, tol=1e-9)
-    flat = w.select("id", F.posexplode("v").alias("n", "v_id"), "bary").select("id", "v_id", F.element_at("bary", F.col("n") + 1).alias("w"))
-    sums = flat.join(_values(vertices), "v_id").groupBy("id", "fn_id").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
-    full = parts(spark, d).select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("fn_id"))
-    return full.join(sums, ["id", "fn_id"], "left").select("id", "fn_id", F.round(F.coalesce("value", F.lit(0.0)), 6).alias("value"))
+    got = mesh.evaluate(parts(spark, d), maps, _values(vertices), 2, functions=[0, 1])
+    return got.withColumn("value", F.round("value", 6))
 
 
 @query()

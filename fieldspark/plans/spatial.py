@@ -104,7 +104,7 @@ def jns7_nearest_points(spark, d):
     return knn.nearest(p, p, ["x", "y"], 3)
 
 
-@query(with_views(["vecs"], """, n AS (SELECT a.id AS q, b.id AS id, list_sum(list_transform(list_zip(a.p, b.p), z -> (CAST(z[1] AS DOUBLE)-CAST(z[2] AS DOUBLE))**2)) AS dsq
+@query(with_views(["vecs"], """, n AS (SELECT a.id AS q, b.id AS id, list_distance(CAST(a.p AS DOUBLE[]), CAST(b.p AS DOUBLE[]))**2 AS dsq
     FROM vecs a, vecs b WHERE a.id % 50 = 0) SELECT q, id, round(dsq, 6) AS dsq, CAST(rank AS INT) AS rank FROM
     (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dsq, id) AS rank FROM n) WHERE rank <= 10"""))
 def jns7_nearest_vectors(spark, d):
@@ -141,7 +141,7 @@ def jns11_kernel_values(spark, d):
     return got.select(F.col("l_ball_id").alias("ball_id"), F.col("r_id").alias("id"), F.round("phi", 9).alias("g"), F.round(F.sqrt(1 + 0.25 * F.col("dsq")), 9).alias("m"))
 
 
-@query(with_views(["ell2", "pts2"], "SELECT ell_id, id, round(2*exp(-(x-mx)**2/8.0), 9) AS value FROM ell2 JOIN pts2 ON abs(x-mx) <= 6"))
+@query(with_views(["ell2", "pts2"], "SELECT ell_id, id, round(2*exp(-((x-mx)**2)/8.0), 9) AS value FROM ell2 JOIN pts2 ON abs(x-mx) <= 6"))
 def jns12_gaussian_block(spark, d):
     rows = view(spark, d, "ell2").select("ell_id", F.col("mx").alias("mu"), F.col("sxx").alias("var"), F.lit(2.0).alias("v"))
     got = spatial.gaussian_block(rows, view(spark, d, "pts2").select("id", F.col("x").alias("t")), cut=3.0)
@@ -226,9 +226,9 @@ def win7_ellipsoid_batches(spark, d):
     return clusters.ellipsoid_batches(e, 2.0, max_batches=2)
 
 
-@query(with_views(["pts2"], "SELECT rank AS pos, id - 1 AS idx, TRUE AS bijection FROM (SELECT id, row_number() OVER (ORDER BY y, x, id) - 1 AS rank FROM pts2)"))
+@query(with_views(["pts2"], "SELECT rank AS pos, id AS idx, TRUE AS bijection FROM (SELECT id, row_number() OVER (ORDER BY y, x, id) - 1 AS rank FROM pts2)"))
 def win8_inverse_permutation(spark, d):
-    perm = ordering.ranked(view(spark, d, "pts2"), [F.col("y"), F.col("x"), F.col("id")]).select((F.col("id") - 1).alias("pos"), F.col("rank").alias("idx"))
+    perm = ordering.ranked(view(spark, d, "pts2"), [F.col("y"), F.col("x"), F.col("id")]).select(F.col("id").alias("pos"), F.col("rank").alias("idx"))
     return ordering.invert_permutation(perm).join(F.broadcast(ordering.check_permutation(perm)), F.lit(True))
 
 

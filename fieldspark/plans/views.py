@@ -19,7 +19,7 @@ SQL = {
 }
 #: The time views differ between the dialects only in how they take seconds.
 _GRID = "SELECT CAST(floor({s}/86400) AS BIGINT)-19723 AS i, CAST(floor({s}/3600) AS BIGINT)%24 AS j, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1, 2"
-_SERIES = "SELECT user_id AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, round(value*100) AS y FROM events"
+_SERIES = "SELECT user_id AS series_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS k, round(value*100) AS y FROM events"
 ORACLE = SQL | {"grid2": _GRID.format(s="epoch(ts)"), "series": _SERIES}
 SPARK = SQL | {"grid2": _GRID.format(s="(unix_micros(CAST(ts AS TIMESTAMP))/1000000)"), "series": _SERIES}
 TABLES = {"pts2": "part", "boxes2": "supplier", "balls2": "supplier", "ell2": "supplier", "coo": "lineitem", "batches": "lineitem", "vecs": "embeddings", "grid2": "events", "series": "events"}
