@@ -293,3 +293,10 @@ def local_frames(entities: DataFrame, n: tuple[int, int], tau: float, mu: tuple[
     rows = entities.select("*", F.explode(F.sequence(F.lit(0), F.lit(n[0] - 1))).alias("a")).select("*", F.explode(F.sequence(F.lit(0), F.lit(n[1] - 1))).alias("b"))
     u, w = big * (2 * F.col("a") / (n[0] - 1) - 1), small * (2 * F.col("b") / (n[1] - 1) - 1)
     return rows.withColumns({"x": F.col(mu[0]) + u * F.cos(theta) - w * F.sin(theta), "y": F.col(mu[1]) + u * F.sin(theta) + w * F.cos(theta)})
+
+
+def sample_frames(frames: DataFrame, g: Grid, key: str, volume: str, fill: float = 0.0) -> DataFrame:
+    """(key, a, b, v): the field at the points of local_frames rows, divided by each entity's volume column."""
+    pts = frames.select(F.struct(key, "a", "b").alias("id"), "x", "y")
+    got = interpolate(g, pts, ["x", "y"], fill=fill).select("id.*", "v")
+    return got.join(frames.select(key, "a", "b", volume), [key, "a", "b"]).select(key, "a", "b", (F.col("v") / F.col(volume)).alias("v"))

@@ -150,6 +150,15 @@ def grd14_local_frames(spark, d):
     return got.groupBy("ell_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"))
 
 
+@query()
+def grd14_frame_samples(spark, d):
+    """Part counts on a unit lattice of size by price, sampled in each ellipse's frame and divided by its area."""
+    counts = view(spark, d, "pts2").groupBy(F.floor("x").alias("i"), F.floor(F.col("y") / 10).alias("j")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    g = grid.Grid(counts, (0.0, 0.0), (51.0, 1000.0), (52, 101))
+    e = view(spark, d, "ell2").where("abs(sxy) < 5").withColumn("area", F.sqrt(F.col("sxx") * F.col("syy") - F.col("sxy") * F.col("sxy")) * 3.141592653589793 * 4)
+    return grid.sample_frames(grid.local_frames(e, (5, 3), 2.0), g, "ell_id", "area")
+
+
 @query()
 def grd13_grid_patch(spark, d):
     from ..functions.geometry import in_box

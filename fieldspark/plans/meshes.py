@@ -39,6 +39,15 @@ def src3_check_mesh(spark, d):
     return mesh.check_mesh(vertices, cells)
 
 
+@query(with_views(["pts2"], """SELECT CAST(i*21+j AS BIGINT) AS v_id, i*3.0::DOUBLE AS x, j*50.0::DOUBLE AS y, count(id) AS n FROM (SELECT unnest(range(18)) AS i) CROSS JOIN (SELECT unnest(range(21)) AS j)
+    LEFT JOIN pts2 ON pts2.x = i*3 AND pts2.y = j*50 GROUP BY 1, 2, 3"""))
+def src4_parts_at_vertices(spark, d):
+    """The structured mesh's vertices with the number of parts that lie on each."""
+    vertices, _ = mesh.box_mesh(spark, LO, HI, SHAPE)
+    at = view(spark, d, "pts2").select("x", "y", "id")
+    return vertices.select("v_id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y")).join(at, ["x", "y"], "left").groupBy("v_id", "x", "y").agg(F.count("id").alias("n"))
+
+
 @query(with_views(["pts2"], _P + _CELLS + " SELECT id, CAST(cell_id AS BIGINT) AS cell_id FROM l"))
 def loc1_locate(spark, d):
     return mesh.locate(parts(spark, d), parts_mesh(spark)[2], 2, tol=1e-12).select("id", "cell_id")
