@@ -36,10 +36,11 @@ def nearest(points: DataFrame, queries: DataFrame, axes: list[str], k: int, poin
     if not stats["n"]:
         return found
     spans = [max(float(stats["hi" + a] - stats["lo" + a]), 1e-300) for a in axes]
-    wide = max(spans)
+    wide = max(spans) if max(spans) > 1e-300 else 1.0
     # cells of equal sides that hold about `want` points each
     side = wide * (want / stats["n"] * math.prod(s / wide for s in spans if s > 1e-9 * wide)) ** (1 / d) if stats["n"] > want else wide * 1.01
-    side = max(side, wide / (1 << 20))
+    far = max(abs(float(stats[e + a])) for e in ("lo", "hi") for a in axes)
+    side = max(side, wide / (1 << 20), far / (1 << 40))  # cell numbers stay within longs
     reach = F.greatest(*(F.greatest(F.abs(F.col("_" + a) - float(stats["lo" + a])), F.abs(F.col("_" + a) - float(stats["hi" + a]))) for a in axes), F.lit(0.0)) if d else None
     ring, rounds = 1, 0
     while True:

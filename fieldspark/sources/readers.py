@@ -35,7 +35,7 @@ def image_box(width: int, height: int, y_lo: float, y_hi: float) -> tuple[tuple[
 def raster_text(text: DataFrame, column: str, ny: int) -> DataFrame:
     """(.., i, j, v) from rows whose `column` holds white-space separated numbers of an [nx, ny] raster, y descending."""
     keep = [c for c in text.columns if c != column]
-    rows = text.select(*keep, F.posexplode(F.split(F.trim(column), r"\s+")).alias("_n", "_t"))
+    rows = text.select(*keep, F.posexplode(F.split(F.regexp_replace(column, r"^\s+|\s+$", ""), r"\s+")).alias("_n", "_t"))
     return rows.select(*keep, F.floor(F.col("_n") / ny).alias("i"), (F.lit(ny - 1) - F.col("_n") % ny).cast("long").alias("j"), F.col("_t").cast("double").alias("v"))
 
 
