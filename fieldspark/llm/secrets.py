@@ -40,7 +40,8 @@ def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, random_str
     random = spark.range(random_strings).select(
         F.explode(F.array(F.substring(digest, 1, 40), F.translate(coded, "=", ""), F.concat(F.lit("AKIA"), F.substring(F.upper(F.translate(coded, "+/=", "")), 1, 16)))).alias("sample"), F.lit(1).alias("random")
     )
-    texts = docs.select(F.substring(F.coalesce("text", F.lit("")), 1, 20000).alias("text"), F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(sample_docs)
+    chosen = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # ids only are ranked
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
     lists = texts.select(words.alias("w")).where(F.size("w") > 3)
     places = F.sequence(F.lit(1), F.size("w") - 2)
