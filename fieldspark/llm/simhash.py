@@ -202,8 +202,11 @@ def simhash_components(docs: DataFrame, block: int = BLOCK, small_keys: int = SM
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One row of docs for each component: the one with the smallest doc_id (repeats of it by the smallest text hash)."""
-    kept = simhash_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    out = docs.join(kept, F.expr("_keep <=> doc_id"), "left_semi").withColumn("_text", F.xxhash64("text"))
-    first = out.groupBy("doc_id").agg(F.min("_text").alias("_first"))
-    first = first.withColumnRenamed("doc_id", "_keep")
+    ids = materialize(simhash_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")), "kept-ids")
+    kept = ids.distinct()
+    out = docs.join(kept, F.expr("_keep <=> doc_id"), "left_semi")
+    if ids.count() == kept.count():  # no doc_id repeats among them, so the texts move once
+        return out
+    out = out.withColumn("_text", F.xxhash64("text"))
+    first = out.groupBy("doc_id").agg(F.min("_text").alias("_first")).withColumnRenamed("doc_id", "_keep")
     return out.join(first, F.expr("_keep <=> doc_id and _first = _text"), "left_semi").dropDuplicates(["doc_id"]).drop("_text")
