@@ -1,6 +1,6 @@
 """Removal of repeated 400-byte strings with suffix arrays.
 
-Every window of 400 bytes names one anchor: its 24-byte gram of least hash (the rightmost of equals). Equal windows
+Every window of 400 bytes names one anchor: its 64-byte gram of least hash (the rightmost of equals). Equal windows
 name equal anchors at the same place, so windows are compared only under their anchor. An anchor occurrence owns the run
 of windows that name it; the bytes of that run are its segment. Occurrences of an anchor whose segments are all alike
 repeat as a whole. Different segments of one anchor are sorted in per-shard suffix arrays: Larsson-Sadakane refinement
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from .common import bitmap_test, materialize, text_rows
 
 LENGTH = 400
-GRAM = 24
+GRAM = 64
 PIECE = 1 << 22
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 HOT_SEGMENTS = 2000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 
@@ -38,7 +38,7 @@ def _anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM):
     for at in range(0, max(n, 0), PIECE):
         m = min(PIECE, n - at)
         grams = m + wide - 1
-        words = [np.ndarray(grams, "<u8", raw, at + k, (1,)) for k in (0, 8, 16)]
+        words = [np.ndarray(grams, "<u8", raw, at + k, (1,)) for k in (0, gram // 2 - 4, gram - 8)]  # three words of the gram choose; all of it names
         with np.errstate(over="ignore"):
             h = (words[0] * _MIX[0]) ^ (words[1] * _MIX[1]) ^ (words[2] * _MIX[2])
             h ^= h >> np.uint64(29)
