@@ -169,7 +169,6 @@ def ellipsoid_batches(ellipsoids: DataFrame, tau: float, key: str = "ell_id", mu
         batch += 1
     if not out:
         return ellipsoids.select(key, F.lit(0).alias("batch")).where(F.lit(False))
-    got = out[0]
-    for o in out[1:]:
-        got = got.union(o)
-    return got
+    while len(out) > 1:  # in pairs, so that the plan of many batches stays shallow
+        out = [a.union(b) for a, b in zip(out[::2], out[1::2])] + out[len(out) // 2 * 2 :]
+    return out[0]

@@ -223,7 +223,7 @@ def win6_cluster_members(spark, d):
 @query()
 def win7_ellipsoid_batches(spark, d):
     e = view(spark, d, "ell2").select("ell_id", F.array("mx", "my").alias("mu"), F.array(F.array("sxx", "sxy"), F.array("sxy", "syy")).alias("sigma"))
-    return clusters.ellipsoid_batches(e, 2.0, max_batches=2)
+    return clusters.ellipsoid_batches(e, 2.0)
 
 
 @query(with_views(["pts2"], "SELECT rank AS pos, id AS idx, TRUE AS bijection FROM (SELECT id, row_number() OVER (ORDER BY y, x, id) - 1 AS rank FROM pts2)"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import complexes, curves
 from fieldspark.operators import clusters, geofit, grid, iterate, knn, lowrank, matrix, mesh, ordering
+from fieldspark.plans import registry
 from fieldspark.sources import readers
 
 
@@ -93,6 +94,13 @@ def test_ellipsoids(spark):
     assert {r.ell_id: r.batch for r in clusters.ellipsoid_batches(e, 1.3).collect()} == want
 
 
+def test_ellipsoid_batches_whole(spark, tmp_path):
+    """Suppliers with one centre need a batch each; the registered query gives all of them one."""
+    spark.createDataFrame([(k,) for k in (1, 1001, 2001, 3001, 500)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {r.ell_id: r.batch for r in registry.QUERIES["win7_ellipsoid_batches"](spark, str(tmp_path)).collect()}
+    assert got == {1: 0, 500: 0, 1001: 1, 2001: 2, 3001: 3}
+
+
 def test_cluster_orders(spark):
     rng = np.random.default_rng(4)
     p = rng.normal(size=(200, 2))
