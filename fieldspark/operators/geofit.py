@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
+from .iterate import conjugate_gradient
 from .knn import nearest
 from .lowrank import gram, times
+from .matrix import apply
 from .spatial import kernel_values
 
 
@@ -95,6 +97,39 @@ def rbf_weights(centres: np.ndarray, values: np.ndarray, kind: str = "gaussian",
     return np.linalg.solve(phi, values)
 
 
+def rbf_solve(centres: DataFrame, axes: list[str], radius: float, shape: float = 1.0, key: str = "id", value: str = "v", most: int = 1024, tol: float = 1e-10, max_iter: int = 500) -> DataFrame:
+    """(key, axes, w): weights of the Gaussian interpolant, cut at `radius`, through any number of distinct centres.
+
+    Conjugate gradients on the table of kernel values. The preconditioner sums solves in cells twice as wide as the
+    radius that overlap by half of it; cells of over `most` centres are dealt into parts. Without convergence it raises.
+    """
+    c = stored(centres.select(F.col(key).alias("id"), *axes, F.col(value).cast("double").alias("v")))
+    at = c.select("id", *axes)
+    phi = stored(kernel_values(at, at, axes, radius, "gaussian", shape).select(F.col("l_id").alias("i"), F.col("r_id").alias("j"), F.col("phi").alias("v")))
+    cells = at
+    for a in axes:
+        low, high = (F.floor((F.col(a) + s * radius / 2) / (2 * radius)) for s in (-1, 1))
+        cells = cells.withColumn("_c" + a, F.explode(F.sequence(low, high)))
+    cell = ["_c" + a for a in axes]
+    parts = cells.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).alias("_n"))
+    held = stored(cells.join(parts, cell).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_n"))).drop("_n"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf[axes].to_numpy(float)
+        d = ((p[:, None] - p[None]) ** 2).sum(2)
+        m = np.where(d <= radius**2, np.exp(-d / (2 * shape**2)), 0.0)
+        return pd.DataFrame({"i": pdf["id"], "v": np.linalg.solve(m, pdf["v"].to_numpy(float))})
+
+    def local(r: DataFrame) -> DataFrame:
+        z = held.join(r.withColumnRenamed("i", "id"), "id").groupBy(*cell, "_part").applyInPandas(solve, "i long, v double")
+        return stored(z.groupBy("i").agg(F.sum("v").alias("v")))
+
+    w, history, code = conjugate_gradient(lambda x: apply(phi, x), c.select(F.col("id").alias("i"), "v"), tol, max_iter, precondition=local)
+    if code:
+        raise RuntimeError(f"no convergence: code {code}, residual {history[-1]['residual']:.3g}")
+    return at.join(w.select(F.col("i").alias("id"), F.col("v").alias("w")), "id").withColumnRenamed("id", key)
+
+
 def rbf_shape(centres: np.ndarray, target: float, kind: str = "gaussian", steps: int = 40) -> float:
     """Shape parameter whose interpolation matrix has about the target condition number."""
     d = ((centres[:, None] - centres[None]) ** 2).sum(2)

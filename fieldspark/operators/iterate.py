@@ -30,20 +30,23 @@ def combine(*terms: tuple[float, DataFrame]) -> DataFrame:
     return out.groupBy("i").agg(F.sum("v").alias("v"))
 
 
-def conjugate_gradient(apply, b: DataFrame, tol: float = 1e-8, max_iter: int = 200, diagonal: DataFrame | None = None, known: DataFrame | None = None, x0: DataFrame | None = None, callback=None) -> tuple[DataFrame, list[dict], int]:
+def conjugate_gradient(apply, b: DataFrame, tol: float = 1e-8, max_iter: int = 200, diagonal: DataFrame | None = None, known: DataFrame | None = None, x0: DataFrame | None = None, callback=None, precondition=None) -> tuple[DataFrame, list[dict], int]:
     """x, history (iteration, residual, error) and a code: 0 converged, k > 0 stopped after k steps, -1 breakdown.
 
-    residual is ||A x - b|| / ||b||; error the relative error against `known`. diagonal: (i, v) of the preconditioner.
+    residual is ||A x - b|| / ||b||; error the relative error against `known`. diagonal: (i, v) of the preconditioner, or
+    precondition: a function r -> z that applies a symmetric one.
     """
     size = norm(b)
     x = x0 if x0 is not None else b.select("i", F.lit(0.0).alias("v"))
     r = stored(combine((1.0, b), (-1.0, apply(x)))) if x0 is not None else b
     history: list[dict] = []
 
-    def precondition(r: DataFrame) -> DataFrame:
+    def scale(r: DataFrame) -> DataFrame:
+        if precondition is not None:
+            return precondition(r)
         return r if diagonal is None else r.join(diagonal.withColumnRenamed("v", "d"), "i").select("i", (F.col("v") / F.col("d")).alias("v"))
 
-    z = precondition(r)
+    z = scale(r)
     p, rz = stored(z), dot(r, z)
     far = norm(known) if known is not None else 0.0
     for k in range(max_iter + 1):
@@ -61,7 +64,7 @@ def conjugate_gradient(apply, b: DataFrame, tol: float = 1e-8, max_iter: int = 2
             return x, history, -1
         alpha = rz / curve
         x, r = stored(combine((1.0, x), (alpha, p))), stored(combine((1.0, r), (-alpha, ap)))
-        z = precondition(r)
+        z = scale(r)
         new = dot(r, z)
         p, rz = stored(combine((1.0, z), (new / rz, p))), new
     return x, history, max_iter

@@ -219,9 +219,6 @@ def geo3_transfer_matrices(spark, d):
 
 @query()
 def geo4_radial_functions(spark, d):
-    centres = view(spark, d, "balls2").select(F.col("ball_id").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y")).where("id <= 50").orderBy("id")
-    rows = centres.collect()
-    at = np.array([(r.x, r.y) for r in rows])
-    w = geofit.rbf_weights(at, at[:, 0], shape=6.0)
-    held = spark.createDataFrame([(r.id, r.x, r.y, float(v)) for r, v in zip(rows, w)], "id long, x double, y double, w double")
+    centres = view(spark, d, "balls2").groupBy(F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.min("ball_id").alias("id")).withColumn("v", F.col("x"))
+    held = geofit.rbf_solve(centres, ["x", "y"], 40.0, shape=6.0)
     return geofit.rbf_evaluate(view(spark, d, "pts2"), held, ["x", "y"], 40.0, shape=6.0)

@@ -101,6 +101,24 @@ def test_ellipsoid_batches_whole(spark, tmp_path):
     assert got == {1: 0, 500: 0, 1001: 1, 2001: 2, 3001: 3}
 
 
+def test_radial_functions_whole(spark, tmp_path):
+    """The registered query interpolates through all suppliers' places, repeated ones once."""
+    spark.createDataFrame([(k,) for k in [*range(1, 151), 1001, 1060]], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    parts = [(k, k * 13 % 50, 900 + (k * 37 % 1000) / 10) for k in range(1, 200)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    c = np.array([(k * 7 % 50, k * 131 % 1000) for k in range(1, 151)], float)
+    p = np.array([(x, round(v * 10) - 9000) for _, x, v in parts], float)
+
+    def phi(a, b):
+        d = ((a[:, None] - b[None]) ** 2).sum(2)
+        return np.where(d <= 1600, np.exp(-d / 72), 0.0)
+
+    want = phi(p, c) @ np.linalg.solve(phi(c, c), c[:, 0])
+    got = {r.id: r.value for r in registry.QUERIES["geo4_radial_functions"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {k for (k, _, _), near in zip(parts, phi(p, c)) if near.any()}
+    assert all(abs(got[k] - want[k - 1]) < 1e-6 for k in got)
+
+
 def test_cluster_orders(spark):
     rng = np.random.default_rng(4)
     p = rng.normal(size=(200, 2))
