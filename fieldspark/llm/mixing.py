@@ -10,6 +10,7 @@ history: every step is one aggregation over the small table of (tokens, posterio
 from __future__ import annotations
 
 import json
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,6 @@ from .common import materialize
 
 MAX_LABELLED = 4000
 VOCABULARY = 8192
-MAX_DOMAINS = 16
 EVIDENCE = 4.0  # words of evidence a posterior may rest on; more are averaged down, which keeps memberships soft
 STEPS = 40
 TOLERANCE = 1e-6
@@ -30,36 +30,45 @@ def _words(text: Column) -> Column:
     return F.split(F.trim(F.lower(F.coalesce(text, F.lit("")))), r"\s+")
 
 
-def domain_model(docs: DataFrame, labels: DataFrame, domain: str = "lang", max_labelled: int = MAX_LABELLED, vocabulary: int = VOCABULARY) -> tuple[list[str], list[float], DataFrame]:
-    """Domains, log priors and the table (word, ll) of log probabilities by domain; add-one smoothing.
+def domain_model(docs: DataFrame, labels: DataFrame, domain: str = "lang", max_labelled: int = MAX_LABELLED, vocabulary: int = VOCABULARY) -> tuple[list[str], list[tuple[float, float]], DataFrame]:
+    """Domains, their (log prior, log size) and the table (word, entries) of log counts by domain; add-one smoothing.
 
-    The sample is the max_labelled labelled ids of least hash; rows with a null id or domain teach nothing. The
-    MAX_DOMAINS most frequent domains of the sample count.
+    The sample is the max_labelled labelled ids of least hash; rows with a null id or domain teach nothing. All domains
+    of the sample count. entries holds (d, log(n + 1)) for the domains that have the word, and (-1, 1) for the word
+    itself; the log probability of a word in a domain is its log count, or zero, less the log size.
     """
     chosen = labels.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     taught = docs.where(F.col(domain).isNotNull()).select("doc_id", F.col(domain).cast("string").alias("domain"), "text").join(F.broadcast(chosen), "doc_id")
     counts = materialize(taught.select("domain", F.explode(_words(F.col("text"))).alias("word")).where("word <> ''").groupBy("domain", "word").agg(F.count(F.lit(1)).alias("n")), "domain-words")
-    shares = {r.domain: r.n for r in taught.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "domain").limit(MAX_DOMAINS).collect()}
+    shares = {r.domain: r.n for r in taught.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(shares)
     if not names:
-        return [], [], docs.sparkSession.createDataFrame([], "word string, ll array<double>")
-    wide = counts.groupBy("word").agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)).alias(f"n{i}") for i, d in enumerate(names)))
-    top = materialize(wide.orderBy(F.desc("n"), "word").limit(vocabulary), "domain-vocabulary")
-    totals = top.agg(F.count(F.lit(1)).alias("v"), *(F.sum(f"n{i}").alias(f"t{i}") for i in range(len(names)))).first()
-    ll = [F.log((F.col(f"n{i}") + 1.0) / float((totals[f"t{i}"] or 0) + totals["v"])) for i in range(len(names))]
+        return [], [], docs.sparkSession.createDataFrame([], "word string, entries array<struct<d:int,l:double>>")
+    top = counts.groupBy("word").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "word").limit(vocabulary).select("word")
+    place = (F.array_position(F.array(*map(F.lit, names)), F.col("domain")) - 1).cast("int")
+    known = materialize(counts.join(F.broadcast(top), "word").select("word", place.alias("d"), "n"), "domain-vocabulary")
+    totals = {r.d: r.n for r in known.groupBy("d").agg(F.sum("n").alias("n")).collect()}
+    v = known.select("word").distinct().count()
     prior = np.log(np.array([shares[d] for d in names]) / sum(shares.values()))
-    return names, prior.tolist(), top.select("word", F.array(*ll).alias("ll"))
+    size = [math.log(max(totals.get(i, 0) + v, 1)) for i in range(len(names))]
+    entry = F.struct("d", F.log(F.col("n") + 1.0).alias("l"))
+    itself = F.array(F.struct(F.lit(-1).alias("d"), F.lit(1.0).alias("l")))
+    return names, list(zip(prior.tolist(), size)), known.groupBy("word").agg(F.concat(itself, F.collect_list(entry)).alias("entries"))
 
 
 def memberships(docs: DataFrame, labels: DataFrame, domain: str = "lang", keep: list[str] | None = None, **model) -> tuple[list[str], DataFrame]:
     """Domains and the table (kept columns, n_tokens, p): words between white space, and the posterior array."""
     names, prior, words = domain_model(docs, labels, domain, **model)
     keep = keep or ["doc_id"]
-    tagged = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), _words(F.col("text")).alias("words")).select(*keep, "_row", F.explode("words").alias("word"))
-    scored = tagged.join(F.broadcast(words), "word", "left")  # at most `vocabulary` words
-    sums = scored.groupBy(*keep, "_row").agg(F.count_if(F.col("word") != "").alias("n_tokens"), *(F.sum(F.element_at("ll", i + 1)).alias(f"s{i}") for i in range(len(names))))
+    key = [*keep, "_row", "n_tokens"]
+    tagged = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), F.array_remove(_words(F.col("text")), "").alias("words")).select(*keep, "_row", F.size("words").cast("long").alias("n_tokens"), F.explode_outer("words").alias("word"))
+    scored = tagged.join(F.broadcast(words), "word", "left").select(*key, F.explode_outer("entries").alias("e"))  # at most `vocabulary` words
+    sums = scored.groupBy(*key, F.col("e.d").alias("d")).agg(F.sum("e.l").alias("s"))
+    sums = sums.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.when(F.col("d").isNotNull(), F.struct("d", "s")))).alias("m"))
     scale = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.col("n_tokens"), F.lit(1)))
-    logits = F.array(*(F.lit(prior[i]) + F.coalesce(F.col(f"s{i}"), F.lit(0.0)) * scale for i in range(len(names)))) if names else F.array(F.lit(0.0))
+    got = lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))
+    base = F.from_json(F.lit(json.dumps([{"i": i, "prior": a, "size": b} for i, (a, b) in enumerate(prior)])), "array<struct<i:int,prior:double,size:double>>")
+    logits = F.transform(base, lambda b: b["prior"] + (got(b["i"]) - got(F.lit(-1)) * b["size"]) * scale) if names else F.array(F.lit(0.0))
     sums = sums.select(*keep, "n_tokens", logits.alias("z")).withColumn("e", F.transform("z", lambda x: F.exp(x - F.array_max("z"))))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
     return names or ["unknown"], sums.select(*keep, "n_tokens", F.transform("e", lambda x: x / total).alias("p"))
@@ -72,11 +81,19 @@ def _rate(history: list[list[float]]) -> Column:
     steps = F.from_json(F.lit(json.dumps(history)), "array<array<double>>")
 
     def dot(y: Column) -> Column:
-        return sum((F.element_at("p", i + 1) * F.element_at(y, i + 1) for i in range(len(history[0]))), F.lit(0.0))
+        return F.aggregate(F.zip_with("p", y, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
     return F.aggregate(steps, F.lit(1.0), lambda r, y: F.greatest(F.lit(0.0), r - dot(y)))
 
 
+def _totals(members: DataFrame, weight: Column, d: int) -> np.ndarray:
+    """sum of weight * p by domain, one row a domain."""
+    out = np.zeros(d)
+    for r in members.select(weight.alias("w"), F.posexplode("p").alias("i", "x")).groupBy("i").agg(F.sum(F.col("w") * F.col("x")).alias("v")).collect():
+        out[r.i] = r.v or 0.0
+    return out
+
+
 def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
     """Steps of the projected gradient on the least squares of expected shares against targets.
 
@@ -84,17 +101,17 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tole
     of one is safe. members: a stored table (n_tokens, p).
     """
     d = len(targets)
-    p = [F.element_at("p", i + 1) for i in range(d)]
-    gram = members.agg(F.sum("n_tokens").alias("t"), *(F.sum(F.col("n_tokens") * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i + 1))).first()
-    total = float(gram["t"] or 0)
+    total = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
     if not total:
         return []
-    m = np.array([[gram[f"g{max(i, j)}_{min(i, j)}"] for j in range(d)] for i in range(d)]) / total
+    pairs = members.select("p", F.posexplode("p").alias("i", "x"), "n_tokens").select("i", (F.col("n_tokens") * F.col("x")).alias("w"), F.posexplode("p").alias("j", "y")).where("j <= i")
+    m = np.zeros((d, d))
+    for r in pairs.groupBy("i", "j").agg(F.sum(F.col("w") * F.col("y")).alias("v")).collect():
+        m[r.i, r.j] = m[r.j, r.i] = r.v / total
     whiten = np.linalg.pinv(m, rcond=1e-9)
     history: list[list[float]] = []
     for _ in range(steps):
-        row = members.select("n_tokens", "p", _rate(history).alias("r")).agg(*(F.sum(F.col("n_tokens") * F.col("r") * p[i]) for i in range(d))).first()
-        residual = np.array(row, float) / total - targets
+        residual = _totals(members, F.col("n_tokens") * _rate(history), d) / total - targets
         if np.abs(residual).max() <= tolerance:
             break
         history.append((whiten @ residual).tolist())
@@ -102,11 +119,16 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tole
 
 
 def targets_for(names: list[str], members: DataFrame, weights: dict[str, float] | None, alpha: float = ALPHA) -> list[float]:
-    """Target shares: the given weights, or the expected shares raised to alpha; both scaled to sum to one."""
+    """Target shares: the given weights, or the expected shares raised to alpha; both scaled to sum to one.
+
+    Weights for domains that the model does not know raise a ValueError, unless there are no documents.
+    """
     if weights is None:
-        row = members.agg(*(F.sum(F.col("n_tokens") * F.element_at("p", i + 1)) for i in range(len(names)))).first()
-        raw = np.array([x or 0.0 for x in row], float) ** alpha
+        raw = _totals(members, F.col("n_tokens"), len(names)) ** alpha
     else:
+        unknown = sorted(set(weights) - set(names))
+        if unknown and not members.isEmpty():
+            raise ValueError(f"target weights for unknown domains: {', '.join(unknown)}")
         raw = np.array([weights.get(n, 0.0) for n in names], float)
     return (raw / raw.sum()).tolist() if raw.sum() else [1 / len(names)] * len(names)
 

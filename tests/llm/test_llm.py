@@ -322,3 +322,19 @@ def test_mixing(spark):
     hard = mixing.mixture(docs, labels, weights={"a": 0, "b": 0, "c": 1}).collect()  # bound rates at zero
     assert min(r.rate for r in hard) == 0.0
     assert mixing.mix(docs, labels).columns == docs.columns
+
+
+def test_mixing_many_domains(spark):
+    """All domains of the sample are known, met and named, and weights of other domains raise."""
+    rng = random.Random(6)
+    names = [f"d{k:02}" for k in range(20)]
+    rows = [(i, " ".join(f"{names[i % 20]}w{rng.randrange(9)}" for _ in range(12)), names[i % 20]) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    weights = {n: 1.0 + k % 2 for k, n in enumerate(names)}
+    got = mixing.mixture(docs, labels, weights=weights).collect()
+    assert all(r.domain == names[r.doc_id % 20] and len(r.posterior) == 20 for r in got) and len(got) == 100
+    p, n, rate = np.array([r.posterior for r in got]), np.array([r.n_tokens for r in got]), np.array([r.rate for r in got])
+    assert np.allclose((p * (n * rate)[:, None]).sum(0) / n.sum(), np.array(list(weights.values())) / 30, atol=1e-4)
+    with pytest.raises(ValueError, match="d99"):
+        mixing.mixture(docs, labels, weights=weights | {"d99": 1.0})
