@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-A line's shingles are its runs of up to nine characters that begin at each word and at every eighth character of a long
-word, so every character is in one and an inserted word shifts nothing else. Signatures are ROWS x BANDS minima of the
+A line's shingles are its runs of nine characters at every position (a shorter line is one shingle), so an inserted
+character changes only the runs that hold it. Signatures are ROWS x BANDS minima of the
 64-bit shingle hashes under XOR permutations. Lines that agree in a band are candidates; their exact Jaccard similarity
 of shingle sets decides. Within a band's bucket each line is compared with the bucket's least line; buckets whose lines
 then still lie in different components are finished by comparing across those components only, so that no link among
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import bitmap_test, materialize, text_rows
 from .components import components
 
-SHINGLES = r"(?s)(?=(.{1,9}))(?:\S{1,8}\s*|\s+)"
+SHINGLES = r"(?s)(?=(.{9}|\A.{1,8}\z))."
 ROWS = 4
 BANDS = 9
 SIMILARITY = 0.8
@@ -61,12 +61,18 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     return signed.select("lk", "lk2", "doc", "line", "n", F.array(*keys).alias("keys"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity is high enough."""
-    x = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    y = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(x, "a").join(y, "b").where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+def _hashes(line: Column) -> Column:
+    return F.array_distinct(F.transform(shingles(line), lambda s: F.xxhash64(s)))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose exact Jaccard similarity is high enough; the sets, eight times the text, are never stored."""
+    x = texts.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("k").alias("ka"))
+    y = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("k").alias("kb"))
+    could = F.least("ka", "kb") >= F.lit(similarity) * F.greatest("ka", "kb")
+    both = F.size(F.array_intersect(_hashes(F.col("la")), _hashes(F.col("lb"))))
+    met = pairs.join(x, "a").join(y, "b").where(could).select("a", "b", (F.col("ka") + F.col("kb")).alias("k"), both.alias("both"))
+    return met.where(F.col("both") >= F.lit(similarity) * (F.col("k") - F.col("both"))).select("a", "b")
 
 
 def line_components(docs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -80,8 +86,8 @@ def line_components(docs: DataFrame, signed: DataFrame, similarity: float = SIMI
     wanted = materialize(members.select("id.lk", "id.lk2").distinct(), "line-candidates")
     near = _hashed(docs).where(bitmap_test(wanted, "lk")(F.col("lk"))).groupBy("lk", "lk2").agg(F.first("line").alias("line"))
     near = near.join(wanted, ["lk", "lk2"], "left_semi")
-    sets = materialize(near.select(F.struct("lk", "lk2").alias("id"), F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("s")), "shingle-sets")
-    links = materialize(_verified(pairs, sets, similarity), "line-links")
+    texts = materialize(near.select(F.struct("lk", "lk2").alias("id"), "line", F.size(_hashes(F.col("line"))).alias("k")), "line-texts")
+    links = materialize(_verified(pairs, texts, similarity), "line-links")
     comp = components(links)
     # Buckets that still hold lines of different components: compare across them, from all but the largest component.
     placed = members.join(comp, members["id"] == comp["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c"))
@@ -91,7 +97,7 @@ def line_components(docs: DataFrame, signed: DataFrame, similarity: float = SIMI
     strays = placed.join(mixed.withColumnRenamed("c", "top"), "key").where("c <> top").select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
     inside = placed.join(mixed.select("key"), "key", "left_semi")
     across = strays.join(inside, "key").where("c <> ca").select(F.greatest("a", "id").alias("a"), F.least("a", "id").alias("b")).distinct()
-    more = _verified(across.join(pairs, ["a", "b"], "left_anti"), sets, similarity)
+    more = _verified(across.join(pairs, ["a", "b"], "left_anti"), texts, similarity)
     return components(links.union(materialize(more, "line-links")))
 
 

@@ -306,6 +306,22 @@ def test_fuzzy_lines(spark):
     assert out[50] is None and out[51] == "" and out[52] == "z" * 9000
 
 
+def test_fuzzy_lines_without_spaces(spark):
+    """One character inserted or removed near the front of an unspaced line, against sets of all positions."""
+    rng = random.Random(12)
+    lines = []
+    for letters in ("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/", "".join(map(chr, range(0x4E00, 0x4F00)))):
+        for _ in range(8):
+            line = "".join(rng.choice(letters) for _ in range(120))
+            lines += [line, line[:3] + "x" + line[3:], line[:2] + line[3:], line[:60] + "".join(rng.choice(letters) for _ in range(60))]
+    lines += ["short", "shorT", "日本"]
+    sets = [{x[k : k + 9] for k in range(max(1, len(x) - 8))} for x in lines]
+    root = union_find(len(lines), [(i, j) for i in range(len(lines)) for j in range(i) if _jaccard(sets[i], sets[j]) >= 0.8])
+    assert len(set(map(lambda i: root[i], range(len(lines))))) == 35
+    got = {r.line_no: r.keep_line_no for r in fuzzy_lines.line_groups(table(spark, [(1, "\n".join(lines))])).collect()}
+    assert got == {i: root[i] for i in range(len(lines))}
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     vocab = {"a": [f"al{k}" for k in range(50)], "b": [f"be{k}" for k in range(50)], "c": [f"ce{k}" for k in range(50)]}
