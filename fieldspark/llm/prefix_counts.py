@@ -4,7 +4,8 @@ For byte-level BPE whose tokens encode to themselves, the encoding of a prefix i
 plus one last token, and that token is valid exactly if it and the token before it encode to just those two. So one
 pass over a piece gives the exact token count at each of its prefixes. Texts are cut into units at spaces before a
 printable ASCII or Latin letter, where the vocabulary's own splitting pattern always cuts; counts of units add up,
-which gives the exact count at every prefix of a text without encoding it again.
+which gives the exact count at every prefix of a text without encoding it again. Counts of words already met are kept
+in a bounded table, of which the older half goes when it is full.
 """
 
 from __future__ import annotations
@@ -12,19 +13,43 @@ from __future__ import annotations
 import json
 import re
 from bisect import bisect_right
-from itertools import accumulate
+from itertools import accumulate, chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import byte_letters, text_rows, tokenizer_file
+from .common import byte_letters, slices, text_rows, tokenizer_file
 
 #: The splitting pattern of this vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SAFE = "[!-~À-ɏ]"
 UNSAFE_SPACE = re.compile(f" (?!{SAFE})")
 CUT = re.compile(f" (?={SAFE})")
-CACHE = 300_000
+#: Letters only: one piece of the splitting pattern, with the space before it; a stop after them is a piece of its own.
+WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
+#: Entries of a table of counts (some 160 bytes each).
+CACHE = 1 << 19
+#: Rows whose words are learned at once.
+ROWS = 1000
+
+
+def _make_room(table: dict) -> None:
+    """Drops the older half of a full table."""
+    if len(table) >= CACHE:
+        for key in list(islice(table, CACHE // 2)):
+            del table[key]
+
+
+class _Units(dict):
+    """Token counts of units by their text without the space before it."""
+
+    def __init__(self, counter: PrefixCounter):
+        super().__init__()
+        self.counter = counter
+
+    def __missing__(self, unit: str) -> int:
+        self.counter.learn([unit])
+        return self[unit]
 
 
 class PrefixCounter:
@@ -45,41 +70,59 @@ class PrefixCounter:
         self.split = regex.compile(PATTERN)
         self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, tuple] = {}
-        self.units: dict[str, int] = {}
+        self.units = _Units(self)
+        self.stop = self.piece(".")[-1] if self.piece(".")[-1] == self.piece(",")[-1] else None
 
     def _merged(self, raw: bytes) -> list[int]:
         return [t.id for t in self.tok.model.tokenize("".join(self.letters[b] for b in raw))]
 
-    def _follows(self, a: int, b: int) -> bool:
-        """Whether token b can follow token a (a < 0: at the start of a piece)."""
-        key = a * 1_000_003 + b
-        ok = self.pairs.get(key)
-        if ok is None:
-            ok = self._merged(self.bytes_of[b]) == [b] if a < 0 else self._merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-            if len(self.pairs) > 4_000_000:
-                self.pairs.clear()
-            self.pairs[key] = ok
+    def _follows(self, key: int, a: int, b: int) -> bool:
+        """Whether token b can follow token a (a < 0: at the start of a piece); kept under key."""
+        ok = self._merged(self.bytes_of[b]) == [b] if a < 0 else self._merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        self.pairs[key] = ok
         return ok
 
+    def prefix_counts(self, pieces: list[str]):
+        """Token counts at every byte prefix, 0 bytes included, of each piece of the splitting pattern, in turn.
+
+        What a piece shares with the one before it is not computed again, so sorted pieces are cheap. The list that is
+        yielded is changed by the next piece. Only one token can be the last of a prefix, so the order in which the
+        starts are tried is free: the start of the token before, prolonged by a byte, is tried first.
+        """
+        longest, token, known, follows = self.longest, self.ids.get, self.pairs.get, self._follows
+        raw, last, count, begun = b"", [-1], [0], [0]
+        for piece in pieces:
+            old, raw = raw, piece.encode()
+            top = min(len(old), len(raw))
+            same = 0
+            while same < top and old[same] == raw[same]:
+                same += 1
+            del last[same + 1 :], count[same + 1 :], begun[same + 1 :]
+            for end in range(same + 1, len(raw) + 1):
+                first = begun[end - 1]
+                for start in chain((first,), range(end - 1, first, -1), range(first - 1, max(end - longest, 0) - 1, -1)):
+                    t = token(raw[start:end])
+                    if t is not None:
+                        before = last[start]
+                        key = before << 24 | t
+                        ok = known(key)
+                        if follows(key, before, t) if ok is None else ok:
+                            last.append(t)
+                            count.append(count[start] + 1)
+                            begun.append(start)
+                            break
+                else:
+                    raise ValueError("the vocabulary doesn't cover all bytes")
+            yield count
+
     def piece(self, piece: str) -> tuple[int, ...]:
-        """Token counts at every byte prefix of one piece of the splitting pattern, 0 bytes included."""
+        """prefix_counts, kept for pieces that come again."""
         got = self.pieces.get(piece)
         if got is None:
-            raw, ids, follows, longest = piece.encode(), self.ids, self._follows, self.longest
-            last, count = [-1], [0]
-            for end in range(1, len(raw) + 1):
-                for start in range(max(0, end - longest), end):
-                    t = ids.get(raw[start:end])
-                    if t is not None and last[start] is not None and follows(last[start], t):
-                        last.append(t)
-                        count.append(count[start] + 1)
-                        break
-                else:
-                    raise ValueError("the vocabulary doesn't cover all bytes")
-            got = tuple(count)
-            if len(self.pieces) > CACHE:
-                self.pieces.clear()
-            self.pieces[piece] = got
+            _make_room(self.pieces)
+            got = self.pieces[piece] = tuple(next(self.prefix_counts([piece])))
         return got
 
     def _segments(self, text: str):
@@ -91,42 +134,50 @@ class PrefixCounter:
                 yield from self.split.findall(part)
 
     def unit(self, unit: str) -> int:
-        n = self.units.get(unit)
-        if n is None:
-            n = sum(1 if p is None else self.piece(p)[-1] for p in self._segments(unit))
-            if len(self.units) > CACHE:
-                self.units.clear()
-            self.units[unit] = n
-        return n
+        """Tokens of one unit, its space included."""
+        return sum(1 if p is None else self.piece(p)[-1] for p in self._segments(unit))
+
+    def learn(self, units) -> None:
+        """Counts the units (each without the space before it) that are not in the table yet, all pieces in sorted order."""
+        new = set(units) - self.units.keys()
+        parts, known = {}, {None: 1}
+        for u in new:
+            m = WORD.fullmatch(u)
+            if m and not m[2]:
+                parts[u] = [" " + u]
+            elif m and self.stop is not None:
+                known[m[2]] = self.stop
+                parts[u] = [" " + m[1], m[2]]
+            else:
+                parts[u] = list(self._segments(" " + u))
+        wanted = sorted({p for ps in parts.values() for p in ps} - known.keys())
+        known.update(zip(wanted, (c[-1] for c in self.prefix_counts(wanted))))
+        _make_room(self.units)
+        for u, ps in parts.items():
+            self.units[u] = sum(map(known.__getitem__, ps))
 
     @staticmethod
     def cut(text: str) -> list[str]:
         """Units of a text; every unit but the first lacks the space before it."""
         return CUT.split(text) if UNSAFE_SPACE.search(text) else text.split(" ")
 
-    def unit_ends(self, text: str) -> tuple[list[int], list[int]]:
-        """Ends of the units in characters, and the exact token count at each."""
-        units = self.cut(text)
+    def counts(self, text: str) -> tuple[list[str], list[int]]:
+        """Units of a text and the exact token count at the end of each."""
         if not text:
             return [], []
-        get, unit = self.units.get, self.unit
-        counts = [self.unit(units[0])]
-        for u in units[1:]:
-            n = get(s := " " + u)
-            counts.append(unit(s) if n is None else n)
-        ends = accumulate((len(u) + (i > 0) for i, u in enumerate(units)))
-        return list(ends), list(accumulate(counts))
+        units = self.cut(text)
+        return units, list(accumulate(map(self.units.__getitem__, units[1:]), initial=self.unit(units[0])))
+
+    def unit_ends(self, text: str) -> tuple[list[int], list[int]]:
+        """Ends of the units in characters, and the exact token count at each."""
+        units, counts = self.counts(text)
+        return list(accumulate(len(u) + (i > 0) for i, u in enumerate(units))), counts
 
     def count(self, text: str) -> int:
         if not text:
             return 0
         units = self.cut(text)
-        get, unit = self.units.get, self.unit
-        total = unit(units[0])
-        for u in units[1:]:
-            n = get(s := " " + u)
-            total += unit(s) if n is None else n
-        return total
+        return self.unit(units[0]) + sum(map(self.units.__getitem__, units[1:]))
 
     def at(self, text: str, chars: int, ends: tuple[list[int], list[int]] | None = None) -> int:
         """Exact token count of text[:chars]; only the unit that the cut falls in is looked at again."""
@@ -171,14 +222,16 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
 
     def run(batches):
         c = counter(vocabulary)
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             sizes, totals, chars = [], [], []
-            for text in batch.column(1).to_pylist():
+            texts = batch.column(1).to_pylist()
+            c.learn(chain.from_iterable(islice(c.cut(text), 1, None) for text in texts))
+            for text in texts:
                 sizes.append(len(text.encode()))
-                stops, counts = c.unit_ends(text)
+                units, counts = c.counts(text)
                 totals.append(counts[-1] if counts else 0)
                 k = bisect_right(counts, limit)
-                chars.append(stops[k - 1] if k else 0)
+                chars.append(len(text) if k == len(units) else sum(map(len, units[:k])) + max(k - 1, 0))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals], pa.bool_()), pa.array(chars, pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars"],

@@ -20,11 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_test, materialize, text_rows
+from .common import bitmap_test, materialize, slices, text_rows
 
 LENGTH = 400
 GRAM = 64
 PIECE = 1 << 22
+ROWS = 256
 SHARD_BYTES = 1 << 19
 HOT_SEGMENTS = 2000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
@@ -57,13 +58,6 @@ def _anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM):
             yield s + at, w, p + at
 
 
-def _parts(batches, rows: int = 256):
-    """Slices of Arrow batches, so that Python holds few texts and anchors at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -72,7 +66,7 @@ def occurrences(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, th, anchor, seg, width, starts): anchor occurrences of each text, equal segments of a text in one row."""
 
     def run(batches):
-        for batch in _parts(batches):
+        for batch in slices(batches, ROWS):
             cols: list[list] = [[] for _ in range(6)]
             for doc, text, th in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = text.encode()
@@ -256,7 +250,7 @@ def document_marks(rows: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     texts = near.join(asked, F.expr("th = t and doc_id <=> d")).select("text", "cuts")
 
     def cut(batches):
-        for batch in _parts(batches):
+        for batch in slices(batches, ROWS):
             for text, cuts in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = text.encode()
                 cols = zip(*((c["anchor"], c["seg"], c["width"], c["kinds"], raw[c["start"] : c["start"] + c["width"] + length - 1]) for c in cuts))
@@ -300,7 +294,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     plain = rows.where(~touched).select("doc_id", "text", F.lit(None).cast(kind).alias("marks"))
 
     def run(batches):
-        for batch in _parts(batches):
+        for batch in slices(batches, ROWS):
             cols: list[list] = [[] for _ in range(5)]
             for doc, text, m in zip(*(c.to_pylist() for c in batch.columns)):
                 raw, spans = text.encode(), byte_spans(m, length)
