@@ -1,12 +1,14 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
 A line's shingles are its runs of nine characters at every position (a shorter line is one shingle), so an inserted
-character changes only the runs that hold it. Signatures are ROWS x BANDS minima of the
-64-bit shingle hashes under XOR permutations. Lines that agree in a band are candidates; their exact Jaccard similarity
-of shingle sets decides. Within a band's bucket each line is compared with the bucket's least line; buckets whose lines
-then still lie in different components are finished by comparing across those components only, so that no link among
-candidates is lost and copies of one line never meet in all pairs. Components come from distributed star rounds, and the
-first line of each (least doc_id, then line number) stays.
+character changes only the runs that hold it. Signatures are minima of the 64-bit shingle hashes under XOR permutations;
+a band is four of them, and every minimum serves two bands. Lines that agree in a band are candidates; their exact Jaccard
+similarity of shingle sets decides. A pair is compared only if its sizes and parity bitmaps allow the similarity: a bit
+holds the parity of the number of shingles with that hash remainder, so the bitmaps of two lines differ in at most as many
+bits as their sets differ in shingles, and no similar pair is lost. Within a band's bucket each line is compared with the
+line that occurs most often; buckets whose lines then still lie in different components are finished by comparing across
+those components only, so that no link among candidates is lost and copies of one line never meet in all pairs. Components
+come from distributed star rounds, and the first line of each (least doc_id, then line number) stays.
 """
 
 from __future__ import annotations
@@ -17,10 +19,13 @@ from pyspark.sql import functions as F
 from .common import bitmap_test, materialize, text_rows
 from .components import components
 
-SHINGLES = r"(?s)(?=(.{9}|\A.{1,8}\z))."
-ROWS = 4
-BANDS = 9
+SHINGLE = 9
+#: Neighbouring places whose hashes are folded before they meet the minima.
+FOLD = 8
+BANDS = 10
 SIMILARITY = 0.8
+#: 64-bit words of a parity bitmap.
+PARITY = 8
 
 
 def _seeds(n: int) -> list[int]:
@@ -35,8 +40,18 @@ def _seeds(n: int) -> list[int]:
     return out
 
 
-def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(SHINGLES), F.lit(1))
+def _units(line: Column) -> Column:
+    """The line in 16-bit units, in which every place is found at once."""
+    return F.encode(F.coalesce(line, F.lit("")), "UTF-16BE")
+
+
+def _last(units: Column) -> Column:
+    """Place (1-based, in bytes) of the last shingle; a line shorter than a shingle has its whole self there."""
+    return F.greatest(F.lit(1), F.octet_length(units) - (2 * SHINGLE - 1))
+
+
+def _hash(units: Column, place: Column) -> Column:
+    return F.xxhash64(F.substring(units, place, F.lit(2 * SHINGLE)))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -49,66 +64,103 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return lines_of(docs).where(F.col("line").rlike(r"\S")).select("doc_id", "line_no", "line", F.xxhash64("line").alias("lk"), F.xxhash64(F.lit(1), "line").alias("lk2"))
 
 
-def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def band_rows(bands: int) -> list[list[int]]:
+    """The four minima of each band; every minimum is in two bands (edges and vertices of a circulant graph), so ten
+    bands need twenty minima."""
+    return [[b, (b - 1) % bands, bands + b, bands + (b - 3) % bands] for b in range(bands)]
+
+
+def signatures(docs: DataFrame, bands: int = BANDS) -> DataFrame:
     """(lk, lk2, doc, line, n, keys) of each distinct line: first place, number of occurrences, band keys."""
     distinct = _hashed(docs).groupBy("lk", "lk2").agg(F.first("line").alias("text"), F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
     # The rows stay dealt by (lk, lk2), so the minima need no further shuffle.
-    pieces = distinct.select("lk", "lk2", F.col("first.doc_id").alias("doc"), F.col("first.line_no").alias("line"), "n", F.explode(shingles(F.col("text"))).alias("s"))
-    pieces = pieces.select("lk", "lk2", "doc", "line", "n", F.xxhash64("s").alias("h"))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_seeds(bands * rows))]
-    signed = pieces.groupBy("lk", "lk2", "doc", "line", "n").agg(*minima)
-    keys = [F.xxhash64(F.lit(b), *(F.col(f"m{b * rows + i}") for i in range(rows))) for b in range(bands)]
+    key = ["lk", "lk2", "doc", "line", "n"]
+    wide = distinct.select("lk", "lk2", F.col("first.doc_id").alias("doc"), F.col("first.line_no").alias("line"), "n", _units(F.col("text")).alias("u"))
+    wide = wide.select(*key, "u", _last(F.col("u")).alias("last")).select("*", F.explode(F.sequence(F.lit(1), "last", F.lit(2 * FOLD))).alias("at"))
+    places = [F.least(F.col("at") + 2 * k, F.col("last")) for k in range(FOLD)]  # a row for each FOLD places
+    hashed = wide.select(*key, *(_hash(F.col("u"), at).alias(f"h{k}") for k, at in enumerate(places)))
+    minima = [F.min(F.least(*(F.col(f"h{k}").bitwiseXOR(F.lit(c)) for k in range(FOLD)))).alias(f"m{i}") for i, c in enumerate(_seeds(2 * bands))]
+    signed = hashed.groupBy(*key).agg(*minima)
+    keys = [F.xxhash64(F.lit(b), *(F.col(f"m{i}") for i in rows)) for b, rows in enumerate(band_rows(bands))]
     return signed.select("lk", "lk2", "doc", "line", "n", F.array(*keys).alias("keys"))
 
 
-def _hashes(line: Column) -> Column:
-    return F.array_distinct(F.transform(shingles(line), lambda s: F.xxhash64(s)))
+def _hashes(units: Column) -> Column:
+    """Hashes of all shingles. The units are bound to a lambda variable, since a binary column is copied at each use."""
+    of = lambda u: F.transform(F.sequence(F.lit(1), _last(u), F.lit(2)), lambda at: _hash(u, at))
+    return F.element_at(F.transform(F.array(units), of), 1)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity is high enough; the sets, eight times the text, are never stored."""
-    x = texts.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("k").alias("ka"))
-    y = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("k").alias("kb"))
-    could = F.least("ka", "kb") >= F.lit(similarity) * F.greatest("ka", "kb")
-    both = F.size(F.array_intersect(_hashes(F.col("la")), _hashes(F.col("lb"))))
-    met = pairs.join(x, "a").join(y, "b").where(could).select("a", "b", (F.col("ka") + F.col("kb")).alias("k"), both.alias("both"))
+def _sketches(units: DataFrame) -> DataFrame:
+    """(id, k, w): number of distinct shingles and the parity bitmap of the lines (id, u)."""
+    each = units.select("id.lk", "id.lk2", F.explode(F.array_distinct(_hashes(F.col("u")))).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftright("h", 6).bitwiseAND(F.lit(PARITY - 1)).alias("word")
+    some = each.groupBy("lk", "lk2", word).agg(F.count(F.lit(1)).alias("k"), F.bit_xor(bit).alias("x"))
+    words = [F.coalesce(F.max(F.when(F.col("word") == i, F.col("x"))), F.lit(0).cast("long")).alias(f"w{i}") for i in range(PARITY)]
+    got = some.groupBy("lk", "lk2").agg(F.sum("k").alias("k"), *words)
+    return got.select(F.struct("lk", "lk2").alias("id"), "k", F.struct(*(f"w{i}" for i in range(PARITY))).alias("w"))
+
+
+def _could(a: str, b: str, similarity: float) -> Column:
+    """Whether sizes and parity bitmaps of two lines allow the similarity; a and b: columns with fields k and w."""
+    ka, kb = F.col(f"{a}.k"), F.col(f"{b}.k")
+    apart = sum((F.bit_count(F.col(f"{a}.w.w{i}").bitwiseXOR(F.col(f"{b}.w.w{i}"))) for i in range(PARITY)), F.lit(0))
+    most = (1 - similarity) / (1 + similarity) + 1e-9  # of |a| + |b|, by which sets of that similarity may differ
+    return (F.least(ka, kb) >= F.lit(similarity) * F.greatest(ka, kb)) & (apart <= F.lit(most) * (ka + kb))
+
+
+def _verified(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, k: sum of their sizes) whose exact Jaccard similarity is high enough; the sets are never stored."""
+    x = units.select(F.col("id").alias("a"), F.col("u").alias("ua"))
+    y = units.select(F.col("id").alias("b"), F.col("u").alias("ub"))
+    both = F.size(F.array_intersect(_hashes(F.col("ua")), _hashes(F.col("ub"))))
+    met = pairs.join(x, "a").join(y, "b").select("a", "b", "k", both.alias("both"))
     return met.where(F.col("both") >= F.lit(similarity) * (F.col("k") - F.col("both"))).select("a", "b")
 
 
+def _pair(a: str, b: str) -> list[Column]:
+    x, y = F.col(f"{a}.id"), F.col(f"{b}.id")
+    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b"), (F.col(f"{a}.k") + F.col(f"{b}.k")).alias("k")]
+
+
 def line_components(docs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component) of the distinct lines that have similar ones; nodes are structs (lk, lk2)."""
-    keyed = signed.select(F.explode("keys").alias("key"), "lk", "lk2")
-    shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "band-keys")
-    members = keyed.where(bitmap_test(shared, "key")(F.col("key"))).join(shared, "key", "left_semi")
-    members = materialize(members.select("key", F.struct("lk", "lk2").alias("id")), "band-members")
-    pivots = materialize(members.groupBy("key").agg(F.min("id").alias("b")), "band-pivots")
-    pairs = materialize(members.join(pivots, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "line-pairs")
-    wanted = materialize(members.select("id.lk", "id.lk2").distinct(), "line-candidates")
+    keyed = signed.select(F.explode("keys").alias("key"), "lk", "lk2", "n")
+    shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "band-keys")
+    hit = keyed.where(bitmap_test(shared, "key")(F.col("key"))).join(shared, "key", "left_semi")
+    hit = materialize(hit.select("key", F.struct("lk", "lk2").alias("id"), "n"), "band-members")
+    wanted = materialize(hit.select("id.lk", "id.lk2").distinct(), "line-candidates")
     near = _hashed(docs).where(bitmap_test(wanted, "lk")(F.col("lk"))).groupBy("lk", "lk2").agg(F.first("line").alias("line"))
-    near = near.join(wanted, ["lk", "lk2"], "left_semi")
-    texts = materialize(near.select(F.struct("lk", "lk2").alias("id"), "line", F.size(_hashes(F.col("line"))).alias("k")), "line-texts")
-    links = materialize(_verified(pairs, texts, similarity), "line-links")
+    near = near.join(wanted, ["lk", "lk2"], "left_semi").select(F.struct("lk", "lk2").alias("id"), _units(F.col("line")).alias("u"))
+    units = materialize(near, "line-units")
+    sketches = materialize(_sketches(units), "line-sketches")
+    members = materialize(hit.join(sketches, "id").select("key", "n", F.struct("id", "k", "w").alias("x")), "band-lines")
+    # The line that occurs most is likely the one that the others are edits of.
+    pivots = materialize(members.groupBy("key").agg(F.max(F.struct("n", "x")).alias("top")).select("key", F.col("top.x").alias("p")), "band-pivots")
+    pairs = members.join(pivots, "key").where((F.col("x.id") != F.col("p.id")) & _could("x", "p", similarity)).select(*_pair("x", "p"))
+    links = materialize(_verified(materialize(pairs.distinct(), "line-pairs"), units, similarity), "line-links")
     comp = components(links)
     # Buckets that still hold lines of different components: compare across them, from all but the largest component.
-    placed = members.join(comp, members["id"] == comp["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    placed = members.join(comp, F.col("x.id") == comp["node"], "left").select("key", "x", F.coalesce("component", "x.id").alias("c"))
     placed = materialize(placed, "band-components")
-    shares = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    mixed = materialize(shares.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("n", "c")).alias("top")).where("kinds > 1").select("key", "top.c"), "mixed-buckets")
-    strays = placed.join(mixed.withColumnRenamed("c", "top"), "key").where("c <> top").select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
-    inside = placed.join(mixed.select("key"), "key", "left_semi")
-    across = strays.join(inside, "key").where("c <> ca").select(F.greatest("a", "id").alias("a"), F.least("a", "id").alias("b")).distinct()
-    more = _verified(across.join(pairs, ["a", "b"], "left_anti"), texts, similarity)
-    return components(links.union(materialize(more, "line-links")))
+    kinds = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("n", "c")).alias("top"))
+    mixed = materialize(kinds.where("kinds > 1").select("key", F.col("top.c").alias("top")).join(pivots.select("key", F.col("p.id").alias("pivot")), "key"), "mixed-buckets")
+    inside = materialize(placed.join(mixed, "key").where("x.id <> pivot").select("key", "x", "c", (F.col("c") != F.col("top")).alias("stray")), "mixed-lines")
+    strays = inside.where("stray").select("key", F.col("x").alias("y"), F.col("c").alias("cy"))
+    met = strays.join(inside, "key").where((F.col("c") != F.col("cy")) & _could("x", "y", similarity) & (~F.col("stray") | (F.col("x.id") < F.col("y.id"))))
+    more = materialize(_verified(materialize(met.select(*_pair("x", "y")).distinct(), "line-pairs"), units, similarity), "line-links")
+    return comp if more.isEmpty() else components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 
-def line_groups(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def line_groups(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
     """doc_id, line_no, keep_doc_id, keep_line_no, kept for every line of every row of docs.
 
     A line is kept if it is the first (least doc_id, then line number) of its component; equal lines are one. Lines of
     white space only are all kept. Null text counts as empty (one empty line); null doc_ids come before others; rows
     that repeat a doc_id and a line at the same place are one place. An empty table gives an empty result.
     """
-    signed = materialize(signatures(docs, bands, rows), "line-signatures")
+    signed = materialize(signatures(docs, bands), "line-signatures")
     comp = line_components(docs, signed, similarity).select(F.col("node.lk").alias("lk"), F.col("node.lk2").alias("lk2"), "component")
     comp = materialize(comp, "line-components")
     grouped = signed.where(bitmap_test(comp, "lk")(F.col("lk"))).join(comp, ["lk", "lk2"])
