@@ -15,9 +15,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder named by spark.checkpoint.dir (own folder only where that is unset)."""
+    """A new path in the shared folder named by spark.checkpoint.dir; an own folder only in local mode without one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -45,6 +47,12 @@ def text_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def nested(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text, th): the rows of docs as structs, so that no column of theirs can clash with another name, with
+    their id and text (null: empty) and the text's hash."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+
+
 def slices(batches, rows: int):
     """Arrow batches in slices of at most so many rows, so that Python holds few texts at a time."""
     for batch in batches:

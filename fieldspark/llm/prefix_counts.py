@@ -33,11 +33,10 @@ CACHE = 1 << 19
 ROWS = 1000
 
 
-def _make_room(table: dict) -> None:
-    """Drops the older half of a full table."""
-    if len(table) >= CACHE:
-        for key in list(islice(table, CACHE // 2)):
-            del table[key]
+def _drop_half(table: dict) -> None:
+    """Drops the older half of a table."""
+    for key in list(islice(table, len(table) // 2)):
+        del table[key]
 
 
 class _Units(dict):
@@ -121,7 +120,8 @@ class PrefixCounter:
         """prefix_counts, kept for pieces that come again."""
         got = self.pieces.get(piece)
         if got is None:
-            _make_room(self.pieces)
+            if len(self.pieces) >= CACHE:
+                _drop_half(self.pieces)
             got = self.pieces[piece] = tuple(next(self.prefix_counts([piece])))
         return got
 
@@ -139,7 +139,11 @@ class PrefixCounter:
 
     def learn(self, units) -> None:
         """Counts the units (each without the space before it) that are not in the table yet, all pieces in sorted order."""
-        new = set(units) - self.units.keys()
+        met, known_units = set(units), self.units
+        new = [u for u in met if u not in known_units]
+        if len(known_units) + len(new) > CACHE:  # the units of this call must all stay
+            _drop_half(known_units)
+            new = [u for u in met if u not in known_units]
         parts, known = {}, {None: 1}
         for u in new:
             m = WORD.fullmatch(u)
@@ -152,7 +156,6 @@ class PrefixCounter:
                 parts[u] = list(self._segments(" " + u))
         wanted = sorted({p for ps in parts.values() for p in ps} - known.keys())
         known.update(zip(wanted, (c[-1] for c in self.prefix_counts(wanted))))
-        _make_room(self.units)
         for u, ps in parts.items():
             self.units[u] = sum(map(known.__getitem__, ps))
 
