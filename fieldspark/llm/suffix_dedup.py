@@ -2,12 +2,13 @@
 
 Every window of 400 bytes names one anchor: its 64-byte gram of least hash (the rightmost of equals). Equal windows
 name equal anchors at the same place, so windows are compared only under their anchor. An anchor occurrence owns the run
-of windows that name it; the bytes of that run are its segment. Occurrences of an anchor whose segments are all alike
-repeat as a whole. Different segments of one anchor are sorted in per-shard suffix arrays: Larsson-Sadakane refinement
-in numpy (only unsorted groups are sorted again, with doubled depth), Kasai's longest common prefixes, and a window is
-repeated if it shares 400 bytes with a neighbour among the windows. A shard is some megabytes of whole anchors; an
-anchor with very many different segments is cut over shards, and what those shards hold apart is merged by binary
-search in the sorted window digests of a range of digests.
+of windows that name it; the bytes of that run are its segment. Segments of anchors that occur again are sorted in
+per-shard suffix arrays, a segment that repeats as a whole with the bytes of two of its places: Larsson-Sadakane
+refinement in numpy (only unsorted groups are sorted again, with doubled depth), Kasai's longest common prefixes, and a
+window is repeated if it shares 400 bytes with a neighbour among the windows. A shard is some hundred kilobytes of whole
+anchors. An anchor with very many different segments is cut over shards; each such shard sends one digest for each of its
+different windows to a range of digests, and there each is looked up by binary search among the sorted digests of all
+shards. Segments are told apart by 64-bit hashes of gram and bytes, windows across shards by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ GRAM = 64
 PIECE = 1 << 22
 ROWS = 256
 SHARD_BYTES = 1 << 19
-HOT_SEGMENTS = 2000
+#: An anchor of so many segments is less than 1.5 MiB in a shard, each segment twice.
+HOT_SEGMENTS = 1000
+RANGE_ROWS = 500_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 
 
@@ -84,13 +87,15 @@ def occurrences(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     return rows.select("doc_id", "text", "th").mapInArrow(run, "doc_id long, th long, anchor long, seg long, width int, starts array<int>")
 
 
-def suffix_array(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and ranks of concatenated segments; ends[i]: end of i's segment.
+def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Suffix array of concatenated segments; ends[i]: end of i's segment. Up to 2^21 bytes.
 
     Suffixes stop at the end of their segment; those that are alike to that end stay in the order of their places, which
     keeps the order of a suffix and its successor consistent, as Kasai's method needs.
     """
     n = len(text)
+    if n >= 1 << 21:
+        raise ValueError("a shard must be smaller than 2 MiB")
     depth = int((ends - np.arange(n)).max(initial=0))
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
     left = np.minimum(ends - np.arange(n), 7)
@@ -98,12 +103,11 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     for k in range(7):
         key = key << np.uint64(8) | np.where(k < left, padded[k : k + n], 0).astype(np.uint64)
     key = key << np.uint64(8) | left.astype(np.uint64)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     sorted_ = key[sa]
     heads = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
-    head_of = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
     rank = np.empty(n, np.int64)
-    rank[sa] = head_of
+    rank[sa] = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
     slots, h = np.arange(n), 7
     while h < depth:
         # Larsson-Sadakane: groups of one are final; only the others are sorted again, by the rank h further on.
@@ -114,41 +118,47 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
             break
         at = sa[slots]
         further = np.where(at + h < ends[at], rank[np.minimum(at + h, n - 1)], -1)
-        both = rank[at] * (n + 1) + further + 1
-        order = np.argsort(both, kind="stable")
-        both = both[order]
-        sa[slots] = at[order]
+        both = np.sort((rank[at] << 42) + ((further + 1) << 21) + at)  # the place in the low bits: no indirect sort
+        at = both & ((1 << 21) - 1)
+        sa[slots] = at
+        both >>= 21
         heads = np.concatenate([[True], both[1:] != both[:-1]])
-        rank[sa[slots]] = slots[np.maximum.accumulate(np.where(heads, np.arange(len(slots)), 0))]
+        rank[at] = slots[np.maximum.accumulate(np.where(heads, np.arange(len(slots)), 0))]
         h *= 2
-    return sa, rank
+    return sa
 
 
-def kasai(raw: bytes, sa: np.ndarray, ends: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefix of each suffix in sa with the one before it, within the segments and up to cap."""
+def kasai(raw: bytes, sa: np.ndarray, starts: np.ndarray, stops: np.ndarray, cap: int) -> np.ndarray:
+    """Common prefix of each suffix in sa with the one before it, within the segments and up to cap.
+
+    Kasai's chains (a place's common prefix is at least that of the place before it, less one) run along each segment;
+    the chains of all segments advance together, eight bytes a comparison.
+    """
     n = len(sa)
-    place = np.empty(n, np.int64)
-    place[sa] = np.arange(n)
+    words = np.ndarray(n, "<u8", raw + bytes(8), 0, (1,))
+    ends = np.repeat(stops, stops - starts)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    out, h = [0] * n, 0
-    for i, (j, e) in enumerate(zip(before.tolist(), ends.tolist())):
-        if j < 0:
-            h = 0
-            continue
-        top = min(e - i, int(ends[j]) - j, cap)
-        if h > top:
-            h = top
-        while h + 16 <= top and raw[i + h : i + h + 16] == raw[j + h : j + h + 16]:
-            h += 16
-        while h < top and raw[i + h] == raw[j + h]:
-            h += 1
+    order = np.argsort(starts - stops)  # longest segments first, so those that still run are in front
+    begins, sizes = starts[order], (stops - starts)[order]
+    out = np.zeros(n, np.int64)
+    held = np.zeros(len(begins), np.int64)
+    for t in range(int(sizes[0]) if len(sizes) else 0):
+        m = int(np.searchsorted(-sizes, -t))
+        i = begins[:m] + t
+        j = before[i]
+        top = np.where(j < 0, 0, np.minimum(np.minimum(ends[i] - i, ends[j] - j), cap))
+        h = np.minimum(np.maximum(held[:m] - 1, 0), top)
+        live = np.flatnonzero(h < top)
+        while len(live):
+            at = h[live]
+            x = words[i[live] + at] ^ words[j[live] + at]
+            same = np.where(x == 0, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3).astype(np.int64)
+            h[live] = at = np.minimum(at + same, top[live])
+            live = live[(same == 8) & (at < top[live])]
+        held[:m] = h
         out[i] = h
-        if h:
-            h -= 1
-    lcp = np.empty(n, np.int64)
-    lcp[place] = out
-    return lcp
+    return out[sa]
 
 
 def _runs(offsets: np.ndarray) -> list[int]:
@@ -159,23 +169,26 @@ def _runs(offsets: np.ndarray) -> list[int]:
     return np.stack([offsets[np.concatenate([[0], cut + 1])], offsets[np.concatenate([cut, [len(offsets) - 1]])] + 1], axis=1).ravel().tolist()
 
 
-def repeated_windows(segments: list[bytes], widths: list[int], length: int = LENGTH) -> list[list[int]]:
-    """For each segment, runs of those of its first `width` windows that occur at another place in the segments."""
+def repeated_windows(segments: list[bytes], widths: list[int], length: int = LENGTH) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each segment, those of its first `width` windows that occur at another place in the segments, and those that
+    stand for a class of equal windows (one of each class)."""
     raw = b"".join(segments)
-    sizes = np.array([len(s) for s in segments])
+    sizes = np.array([len(s) for s in segments], np.int64)
     stops = np.cumsum(sizes)
     starts = stops - sizes
     ends = np.repeat(stops, sizes)
     owned = np.arange(len(raw)) - np.repeat(starts, sizes) < np.repeat(widths, sizes)
-    sa, _ = suffix_array(np.frombuffer(raw, np.uint8), ends)
-    lcp = kasai(raw, sa, ends, length)
+    sa = suffix_array(np.frombuffer(raw, np.uint8), ends)
+    lcp = kasai(raw, sa, starts, stops, length)
     mine = np.flatnonzero(owned[sa])
-    hit = np.zeros(len(raw), bool)
-    if len(mine) > 1:
-        near = np.minimum.reduceat(lcp[: mine[-1] + 1], mine[:-1] + 1) >= length
+    hit, first = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
+    if len(mine):
+        near = np.minimum.reduceat(lcp[: mine[-1] + 1], mine[:-1] + 1) >= length if len(mine) > 1 else np.zeros(0, bool)
         hit[sa[mine[1:][near]]] = True
         hit[sa[mine[:-1][near]]] = True
-    return [_runs(np.flatnonzero(hit[s : s + w])) for s, w in zip(starts.tolist(), widths)]
+        first[sa[mine[np.concatenate([[True], ~near])]]] = True
+    cut = [(s, s + w) for s, w in zip(starts.tolist(), widths)]
+    return [np.flatnonzero(hit[a:b]) for a, b in cut], [np.flatnonzero(first[a:b]) for a, b in cut]
 
 
 _MARKS = "anchor long, seg long, runs array<int>"
@@ -186,53 +199,69 @@ def _marks(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(g, pa.int64()), pa.array(r, pa.list_(pa.int32()))], names=["anchor", "seg", "runs"])
 
 
+def _shards(batches, shard_bytes: int, split: bool):
+    """Lists of (anchor, seg, width, bytes) of some shard_bytes; anchors stay whole unless they may be split."""
+    held: list[tuple] = []
+    size, last = 0, None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if size >= shard_bytes and (split or row[0] != last):
+                yield held
+                held, size = [], 0
+            held.append(row)
+            size, last = size + len(row[3]), row[0]
+    if held:
+        yield held
+
+
 def _shard_marks(segments: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     """Marks of segments whose anchors are whole in one shard."""
 
     def run(batches):
-        held: list[tuple] = []
-        size, last = 0, None
-
-        def flush():
-            runs = repeated_windows([s for _, _, _, s in held], [w for _, _, w, _ in held], length)
-            return _marks([(a, g, r) for (a, g, _, _), r in zip(held, runs) if r])
-
-        for batch in batches:
-            for a, g, w, s in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= shard_bytes and a != last:
-                    yield flush()
-                    held, size = [], 0
-                held.append((a, g, w, s))
-                size, last = size + len(s), a
-        if held:
-            yield flush()
+        for held in _shards(batches, shard_bytes, False):
+            hits, _ = repeated_windows([s for *_, s in held], [w for _, _, w, _ in held], length)
+            yield _marks([(a, g, _runs(r)) for (a, g, *_), r in zip(held, hits) if len(r)])
 
     rows = segments.select("anchor", "seg", "width", "bytes").repartition("anchor").sortWithinPartitions("anchor", "seg")
     return rows.mapInArrow(run, _MARKS)
 
 
-def _merged_marks(segments: DataFrame, length: int) -> DataFrame:
-    """Marks of segments of an anchor that lies over many shards: window digests go to ranges of digests, where each is
-    looked up by binary search among the sorted digests of the range."""
-
-    def windows(batches):
-        for batch in batches:
-            for a, g, w, s in zip(*(c.to_pylist() for c in batch.columns)):
-                d = [xxhash.xxh3_128_intdigest(s[k : k + length]) for k in range(w)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_signed(x >> 64) for x in d], pa.int64()), pa.array([_signed(x & (1 << 64) - 1) for x in d], pa.int64()), pa.array([a] * w, pa.int64()), pa.array([g] * w, pa.int64()), pa.array(range(w), pa.int32())], names=["d1", "d2", "anchor", "seg", "at"]
-                )
-
-    spread = materialize(segments.select("anchor", "seg", "width", "bytes").mapInArrow(windows, "d1 long, d2 long, anchor long, seg long, at int"), "window-digests")
-    many = spread.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # combined before the shuffle
-    hits = spread.join(materialize(many.select("d1", "d2"), "repeated-digests"), ["d1", "d2"], "left_semi")
-    offs = hits.groupBy("anchor", "seg").agg(F.array_sort(F.collect_set("at")).alias("offs"))  # at most `width` numbers
-
-    def run(batches):
-        for batch in batches:
-            yield _marks([(a, g, _runs(np.array(o))) for a, g, o in zip(*(c.to_pylist() for c in batch.columns))])
-
-    return offs.mapInArrow(run, _MARKS)
+def _merged_marks(segments: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """Marks of segments of an anchor that lies over many shards. A shard marks what repeats within it and sends a digest
+    of one window of each class to a range of digests, where it is looked up by binary search."""
+    kind = "anchor long, seg long, runs array<int>, d1 long, d2 long, at int"
+
+    def shards(batches):
+        for held in _shards(batches, shard_bytes, True):
+            hits, firsts = repeated_windows([s for *_, s in held], [w for _, _, w, _ in held], length)
+            rows = [(a, g, _runs(r), None, None, None) for (a, g, *_), r in zip(held, hits) if len(r)]
+            for (a, g, _, s), r in zip(held, firsts):
+                for k in r.tolist():
+                    d = xxhash.xxh3_128_intdigest(s[k : k + length])
+                    rows.append((a, g, None, _signed(d >> 64), _signed(d & (1 << 64) - 1), k))
+            cols = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int32()))], names=["anchor", "seg", "runs", "d1", "d2", "at"])
+
+    spread = segments.select("anchor", "seg", "width", "bytes").repartition("anchor", "seg").mapInArrow(shards, kind)
+    spread = materialize(spread, "hot-shards")
+    digests = spread.where("at is not null")
+    ranges = max(1, -(-digests.count() // RANGE_ROWS))
+
+    def search(batches):
+        parts = list(batches)  # one range: about RANGE_ROWS digests, a digest once a shard
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts)
+        d1, d2 = (rows.column(c).to_numpy() for c in ("d1", "d2"))
+        both = np.empty(len(d1), [("d1", np.int64), ("d2", np.int64)])
+        both["d1"], both["d2"] = d1, d2
+        ordered = np.sort(both)
+        found = np.searchsorted(ordered, both, "right") - np.searchsorted(ordered, both, "left") > 1
+        a, g, at = (rows.column(c).to_numpy()[found].tolist() for c in ("anchor", "seg", "at"))
+        yield _marks([(x, y, [z, z + 1]) for x, y, z in zip(a, g, at)])
+
+    across = digests.select("anchor", "seg", "d1", "d2", "at").repartitionByRange(ranges, "d1").mapInArrow(search, _MARKS)
+    return spread.where("runs is not null").select("anchor", "seg", "runs").union(across)
 
 
 def document_marks(rows: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
@@ -240,12 +269,14 @@ def document_marks(rows: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     seen = materialize(occurrences(rows, length), "anchors")
     counts = seen.groupBy("anchor").agg(F.sum(F.size("starts")).alias("n")).where("n > 1").select("anchor")
     again = materialize(seen.join(materialize(counts, "repeated-anchors"), "anchor", "left_semi"), "anchor-places")
-    kinds = again.groupBy("anchor", "seg", "width").agg(F.sum(F.size("starts")).alias("n"), F.min(F.struct("doc_id", "th", F.element_at("starts", 1).alias("start"))).alias("first"))
+    place = lambda k: F.struct("doc_id", "th", F.element_at("starts", k).alias("start"))
+    kinds = again.groupBy("anchor", "seg", "width").agg(F.sum(F.size("starts")).alias("n"), F.min(place(1)).alias("first"), F.max(place(-1)).alias("last"))
     kinds = materialize(kinds, "segments")
-    per = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    whole = kinds.where("n > 1").select("anchor", "seg", F.array(F.lit(0), F.col("width")).alias("runs"))
-    differ = kinds.join(materialize(per.where("kinds > 1"), "mixed-anchors"), "anchor")
-    asked = materialize(differ.groupBy(F.col("first.doc_id").alias("d"), F.col("first.th").alias("t")).agg(F.collect_list(F.struct("anchor", "seg", "width", F.col("first.start").alias("start"), "kinds")).alias("cuts")), "segments-asked")
+    per = materialize(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "anchor-kinds")
+    places = F.explode(F.when(F.col("n") > 1, F.array("first", "last")).otherwise(F.array("first"))).alias("p")
+    cuts = kinds.join(per, "anchor").select("anchor", "seg", "width", "kinds", places)
+    asked = cuts.groupBy(F.col("p.doc_id").alias("d"), F.col("p.th").alias("t")).agg(F.collect_list(F.struct("anchor", "seg", "width", F.col("p.start").alias("start"), "kinds")).alias("cuts"))
+    asked = materialize(asked, "segments-asked")
     near = rows.where(bitmap_test(asked, "t")(F.col("th"))).dropDuplicates(["doc_id", "th"])
     texts = near.join(asked, F.expr("th = t and doc_id <=> d")).select("text", "cuts")
 
@@ -260,9 +291,9 @@ def document_marks(rows: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     parts = _shard_marks(segments.where(F.col("kinds") <= hot_segments), length, shard_bytes)
     hot = segments.where(F.col("kinds") > hot_segments)
     if not hot.isEmpty():
-        parts = parts.union(_merged_marks(hot, length))
-    # A segment with several occurrences repeats as a whole, whatever else was found for it.
-    marks = materialize(whole.union(parts.join(whole.select("anchor", "seg"), ["anchor", "seg"], "left_anti").select("anchor", "seg", "runs")), "window-marks")
+        parts = parts.union(_merged_marks(hot, length, shard_bytes))
+    # A segment may be marked from two of its places or shards: their runs are put together.
+    marks = materialize(parts.groupBy("anchor", "seg").agg(F.flatten(F.collect_set("runs")).alias("runs")), "window-marks")
     found = again.select("doc_id", "th", "anchor", "seg", "starts").join(marks, ["anchor", "seg"])
     return found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("starts", "runs")).alias("marks"))
 
