@@ -1,15 +1,14 @@
 """Benchmark decontamination by Wu-Manber search over words.
 
 Texts and benchmark items become word lists; the patterns are the item windows. For each pattern length there is a
-block shift table (how far the search may jump for the last two words under the window), suffix buckets (patterns by
-their last two words) and a direct comparison of all words. Benchmarks larger than one bounded slice are searched in
-several passes over slices of the items, each adding its hits to the rows, so nothing that is broadcast outgrows the bound.
+block shift table (how far the search may jump for the last two words under the window), suffix buckets (the patterns
+with the same last two words, by their first word as prefix check) and a direct comparison of all words. Benchmarks larger
+than one bounded slice are searched in several passes over slices of the items, each adding its hits to the rows, so
+nothing that is broadcast outgrows the bound.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import text_rows
 
 WINDOW = 10
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 8 << 20
 #: A-Z to lower case; everything that is not a digit, a letter or non-ASCII to a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -37,16 +36,16 @@ class WuManber:
     """Search for patterns of m words each. patterns: words -> values."""
 
     def __init__(self, m: int, patterns: dict[tuple[bytes, ...], list]):
-        self.m, self.patterns, self.size = m, patterns, min(2, m)
+        self.m, self.size = m, min(2, m)
         self.jump = m - self.size + 1
         self.shift: dict[bytes, dict[bytes, int]] = {}
-        self.suffixes: dict[tuple[bytes, ...], set[bytes]] = {}
-        for p in patterns:
+        self.buckets: dict[tuple[bytes, ...], dict[bytes, list[tuple[list[bytes], list]]]] = {}
+        for p, values in patterns.items():
             for end in range(self.size - 1, m):
                 first = p[end - 1] if self.size == 2 else b""
                 row = self.shift.setdefault(p[end], {})
                 row[first] = min(row.get(first, self.jump), m - 1 - end)
-            self.suffixes.setdefault(p[-self.size :], set()).add(p[0])
+            self.buckets.setdefault(p[-self.size :], {}).setdefault(p[0], []).append((list(p), values))
 
     def find(self, words: list[bytes]):
         """Yield (end index, values) of every occurrence."""
@@ -61,10 +60,9 @@ class WuManber:
             if step:
                 at += step
                 continue
-            if words[at - m + 1] in self.suffixes[tuple(words[at - self.size + 1 : at + 1])]:
-                got = self.patterns.get(tuple(words[at - m + 1 : at + 1]))
-                if got:
-                    yield at, got
+            for pattern, values in self.buckets[tuple(words[at - self.size + 1 : at + 1])].get(words[at - m + 1], ()):
+                if words[at - m + 1 : at + 1] == pattern:
+                    yield at, values
             at += 1
 
 
@@ -76,18 +74,40 @@ def build(items: list[tuple[int, str]], window: int = WINDOW) -> list[WuManber]:
     return [WuManber(m, pats) for m, pats in sorted(by.items())]
 
 
-def _pass(rows: DataFrame, items: list[tuple[int, str]], window: int) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(items)
-    state: list = []
+#: The tables of the slice that a Python worker searched last, by the slice's broadcast.
+_TABLES: dict[tuple[int, int], list[WuManber]] = {}
+
+
+def _tables(key: tuple[int, int], items: list[tuple[int, str]]) -> list[WuManber]:
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = build(items, key[1])
+    return _TABLES[key]
+
+
+def _slices(benchmark: DataFrame, slice_bytes: int) -> list[DataFrame]:
+    """The items with an id and a text, in parts of some slice_bytes of text each."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // slice_bytes))
+    return [items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+
+
+def _shared(rows: DataFrame, part: DataFrame):
+    return rows.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in part.collect()])  # bounded by slice_bytes
+
+
+def _pass(rows: DataFrame, part: DataFrame, window: int) -> DataFrame:
+    shared = _shared(rows, part)
+    key = (shared._jbroadcast.id(), window)
 
     def run(batches):
-        if not state:
-            state.append(build(shared.value, window))
+        tables = _tables(key, shared.value)
         for batch in batches:
             n_words, spans, found = [], [], []
             for text, old, before in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 words, hits, ids = words_of(text), list(zip(old[::2], old[1::2])), set(before)
-                for search in state[0]:
+                for search in tables:
                     for end, got in search.find(words):
                         hits.append((end - search.m + 1, end + 1))
                         ids.update(got)
@@ -98,9 +118,8 @@ def _pass(rows: DataFrame, items: list[tuple[int, str]], window: int) -> DataFra
                     else:
                         flat += [a, b]
                 n_words.append(len(words)), spans.append(flat), found.append(sorted(ids))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "text", "n_words", "spans", "items"]
-            )
+            arrays = [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text", "n_words", "spans", "items"])
 
     return rows.mapInArrow(run, "doc_id long, text string, n_words long, spans array<long>, items array<long>")
 
@@ -111,13 +130,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     Null texts have no words. Items without words match nothing; items with a null id are left out; an item_id that
     repeats stands for all its texts. Repeated documents give a row each. Empty tables give empty or unhit results.
     """
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(1, -(-size // slice_bytes))
     rows = text_rows(docs).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<long>"), "items": F.array().cast("array<long>")})
-    for k in range(slices):
-        part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        rows = _pass(rows, [(r.item_id, r.text) for r in part.collect()], window)  # bounded by slice_bytes
+    for part in _slices(benchmark, slice_bytes):
+        rows = _pass(rows, part, window)
     return rows
 
 
@@ -129,12 +144,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs without any benchmark window, with all their columns."""
-    bad = contamination(docs.select("doc_id", "text"), benchmark, window).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.expr("_bad <=> doc_id"), "left_anti")
-
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The rows of docs without any benchmark window, with all their columns.
 
-def items_digest(ids: list[int]) -> str:
-    """The digest of contamination(), for tests."""
-    return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
+    Rows are judged one by one as they pass, so repeated or null ids, repeated rows and column names don't matter. Null
+    and empty texts stay; an empty benchmark keeps everything; an empty table gives an empty result.
+    """
+    at = docs.columns.index("text")
+    for part in _slices(benchmark, slice_bytes):
+        shared = _shared(docs, part)
+
+        def run(batches, shared=shared, key=(shared._jbroadcast.id(), window)):
+            tables = _tables(key, shared.value)
+            for batch in batches:
+                clean = [not any(True for s in tables for _ in s.find(w)) for w in map(words_of, batch.column(at).to_pylist())]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

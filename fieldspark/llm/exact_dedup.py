@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, nested
 
 CHUNKS = r"(?s).{512,4096}?(?:(?<=[.,;:!?] )|\z)|.{1,4096}"
 
@@ -72,8 +72,11 @@ def exact_groups(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; repeated (doc_id, text) rows stay once."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
-    tagged = docs.withColumn("_sha", F.sha2(normalise(F.col("text")), 256))
-    out = tagged.join(kept, F.expr("_keep <=> doc_id") & (tagged["_sha"] == kept["_sha"]), "left_semi")
-    return out.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    """The rows of docs that stay, with all their columns; rows that repeat an id and a normalised text stay once.
+
+    Null texts count as empty. Rows are named by (doc_id, text digest), so different texts under one id are different
+    rows, and no column name can clash. An empty table gives an empty result.
+    """
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")).distinct()
+    rows = nested(docs).withColumn("sha", F.sha2(normalise(F.col("text")), 256))
+    return rows.join(kept, F.expr("id <=> doc_id and digest = sha"), "left_semi").dropDuplicates(["doc_id", "sha"]).select("row.*")

@@ -11,17 +11,18 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, nested
 
 MAX_LABELLED = 4000
 VOCABULARY = 8192
 EVIDENCE = 4.0  # words of evidence a posterior may rest on; more are averaged down, which keeps memberships soft
-STEPS = 40
+STEPS = 120
 TOLERANCE = 1e-6
 ALPHA = 0.7
 
@@ -98,7 +99,8 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tole
     """Steps of the projected gradient on the least squares of expected shares against targets.
 
     Documents count by their tokens; the residual is whitened by the Gram matrix of the memberships, for which a step
-    of one is safe. members: a stored table (n_tokens, p).
+    of one is safe. Stops when the residual is within tolerance or moves by no more than it (targets that nonnegative
+    rates can't reach keep a residual); warns if neither comes within `steps`. members: a stored table (n_tokens, p).
     """
     d = len(targets)
     total = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
@@ -110,11 +112,15 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tole
         m[r.i, r.j] = m[r.j, r.i] = r.v / total
     whiten = np.linalg.pinv(m, rcond=1e-9)
     history: list[list[float]] = []
+    last = np.full(d, np.inf)
     for _ in range(steps):
         residual = _totals(members, F.col("n_tokens") * _rate(history), d) / total - targets
-        if np.abs(residual).max() <= tolerance:
+        if np.abs(residual).max() <= tolerance or np.abs(residual - last).max() <= tolerance / 10:
             break
         history.append((whiten @ residual).tolist())
+        last = residual
+    else:
+        warnings.warn(f"rates did not settle in {steps} steps; residual {np.abs(residual).max():.2g} of all tokens", RuntimeWarning, stacklevel=2)
     return history
 
 
@@ -152,7 +158,14 @@ def mixture(docs: DataFrame, labels: DataFrame, domain: str = "lang", weights: d
 
 
 def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, alpha: float = ALPHA) -> DataFrame:
-    """The rows of docs, each as often as its rate asks for, with all their columns."""
-    rates = mixture(docs, labels, domain, weights, alpha).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    out = docs.join(rates, F.expr("_id <=> doc_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.drop("_id", "_copies", "_copy")
+    """The rows of docs, each as often as its rate asks for, with all their columns.
+
+    Rates belong to (doc_id, text), so rows that share a doc_id keep rates of their own; equal rows have equal rates. Null
+    and empty texts count by the prior. An empty table gives an empty result.
+    """
+    rows = nested(docs)
+    inner = rows.select("doc_id", "th", "text", F.col(f"row.`{domain}`").alias("domain"))
+    taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"))
+    rates = mixture(inner, taught, "domain", weights, alpha, ["doc_id", "th"]).groupBy(F.col("doc_id").alias("id"), F.col("th").alias("hash")).agg(F.max("copies").alias("copies"))
+    out = rows.join(rates.where("copies > 0"), F.expr("id <=> doc_id and hash = th"))
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

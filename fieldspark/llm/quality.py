@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_rows
+from .common import materialize, slices, text_rows
 
 TERMS = 2048
 MAX_LABELLED = 4096
@@ -74,16 +74,19 @@ class QualityModel:
     labels: np.ndarray
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """Exact blocked cosine products against all labelled vectors; scores of 0.5 if there are none."""
+        """Exact blocked cosine products against all labelled vectors; scores of 0.5 if there are none. All vectors as
+        near as the last of the NEIGHBOURS nearest vote, so ties have no order."""
         if not len(self.labels):
             return np.full(len(texts), 0.5)
         raws = [t.encode() for t in texts]
         z = vectors(np.stack([term_counts(r) for r in raws]), np.stack([shape_terms(t, r) for t, r in zip(texts, raws)]), self.idf)
         sims = _unit(z @ self.basis) @ self.labelled.T
         k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        weights = np.maximum(np.take_along_axis(sims, near, 1).astype(np.float64), 1e-3) ** POWER
-        return np.clip((weights * self.labels[near]).sum(1) / weights.sum(1), 0.0, 1.0)
+        last = np.partition(sims, -k, axis=1)[:, -k]
+        row, near = np.nonzero(sims >= last[:, None])
+        weights = np.maximum(sims[row, near].astype(np.float64), 1e-3) ** POWER
+        n = len(texts)
+        return np.clip(np.bincount(row, weights * self.labels[near], n) / np.bincount(row, weights, n), 0.0, 1.0)
 
 
 def held_out(doc_id):
@@ -132,21 +135,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     return QualityModel(idf, basis, _unit(z @ basis), np.array([r.label for r in got]))
 
 
-def with_scores(docs: DataFrame, model: QualityModel, name: str = "_quality_score") -> DataFrame:
-    """docs with all its columns and a score column. Null text counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_labelled and TERMS
-    at = docs.columns.index("text")
+def with_scores(rows: DataFrame, model: QualityModel) -> DataFrame:
+    """(doc_id, text, score) of the rows (doc_id, text). Null text counts as empty."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by max_labelled and TERMS
 
     def run(batches):
-        m = shared.value
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                scores = m.score([t or "" for t in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, name])
+        for part in slices(batches, 256):
+            scores = shared.value.score([t or "" for t in part.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.float64())], names=["doc_id", "text", "score"])
 
-    schema = docs.limit(0).withColumn(name, F.lit(0.0)).schema
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, "doc_id long, text string, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -156,10 +154,22 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     labelled row all scores are 0.5. An empty table gives an empty result. Extra columns are not read.
     """
     rows = text_rows(docs)
-    scored = with_scores(rows, fit(rows, labels, max_labelled), "score")
+    scored = with_scores(rows, fit(rows, labels, max_labelled))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """The rows of docs that score at least THRESHOLD, with all their columns."""
-    return with_scores(docs, fit(docs, labels, max_labelled)).where(F.col("_quality_score") >= THRESHOLD).drop("_quality_score")
+    """The rows of docs that score at least THRESHOLD, with all their columns, whatever their names.
+
+    Rows are scored one by one, so repeated or null ids and repeated rows don't matter; null texts count as empty.
+    Without any labelled row all scores are 0.5 and nothing stays. An empty table gives an empty result.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_labelled))  # bounded by max_labelled and TERMS
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for part in slices(batches, 256):
+            scores = shared.value.score([t or "" for t in part.column(at).to_pylist()])
+            yield part.filter(pa.array([s >= THRESHOLD for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -11,10 +11,10 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_rows
+from .common import nested, text_rows
 
 #: The patterns of the three base kinds.
 VALUE = r"[A-Za-z0-9+/_.=-]+"
@@ -24,6 +24,8 @@ HEX = r"[0-9a-f]{24,}"
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "markov")
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: Fixed value: the form of UUIDs, which are names rather than secrets although their digits are random.
+UUID = r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
 LOW, SYMBOLS = 43, 80  # '+' .. 'z'
 MIN_RATIO = 10.0  # total log-likelihood ratio, in nats
 SAMPLE_DOCS = 400
@@ -112,44 +114,63 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secret_spans(docs: DataFrame, table: list[float] | None = None, min_ratio: float = MIN_RATIO) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans for every row.
-
-    Base spans are whole matches; Markov spans are those that overlap no base span. Null text counts as empty and has
-    no spans; repeated rows give a row each; an empty table gives an empty result; other columns are not read.
-    table: log ratios from train(); by default trained on labelled_samples of docs.
-    """
-    table = table or train(labelled_samples(docs))
-    ratios = F.from_json(F.lit(json.dumps(table)), "array<double>")
+def _found(rows: DataFrame, ratios: Column, min_ratio: float) -> DataFrame:
+    """Adds base and markov, arrays of (start, kind, end), to rows that have a text column; its other columns stay."""
+    own = rows.columns
     low = F.lower("text")
     hinted = low.contains(WORDS[0])
     for w in WORDS[1:]:
         hinted = hinted | low.contains(w)
-    rows = text_rows(docs).withColumns({"_hint": hinted, "_run": F.col("text").rlike(RUN)})
+    rows = rows.withColumns({"_hint": hinted, "_run": F.col("text").rlike(RUN)})
     rows = _spans(rows, "assign", ASSIGN, 0, "_hint")
     rows = _spans(rows, "access", ACCESS, 1, "_run")
     rows = _spans(rows, "hex", HEX, 2, "_run")
     rows = _spans(rows, "markov", RUN, 3, "_run")
     bare = lambda name: F.transform(name, lambda s: F.struct(s["start"], s["kind"], s["end"]))
     rows = rows.select(
-        "doc_id",
+        *own,
         bare(F.filter("assign", lambda s: F.char_length(s["value"]) >= 6)).alias("assign"),
         bare("access").alias("access"),
         bare("hex").alias("hex"),
-        bare(F.filter("markov", lambda s: _ratio(ratios, s["match"]) >= min_ratio)).alias("markov"),
+        bare(F.filter("markov", lambda s: ~s["match"].rlike(UUID) & (_ratio(ratios, s["match"]) >= min_ratio))).alias("markov"),
     )
     rows = rows.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    rows = rows.withColumn("markov", F.filter("markov", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
+    return rows.withColumn("markov", F.filter("markov", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
+
+
+def _log_ratios(docs: DataFrame, table: list[float] | None) -> Column:
+    return F.from_json(F.lit(json.dumps(table or train(labelled_samples(docs)))), "array<double>")
+
+
+def secret_spans(docs: DataFrame, table: list[float] | None = None, min_ratio: float = MIN_RATIO) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans for every row.
+
+    Base spans are whole matches; Markov spans are those that overlap no base span and are no UUID. Null text counts as
+    empty and has no spans; repeated rows give a row each; an empty table gives an empty result; other columns are not
+    read. table: log ratios from train(); by default trained on labelled_samples of docs.
+    """
+    rows = _found(text_rows(docs), _log_ratios(docs, table), min_ratio)
     count = lambda name: F.size(name).cast("long").alias(f"n_{name}")
     return rows.select("doc_id", *map(count, KINDS), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.array_sort(F.concat("base", "markov"))).alias("spans"))
 
 
-def mask_secrets(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
-    """(doc_id, text) with the values of assignments and the access and hex strings replaced by <secret>."""
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), ASSIGN, "<secret>")
-    return docs.select("doc_id", F.regexp_replace(F.regexp_replace(text, ACCESS, "<secret>"), HEX, "<secret>").alias("text"))
+def mask_secrets(docs: DataFrame, table: list[float] | None = None, min_ratio: float = MIN_RATIO, mask: str = "<secret>") -> DataFrame:
+    """docs with all its columns, its text with every span of secret_spans replaced by the mask (spans that overlap: once).
+
+    Null text stays null; texts without spans are unchanged; repeated rows and ids, and column names, don't matter. An
+    empty table gives an empty result.
+    """
+    rows = _found(nested(docs).select("row", "text"), _log_ratios(docs, table), min_ratio)
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        fresh = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), fresh.alias("out"))
 
+    def end(acc: Column) -> Column:
+        return F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.char_length("text")))
 
-def spark_samples(spark: SparkSession, rows: list[tuple[str, int]]) -> DataFrame:
-    """A small table of labelled samples."""
-    return spark.createDataFrame(rows, "sample string, random int")
+    spans = F.array_sort(F.concat("base", "markov"))
+    text = F.when(F.col("row.text").isNull() | (F.size(spans) == 0), F.col("row.text")).otherwise(F.aggregate(spans, start, step, end))
+    return rows.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

@@ -20,13 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_rows
+from .common import materialize, nested, text_rows
 from .components import components
 
 BITS = 3
 SHINGLE = 3
 BLOCK = 2048
 SMALL_KEYS = 100_000
+#: Fingerprints whose keys one task makes.
+KEYED = 16_384
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^9+x^7+x^6+x^5+x+1.
 GENERATOR = 0b101011100011
 
@@ -141,14 +143,14 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint's 64 bits as a signed long."""
+    """(doc_id, th, fp) for every row; fp is the fingerprint's 64 bits as a signed long, th the text's hash."""
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], names=["doc_id", "th", "fp"])
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, fp long")
+    return text_rows(docs).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def _keyed(distinct: DataFrame) -> DataFrame:
@@ -165,6 +167,7 @@ def _keyed(distinct: DataFrame) -> DataFrame:
 
 def links(distinct: DataFrame, block: int = BLOCK, small_keys: int = SMALL_KEYS) -> DataFrame:
     """(a, b): links between distinct fingerprints that join up all pairs within BITS, directly or through others."""
+    distinct = distinct.repartition(max(1, -(-distinct.count() // KEYED)), "fp")  # some 70 keys each: small tasks
     shared = materialize(_keyed(distinct).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "golay-keys")
     few = shared.count() <= small_keys  # the check of the broadcast's size; beyond it the join shuffles and AQE splits hot keys
     members = _keyed(distinct).join(F.broadcast(shared) if few else shared, "key")
@@ -191,22 +194,33 @@ def simhash_components(docs: DataFrame, block: int = BLOCK, small_keys: int = SM
     ids give a row each; a null doc_id stays null and never names a component unless it is alone. An empty table gives
     an empty result. Columns other than doc_id and text are not read.
     """
+    return _components(docs, block, small_keys).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _components(docs: DataFrame, block: int = BLOCK, small_keys: int = SMALL_KEYS) -> DataFrame:
+    """(doc_id, th, fp, component_id, component) for every row; component is a fingerprint of the component."""
     rows = materialize(fingerprints(docs), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     comp = components(links(distinct, block, small_keys))
     labelled = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     names = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = materialize(labelled.join(names, "component").select("fp", "component_id"), "fingerprint-components")
-    return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = materialize(labelled.join(names, "component").select("fp", "component_id", "component"), "fingerprint-components")
+    return rows.join(of, "fp").select("doc_id", "th", "fp", "component_id", "component")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component: the one with the smallest doc_id (repeats of it by the smallest text hash)."""
-    ids = materialize(simhash_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")), "kept-ids")
-    kept = ids.distinct()
-    out = docs.join(kept, F.expr("_keep <=> doc_id"), "left_semi")
-    if ids.count() == kept.count():  # no doc_id repeats among them, so the texts move once
-        return out
-    out = out.withColumn("_text", F.xxhash64("text"))
-    first = out.groupBy("doc_id").agg(F.min("_text").alias("_first")).withColumnRenamed("doc_id", "_keep")
-    return out.join(first, F.expr("_keep <=> doc_id and _first = _text"), "left_semi").dropDuplicates(["doc_id"]).drop("_text")
+    """One row of docs for each component, with all its columns: the one with the smallest doc_id (null ids last, repeats
+    of an id by the smallest text hash; equal rows stay once).
+
+    Null texts count as empty; texts without words are one component. An empty table gives an empty result. Rows are
+    named by (doc_id, text hash), so different texts under one id are different rows, and no column name can clash.
+    """
+    placed = _components(docs).groupBy("component", F.col("doc_id").alias("id"), F.col("th").alias("hash")).agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "hash", "n")).alias("first")
+    kept = materialize(placed.groupBy("component").agg(first).select("first.id", "first.hash", "first.n"), "kept-rows")
+    rows, same = nested(docs), F.expr("id <=> doc_id and hash = th")
+    once = rows.join(kept.where("n = 1"), same, "left_semi").select("row.*")
+    if kept.where("n > 1").isEmpty():
+        return once  # no equal rows among them, so the texts move once
+    repeated = rows.join(kept.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "th"])
+    return once.union(repeated.select("row.*"))

@@ -136,7 +136,7 @@ def test_decontamination(spark):
                         hit |= set(range(k, k + len(p)))
                         ids |= who
             r = got[i]
-            assert (r.n_words, r.n_hit, r.n_items, r.contaminated, r.items_sha256) == (len(w), len(hit), len(ids), bool(hit), decontaminate.items_digest(ids))
+            assert (r.n_words, r.n_hit, r.n_items, r.contaminated, r.items_sha256) == (len(w), len(hit), len(ids), bool(hit), hashlib.sha256(','.join(sorted(map(str, ids))).encode()).hexdigest())
     assert {r.doc_id for r in decontaminate.decontaminate(table(spark, docs), bench).collect()} == {2, 3, 4}
 
 
@@ -228,7 +228,7 @@ def test_secrets(spark):
 
 
 def test_markov_training(spark):
-    table_ = secrets.train(secrets.spark_samples(spark, [("ababab", 0), ("abab", 0), ("a7a7z", 1), (None, 1), ("é", 1)]))
+    table_ = secrets.train(spark.createDataFrame([("ababab", 0), ("abab", 0), ("a7a7z", 1), (None, 1), ("é", 1)], "sample string, random int"))
     at = lambda a, b: table_[(ord(a) - 43) * 80 + ord(b) - 43]
     assert at("a", "b") < 0 < at("a", "7") and len(table_) == 6400
 
@@ -260,10 +260,11 @@ def test_suffix_array_kernels():
         segments = [rng.integers(97, 99, rng.integers(20, 60), dtype=np.uint8).tobytes() for _ in range(4)]
         raw, sizes = b"".join(segments), [len(s) for s in segments]
         ends = np.repeat(np.cumsum(sizes), sizes)
-        sa, _ = suffix_dedup.suffix_array(np.frombuffer(raw, np.uint8), ends)
+        sa = suffix_dedup.suffix_array(np.frombuffer(raw, np.uint8), ends)
         cut = [raw[i : ends[i]] for i in sa]
         assert cut == sorted(cut)
-        lcp = suffix_dedup.kasai(raw, sa, ends, 1000)
+        stops = np.cumsum(sizes)
+        lcp = suffix_dedup.kasai(raw, sa, stops - sizes, stops, 1000)
         for k in range(1, len(cut)):
             n = int(lcp[k])
             assert cut[k][:n] == cut[k - 1][:n] and cut[k][n : n + 1] != cut[k - 1][n : n + 1] or n == min(len(cut[k]), len(cut[k - 1]))
@@ -274,7 +275,7 @@ def _jaccard(a, b):
 
 
 def _shingles(line):
-    return {line[m.start() : m.start() + 9] for m in re.finditer(r"\S{1,8}\s*|\s+", line, re.A)}
+    return {line[k : k + 9] for k in range(max(1, len(line) - 8))}
 
 
 def test_fuzzy_lines(spark):
@@ -301,7 +302,6 @@ def test_fuzzy_lines(spark):
     got = {(r.doc_id, r.line_no): (r.keep_doc_id, r.keep_line_no) for r in fuzzy_lines.line_groups(table(spark, docs)).collect()}
     assert got.keys() == want.keys()
     assert sum(got[k] == want[k] for k in want) >= 0.98 * len(want)  # banding has high, not full, recall
-    assert all(_jaccard(_shingles(dict(((i, n), t) for i, n, t in places)[k]), sets[0]) is not None for k in list(got)[:3])
     out = {r.doc_id: r.text for r in fuzzy_lines.dedup_lines(table(spark, docs)).collect()}
     assert out[50] is None and out[51] == "" and out[52] == "z" * 9000
 
