@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from .common import stored
 from .knn import nearest
+from .ordering import offsets, ranked
 from .spatial import Side, range_join
 
 FINISH = 4096
@@ -29,15 +30,15 @@ def _numpy_sort(p: np.ndarray, ids: np.ndarray, depth: int) -> np.ndarray:
 def geometric_sort(points: DataFrame, axes: list[str], key: str = "id", finish: int = FINISH) -> DataFrame:
     """(key, place): the order of recursive halving along axis depth mod d, descending, ties by key.
 
-    The upper levels number each node's rows by a window; nodes of at most `finish` rows are finished in one group each.
+    The upper levels number all rows by one range sort of (node, coordinate, id), of which a node's first place is known;
+    nodes of at most `finish` rows are finished in one group each.
     """
     cur = stored(points.select(F.col(key).alias("id"), *axes).withColumns({"lo": F.lit(0).cast("long"), "n": F.lit(points.count()).cast("long")}))
     depth = 0
     while not cur.where(F.col("n") > finish).isEmpty():
-        w = Window.partitionBy("lo").orderBy(F.col(axes[depth % len(axes)]).desc(), "id")
+        order = ranked(cur, [F.col("lo"), F.col(axes[depth % len(axes)]).desc(), F.col("id")], "_place")  # the nodes tile the places
         h = F.floor(F.col("n") / 2)
-        first = F.row_number().over(w) <= h
-        cur = stored(cur.withColumn("_f", first).select("id", *axes, F.when(F.col("_f"), F.col("lo")).otherwise(F.col("lo") + h).alias("lo"), F.when(F.col("_f"), h).otherwise(F.col("n") - h).alias("n")))
+        cur = stored(order.withColumn("_f", F.col("_place") - F.col("lo") < h).select("id", *axes, F.when(F.col("_f"), F.col("lo")).otherwise(F.col("lo") + h).alias("lo"), F.when(F.col("_f"), h).otherwise(F.col("n") - h).alias("n")))
         depth += 1
 
     def finish_node(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -51,7 +52,8 @@ def cluster_tree(points: DataFrame, axes: list[str], key: str = "id", min_size:
     """(clusters, members): halving along the widest axis, ascending, while a cluster has more than min_size points.
 
     clusters: (level, cluster, parent, n, lo_0.., hi_0..); members: (key, cluster) with the leaf of each point. The root is
-    cluster 1 and the children of c are 2c and 2c + 1.
+    cluster 1 and the children of c are 2c and 2c + 1. While a cluster has over FINISH points, the rows are numbered by a
+    range sort of all of them and each cluster's first place; below that by windows.
     """
     if min_size < 2:
         raise ValueError("min_size must be over 1")
@@ -68,8 +70,12 @@ def cluster_tree(points: DataFrame, axes: list[str], key: str = "id", min_size:
         width = F.array(*(F.col(f"hi_{i}") - F.col(f"lo_{i}") for i in range(len(axes))))
         axis = F.array_position(width, F.array_max(width)).cast("int")
         held = cur.join(split.select("c", "n", axis.alias("_axis")), "c").withColumn("_x", F.element_at(F.array(*axes), F.col("_axis")))
-        rank = F.row_number().over(Window.partitionBy("c").orderBy("_x", "id"))
-        cur = stored(held.withColumn("_r", rank).select("id", *axes, (2 * F.col("c") + (F.col("_r") > F.floor(F.col("n") / 2)).cast("long")).alias("c")))
+        if split.where(F.col("n") > FINISH).isEmpty():
+            numbered = held.withColumn("_r", F.row_number().over(Window.partitionBy("c").orderBy("_x", "id")))
+        else:
+            at = offsets(split, "c", "n").select("c", "start")
+            numbered = ranked(stored(held), [F.col("c"), F.col("_x"), F.col("id")], "_place").join(at, "c").withColumn("_r", F.col("_place") - F.col("start") + 1)
+        cur = stored(numbered.select("id", *axes, (2 * F.col("c") + (F.col("_r") > F.floor(F.col("n") / 2)).cast("long")).alias("c")))
         level += 1
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].union(union(parts[1:]))
     return union(trees), union(leaves)

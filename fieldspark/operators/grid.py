@@ -199,6 +199,10 @@ def flip(g: Grid) -> Grid:
     return Grid(df, tuple(-b for b in g.hi), tuple(-a for a in g.lo), g.shape)
 
 
+#: Kernel points that a row of the grid meets at once.
+TAPS = 4096
+
+
 def convolve(f: Grid, g: Grid, checks: bool = False) -> Grid:
     """Full discrete convolution times the cell volume; boxes add. g is the kernel: each of f's points is spread over it.
 
@@ -208,9 +212,11 @@ def convolve(f: Grid, g: Grid, checks: bool = False) -> Grid:
         raise ValueError("grids of different spacing")
     if checks:
         _shift(f, g)
-    kernel = g.df.where("v <> 0").select(F.struct(*(F.col(a).alias(a) for a in g.index), F.col("v").alias("w")).alias("t"), F.pmod(F.hash(*g.index), F.lit(64)).alias("part"))
-    packs = kernel.groupBy("part").agg(F.collect_list("t").alias("taps"))  # 64 packs of taps
-    spread = f.df.where("v <> 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63)))).join(packs, "part").select(*f.index, "v", F.explode("taps").alias("t"))
+    taps = g.df.where("v <> 0")
+    n = max(1, -(-taps.count() // TAPS))
+    kernel = taps.select(F.struct(*(F.col(a).alias(a) for a in g.index), F.col("v").alias("w")).alias("t"), F.pmod(F.hash(*g.index), F.lit(n)).alias("part"))
+    packs = kernel.groupBy("part").agg(F.collect_list("t").alias("taps"))  # n packs of some TAPS taps
+    spread = f.df.where("v <> 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(packs, "part").select(*f.index, "v", F.explode("taps").alias("t"))
     sums = spread.select(*((F.col(a) + F.col(f"t.{a}")).alias(a) for a in f.index), (F.col("v") * F.col("t.w")).alias("x")).groupBy(*f.index).agg((F.sum("x") * f.cell_volume).alias("v"))
     shape = tuple(n + m - 1 for n, m in zip(f.shape, g.shape))
     full = lattice(f.df.sparkSession, shape).join(sums, f.index, "left").select(*f.index, F.coalesce("v", F.lit(0.0)).alias("v"))

@@ -74,7 +74,8 @@ def cg_steihaug(hess, g: np.ndarray, radius: float = math.inf, tol: float = 1e-8
     """min g'x + x'Hx/2 within the radius (in the preconditioner's norm): x, the reason it ended and the steps.
 
     hess(x) is one aggregation over the data. The x of a gradient that is already small is zero. On leaving the region,
-    or along negative curvature, x lies on its boundary.
+    or along negative curvature, x lies on its boundary, at the end of the line where the model is lower; without a radius
+    negative curvature gives the iterate before.
     """
     solve, weigh = precondition or (lambda v: v, lambda v: v)
     x, r = np.zeros_like(g), g.astype(float).copy()
@@ -84,9 +85,10 @@ def cg_steihaug(hess, g: np.ndarray, radius: float = math.inf, tol: float = 1e-8
     if first == 0 or first < 1e-300:
         return x, "tolerance_achieved", 0
 
-    def edge(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    def edge(x: np.ndarray, p: np.ndarray, slope: float, curve: float) -> np.ndarray:
         a, b, c = p @ weigh(p), 2 * (x @ weigh(p)), x @ weigh(x) - radius**2
-        return x + (-b + math.sqrt(max(b * b - 4 * a * c, 0))) / (2 * a) * p
+        root = math.sqrt(max(b * b - 4 * a * c, 0))
+        return x + min(((-b + root) / (2 * a), (-b - root) / (2 * a)), key=lambda t: t * slope + t * t * curve / 2) * p
 
     for k in range(1, (max_iter or 4 * len(g)) + 1):
         hp = hess(p)
@@ -94,11 +96,11 @@ def cg_steihaug(hess, g: np.ndarray, radius: float = math.inf, tol: float = 1e-8
         if not math.isfinite(curve):
             return x, "INF OR NAN", k
         if curve <= 0:
-            return (edge(x, p) if math.isfinite(radius) else (x if x.any() else p)), "encountered_negative_curvature", k
+            return (edge(x, p, float(r @ p), curve) if math.isfinite(radius) else x), "encountered_negative_curvature", k
         alpha = rz / curve
         trial = x + alpha * p
         if trial @ weigh(trial) >= radius**2:
-            return edge(x, p), "exited_trust_region", k
+            return edge(x, p, float(r @ p), curve), "exited_trust_region", k
         x, r = trial, r + alpha * hp
         z = solve(r)
         new = float(r @ z)

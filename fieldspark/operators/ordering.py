@@ -39,11 +39,15 @@ def to_global(rows: DataFrame, starts: DataFrame, batch: str = "batch", offset:
     return out.withColumn("ind", F.when(ok, F.col("start") + F.col(offset)).otherwise(F.raise_error(F.lit("offset out of range")))).drop("start", "length")
 
 
-def to_batch(rows: DataFrame, starts: DataFrame, ind: str = "ind", batch: str = "batch", width: int = 1 << 16) -> DataFrame:
+def to_batch(rows: DataFrame, starts: DataFrame, ind: str = "ind", batch: str = "batch", width: int | None = None) -> DataFrame:
     """Adds batch and offset to global indices; indices outside all batches get nulls (filter or raise on them).
 
-    An equi-join on blocks of indices: each batch emits the blocks it touches.
+    An equi-join on blocks of indices: each batch emits the blocks it touches. Blocks are as wide as the mean length, so
+    the batches emit twice their number of rows at most.
     """
+    if width is None:
+        total = starts.where("length > 0").agg(F.sum("length").alias("sum"), F.count(F.lit(1)).alias("n")).first()
+        width = max(1, -(-int(total["sum"] or 1) // max(total["n"], 1)))
     stop = F.col("start") + F.col("length")
     cut = starts.where("length > 0").select(batch, "start", stop.alias("_stop"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((stop - 1) / width))).alias("_block"))
     return rows.withColumn("_block", F.floor(F.col(ind) / width)).join(cut, (F.col(ind) >= F.col("start")) & (F.col(ind) < F.col("_stop")) & (rows[ind].isNotNull()) & (F.floor(F.col(ind) / width) == cut["_block"]), "left").select(

@@ -101,14 +101,19 @@ def boxes_overlap(a: DataFrame, b: DataFrame, lo: list[str], hi: list[str], **op
 
 
 def balls_meet_boxes(balls: DataFrame, centre: list[str], radius: str, boxes: DataFrame, lo: list[str], hi: list[str], **options) -> DataFrame:
-    """Ball-box pairs: squared distance of the clamped centre at most r^2; a negative radius counts as its absolute value."""
+    """Ball-box pairs: squared distance of the clamped centre at most r^2; a negative radius counts as its absolute value.
+
+    The centre is clamped to the upper corner first and to the lower one last, so along an axis on which a box is inside
+    out it is its lower corner that counts.
+    """
     r = F.abs(F.col(radius))
     held = balls.withColumns({f"_lo{i}": F.col(c) - r for i, c in enumerate(centre)} | {f"_hi{i}": F.col(c) + r for i, c in enumerate(centre)})
     gaps = [c - F.greatest(F.least(c, h), a) for c, a, h in zip(_cols("l_", centre), _cols("r_", lo), _cols("r_", hi))]
     on = sum((g * g for g in gaps), F.lit(0.0)) <= F.col("l_" + radius) * F.col("l_" + radius)
     n = range(len(centre))
-    out = range_join(Side(held, [f"_lo{i}" for i in n], [f"_hi{i}" for i in n]), Side(boxes, lo, hi), on, **options)
-    return out.drop(*(f"l__lo{i}" for i in n), *(f"l__hi{i}" for i in n))
+    turned = boxes.withColumns({f"_top{i}": F.greatest(F.col(a), F.col(b)) for i, (a, b) in enumerate(zip(lo, hi))})
+    out = range_join(Side(held, [f"_lo{i}" for i in n], [f"_hi{i}" for i in n]), Side(turned, lo, [f"_top{i}" for i in n]), on, **options)
+    return out.drop(*(f"l__lo{i}" for i in n), *(f"l__hi{i}" for i in n), *(f"r__top{i}" for i in n))
 
 
 def points_in_ellipsoids(points: DataFrame, axes: list[str], ellipsoids: DataFrame, mu: list[str], sigma: list[list[str]], tau: float, inclusive: bool = True, **options) -> DataFrame:

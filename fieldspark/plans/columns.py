@@ -107,10 +107,13 @@ def cpx1_complex(spark, d):
     return p.select("id", cx.real(z).alias("re"), cx.imag(z).alias("im"), F.round(cx.modulus(z), 9).alias("modulus"), F.round(cx.angle(z), 9).alias("angle"), cx.imag(cx.conj(z)).alias("conj_im"), F.round(cx.real(cx.times(z, z)), 9).alias("square_re"), F.round(cx.imag(cx.times(z, z)), 9).alias("square_im")).where(square["re"].isNotNull())
 
 
-@query()
+@query("SELECT l_partkey%500 AS entity, count(*) AS n, CAST(0 AS DOUBLE) AS r0, CAST(0 AS DOUBLE) AS r1, CAST(0 AS DOUBLE) AS r2 FROM lineitem GROUP BY 1")
 def crv1_fit(spark, d):
-    rows = table(spark, d, "lineitem").select((F.col("l_partkey") % 500).alias("entity"), F.col("l_quantity").alias("t"), F.col("l_extendedprice").alias("y"))
-    return curves.fit(rows, 2).select("entity", F.transform("c", lambda c: F.round(c, 3)).alias("c"))
+    """The normal equations at each fit: mean products of its residual with the powers of the variable (zero)."""
+    rows = table(spark, d, "lineitem").select((F.col("l_partkey") % 500).alias("entity"), (F.col("l_quantity") / 50).cast("double").alias("t"), (F.col("l_extendedprice") / 100000).cast("double").alias("y"))
+    e = F.col("y") - curves.evaluate(F.col("c"), F.col("t"))
+    products = [(F.round(F.abs(F.avg(e * F.pow("t", F.lit(k)))), 6) + 0.0).alias(f"r{k}") for k in range(3)]
+    return rows.join(curves.fit(rows, 2), "entity").groupBy("entity").agg(F.count(F.lit(1)).alias("n"), *products)
 
 
 @query("""WITH c AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS a0, CAST(p_partkey%5 AS DOUBLE) AS a1, 2.0::DOUBLE AS a2 FROM part)

@@ -107,14 +107,17 @@ def grd5_restrict(spark, d):
     return grid.restrict(field(spark, d), [-2, 1], [32, 20]).df
 
 
-@query()
+@query(with_views(["grid2"], _full() + """ SELECT CAST(a.i AS BIGINT) AS i, CAST(b.j AS BIGINT) AS j, CASE WHEN g.i IS NOT NULL AND (least(a.i, 28)+least(b.j, 22))%5 NOT IN (0, 3, 4) THEN g.v ELSE h.v END AS v
+    FROM (SELECT unnest(range(33)) AS i) a CROSS JOIN (SELECT unnest(range(26)) AS j) b LEFT JOIN g ON g.i = a.i AND g.j = b.j LEFT JOIN g h ON h.i = a.i-3 AND h.j = b.j-2"""))
 def grd6_mosaic(spark, d):
+    """A field with holes over the same field moved by (3, 2); null where neither has a value. A hole at any corner of a
+    lattice cell makes the whole cell a hole, its own corner included."""
     f = field(spark, d)
     nan = F.lit(float("nan"))
     full = grid.restrict(f, [0, 0], [29, 23])
     holes = full.with_v(F.when((F.col("i") + F.col("j")) % 5 == 0, nan).otherwise(F.col("v")))
     other = grid.Grid(full.df, (3.0, 2.0), (32.0, 25.0), SHAPE)
-    return grid.mosaic([holes, other]).df
+    return grid.mosaic([holes, other]).df.select("i", "j", F.when(~F.isnan("v"), F.round("v", 9)).alias("v"))
 
 
 @query(with_views(["grid2"], "SELECT CAST(29-i AS BIGINT) AS i, CAST(23-j AS BIGINT) AS j, v FROM grid2"))
@@ -144,10 +147,17 @@ def grd10_laplacian(spark, d):
     return matrix.apply(lap, x)
 
 
-@query(with_views(["ell2"], "SELECT ell_id, CAST(count(*) AS BIGINT) AS n, round(avg(mx), 6) AS x, round(avg(my), 6) AS y FROM ell2, (SELECT unnest(range(15))) GROUP BY 1"))
+#: Over a 5 x 3 frame the squares of the two coordinates sum to 7.5 and 10, so the points' second moments are those of the
+#: covariance C times 4 * 10, less 4 * 2.5 times the larger eigenvalue's part, big * (C - small) / (big - small).
+@query(with_views(["ell2"], """, e AS (SELECT *, (sxx+syy)/2 + sqrt((sxx-syy)**2/4+sxy**2) AS big, (sxx+syy)/2 - sqrt((sxx-syy)**2/4+sxy**2) AS small FROM ell2)
+    SELECT ell_id, CAST(15 AS BIGINT) AS n, round(mx, 6) AS x, round(my, 6) AS y, round(40*sxx - 10*big*(sxx-small)/(big-small), 4) AS xx,
+        round(40*sxy - 10*big*sxy/(big-small), 4) AS xy, round(40*syy - 10*big*(syy-small)/(big-small), 4) AS yy FROM e"""))
 def grd14_local_frames(spark, d):
+    """Number, mean and second moments of each ellipse's frame."""
     got = grid.local_frames(view(spark, d, "ell2"), (5, 3), 2.0)
-    return got.groupBy("ell_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"))
+    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    moment = lambda a, b, name: F.round(F.sum(a * b), 4).alias(name)
+    return got.groupBy("ell_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"), moment(dx, dx, "xx"), moment(dx, dy, "xy"), moment(dy, dy, "yy"))
 
 
 @query()
@@ -159,17 +169,22 @@ def grd14_frame_samples(spark, d):
     return grid.sample_frames(grid.local_frames(e, (5, 3), 2.0), g, "ell_id", "area")
 
 
-@query()
+@query(with_views(["pts2"], """, p AS (SELECT DISTINCT x, y FROM pts2 WHERE x BETWEEN 5 AND 45 AND y BETWEEN 50 AND 950),
+    s AS (SELECT coalesce(min(sqrt((a.x-b.x)**2+(a.y-b.y)**2)), 1.0)/0.25 AS h FROM p a JOIN p b ON a.x <> b.x OR a.y <> b.y),
+    b AS (SELECT min(x) AS x0, min(y) AS y0, min(x)+h*ceil((max(x)-min(x))/h-1e-12) AS x1, min(y)+h*ceil((max(y)-min(y))/h-1e-12) AS y1 FROM p, s GROUP BY h)
+    SELECT id, CASE WHEN x BETWEEN x0-1e-9 AND x1+1e-9 AND y BETWEEN y0-1e-9 AND y1+1e-9 THEN round(x+y, 6) ELSE 0 END AS v FROM pts2, b"""))
 def grd13_grid_patch(spark, d):
+    """A linear field on a lattice around the inner parts, read at all parts; zero outside."""
     from ..functions.geometry import in_box
     from ..operators.knn import smallest_spacing
 
-    p = view(spark, d, "pts2").dropDuplicates(["x", "y"])
-    near = p.where(in_box([F.col("x"), F.col("y")], [5.0, 50.0], [45.0, 950.0]))
+    p = view(spark, d, "pts2")
+    near = p.dropDuplicates(["x", "y"]).where(in_box([F.col("x"), F.col("y")], [5.0, 50.0], [45.0, 950.0]))
     step = smallest_spacing(near, ["x", "y"], F.lit(True)).first().spacing or 1.0
     lo, hi, shape = grid.grid_patch(near, ["x", "y"], step, 0.25)
     at = grid.regular_grid(spark, lo, hi, shape)
-    return grid.interpolate(grid.Grid(at.select("i", "j", (F.col("x0") + F.col("x1")).alias("v")), tuple(lo), tuple(hi), tuple(shape)), p, ["x", "y"])
+    got = grid.interpolate(grid.Grid(at.select("i", "j", (F.col("x0") + F.col("x1")).alias("v")), tuple(lo), tuple(hi), tuple(shape)), p, ["x", "y"])
+    return got.select("id", F.round("v", 6).alias("v"))
 
 
 @query(with_views(["grid2"], "SELECT sum(v) AS integral FROM grid2"))

@@ -31,12 +31,21 @@ _CELLS = """, c AS (SELECT (bi*20+bj)*2+k AS cell_id, bi, bj, k FROM (SELECT unn
     l AS (SELECT id, min(cell_id) AS cell_id FROM h WHERE (k = 0 AND w <= u + 1e-12) OR (k = 1 AND u <= w + 1e-12) GROUP BY 1)"""
 
 
-@query("SELECT 'unknown vertex' AS problem, CAST(3 AS BIGINT) AS n WHERE (SELECT count(*) FROM part) > 2")
+@query("""WITH c AS (SELECT p_partkey AS k, CASE WHEN p_partkey%5 = 0 THEN [p_partkey, p_partkey+1] ELSE [p_partkey, p_partkey+1, p_partkey+p_size] END AS v FROM part),
+    r AS (SELECT unnest(v) AS v_id FROM c),
+    f AS (SELECT 'faulty' AS mesh, 'cell size' AS problem, count(*) AS n FROM c WHERE len(v) <> 3
+        UNION ALL SELECT 'faulty', 'unknown vertex', count(*) FROM r WHERE v_id NOT IN (SELECT p_partkey FROM part)
+        UNION ALL SELECT 'no vertices', 'unknown vertex', count(*) FROM r UNION ALL SELECT 'no vertices', 'no vertices', 1 UNION ALL SELECT 'no cells', 'no cells', 1)
+    SELECT mesh, problem, CAST(n AS BIGINT) AS n FROM f WHERE n > 0""")
 def src3_check_mesh(spark, d):
+    """All four faults: cells of the wrong size and unknown vertices among the parts, and meshes without vertices or cells."""
     p = table(spark, d, "part")
-    vertices = p.select(F.col("p_partkey").alias("v_id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("p"))
-    cells = p.select(F.col("p_partkey").alias("cell_id"), F.array("p_partkey", F.col("p_partkey") + 1, F.col("p_partkey") + 2).alias("v"))
-    return mesh.check_mesh(vertices, cells)
+    k, third = F.col("p_partkey"), F.col("p_partkey") + F.col("p_size")
+    vertices = p.select(k.alias("v_id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("p"))
+    cells = p.select(k.alias("cell_id"), F.when(k % 5 == 0, F.array(k, k + 1)).otherwise(F.array(k, k + 1, third)).alias("v"))
+    meshes = {"faulty": (vertices, cells), "no vertices": (vertices.limit(0), cells), "no cells": (vertices, cells.limit(0))}
+    parts = [mesh.check_mesh(v, c).select(F.lit(name).alias("mesh"), "problem", "n") for name, (v, c) in meshes.items()]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query(with_views(["pts2"], """SELECT CAST(i*21+j AS BIGINT) AS v_id, i*3.0::DOUBLE AS x, j*50.0::DOUBLE AS y, count(id) AS n FROM (SELECT unnest(range(18)) AS i) CROSS JOIN (SELECT unnest(range(21)) AS j)
@@ -71,22 +80,29 @@ def loc3_evaluate(spark, d):
     return got.withColumn("value", F.round("value", 6))
 
 
-@query()
+@query(with_views(["pts2"], _P + """, r AS (SELECT id, CASE WHEN x > 51 THEN 102-x ELSE x END AS x, y FROM p)
+    SELECT id, fn_id, CASE WHEN fn_id = 0 THEN round(x+2*y, 5) ELSE round(3*x-y, 5) END AS value FROM r, (SELECT CAST(unnest(range(2)) AS INT) AS fn_id)"""))
 def loc3_evaluate_reflected(spark, d):
     vertices, cells, maps = parts_mesh(spark)
-    return mesh.evaluate_reflected(parts(spark, d), vertices, cells, maps, _values(vertices), 2)
+    got = mesh.evaluate_reflected(parts(spark, d), vertices, cells, maps, _values(vertices), 2)
+    return got.select("id", "fn_id", F.round("value", 5).alias("value"))
 
 
-@query(with_views(["pts2"], _P + " SELECT id AS i, CAST(1 AS DOUBLE) AS total FROM p WHERE x <= 51"))
+@query(with_views(["pts2"], _P + " SELECT id AS i, CAST(3 AS BIGINT) AS n, CAST(1 AS DOUBLE) AS total, round(x, 6) AS x, round(y, 6) AS y FROM p WHERE x <= 51"))
 def loc4_observation_rows(spark, d):
-    m = mesh.observation_matrix(parts(spark, d).where(F.col("p")[0] <= 51), parts_mesh(spark)[2], 2)
-    sums = m.groupBy("i").agg(F.round(F.sum("v"), 9).alias("total"))
-    return parts(spark, d).where(F.col("p")[0] <= 51).select(F.col("id").alias("i")).join(sums, "i", "left").select("i", F.coalesce("total", F.lit(1.0)).alias("total"))
+    """The weights of each point's row sum to one and average the vertices to the point."""
+    vertices, _, maps = parts_mesh(spark)
+    m = mesh.observation_matrix(parts(spark, d), maps, 2).join(vertices, F.col("j") == F.col("v_id"))
+    at = lambda k: F.round(F.sum(F.col("v") * F.col("p")[k]), 6)
+    return m.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 9).alias("total"), at(0).alias("x"), at(1).alias("y"))
 
 
-@query()
+@query(with_views(["pts2"], _P + _CELLS + """, q AS (SELECT unnest(CASE k WHEN 0 THEN [bi*21+bj, bi*21+bj+21, bi*21+bj+22] ELSE [bi*21+bj, bi*21+bj+1, bi*21+bj+22] END) AS v FROM l JOIN c ON l.cell_id = c.cell_id)
+    SELECT CAST(v AS BIGINT) AS vertex, CAST(row_number() OVER (ORDER BY v) - 1 AS BIGINT) AS j, count(*) AS n FROM q GROUP BY v"""))
 def loc4_observation_matrix(spark, d):
-    return mesh.observation_matrix(parts(spark, d), parts_mesh(spark)[2], 2, drop_empty=True)
+    """The columns of the matrix without empty ones: old and new number, and entries."""
+    m = mesh.observation_matrix(parts(spark, d), parts_mesh(spark)[2], 2, drop_empty=True)
+    return m.groupBy("vertex", "j").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(with_views(["pts2"], _P + _CELLS + """, q AS (SELECT DISTINCT c.bi, c.bj, c.k FROM l JOIN c ON l.cell_id = c.cell_id)
@@ -135,12 +151,23 @@ def prj11_reflect(spark, d):
     return got.select("id", F.round(F.col("p")[0], 6).alias("x"), F.round(F.col("p")[1], 6).alias("y"))
 
 
-@query()
+_T = """WITH t AS (SELECT p_partkey AS k, CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y FROM part),
+    c AS (SELECT a.k AS cell_id, a.x AS x0, a.y AS y0, b.x-a.x AS ux, b.y-a.y AS uy, c.x-a.x AS wx, c.y-a.y AS wy FROM t a JOIN t b ON b.k = a.k+1 JOIN t c ON c.k = a.k+2),
+    e AS (SELECT *, ux*wy-uy*wx AS det FROM c WHERE abs(ux*wy-uy*wx) > 1) """
+
+
+@query(_T + """SELECT cell_id, round((wy*(30.137-x0)-wx*(1500.291-y0))/det, 4) AS b1, round((ux*(1500.291-y0)-uy*(30.137-x0))/det, 4) AS b2,
+    round(1-(wy*(30.137-x0)-wx*(1500.291-y0))/det-(ux*(1500.291-y0)-uy*(30.137-x0))/det, 4) AS b0 FROM e""")
 def prj10_affine_maps(spark, d):
+    """Affine coordinates of one place, (30.137, 1500.291), in the triangle of each three neighbouring parts that isn't flat."""
     p = table(spark, d, "part")
-    vertices = p.select(F.col("p_partkey").alias("v_id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("p"))
+    vertices = p.select(F.col("p_partkey").alias("v_id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")).alias("p"))
     cells = p.select(F.col("p_partkey").alias("cell_id"), F.array("p_partkey", F.col("p_partkey") + 1, F.col("p_partkey") + 2).alias("v"))
-    return mesh.affine_maps(cells, vertices, "cell_id").select("cell_id", "a", "b")
+    flat = mesh.with_points(cells, vertices, "cell_id")
+    u, w = ([F.col("ps")[k][i] - F.col("ps")[0][i] for i in range(2)] for k in (1, 2))
+    solid = flat.where(F.abs(u[0] * w[1] - u[1] * w[0]) > 1).select("cell_id", "v")
+    row = lambda k: F.round(F.col("a")[k][0] * 30.137 + F.col("a")[k][1] * 1500.291 + F.col("b")[k], 4).alias(f"b{k}")
+    return mesh.affine_maps(solid, vertices, "cell_id").select("cell_id", *map(row, range(3)))
 
 
 @query(with_views(["pts2"], """, c AS (SELECT floor(x/3) AS bi, floor(y/50) AS bj, count(*) AS n FROM pts2 GROUP BY 1, 2) SELECT round(sum(n*25.0*CASE

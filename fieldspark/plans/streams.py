@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators.common import stored  # noqa: F401
+from ..operators.common import scratch
 from ..streaming import streams
 from .base import query
 from .views import table, view, with_views
@@ -13,14 +13,7 @@ def _stream(spark, d, name):
 
 
 def _base(spark):
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return scratch(spark, "stream")
 
 
 def _drain(spark, df, mode="append"):
@@ -68,4 +61,4 @@ def str4_nearest_sites(spark, d):
     sites = view(spark, d, "balls2").select(F.col("ball_id").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
     path = _base(spark)
     streams.nearest_sites(pts, sites, ["x", "y"], 2, path + "/out", path + "/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path + "/out")
+    return spark.read.parquet(path + "/out").drop("batch")

@@ -73,9 +73,10 @@ def first_crossing_times(series: DataFrame, threshold: float, window: str, late:
 
 
 def nearest_sites(events: DataFrame, sites: DataFrame, axes: list[str], k: int, path: str, checkpoint: str, key: str = "id"):
-    """A query that appends each micro-batch's nearest sites to a Parquet folder."""
+    """A query that writes each micro-batch's nearest sites to the folder path/batch=N; a batch that is run again after a
+    failure replaces what it had written."""
 
-    def step(batch: DataFrame, _n: int) -> None:
-        nearest(sites, batch, axes, k, key, key).write.mode("append").parquet(path)
+    def step(batch: DataFrame, n: int) -> None:
+        nearest(sites, batch, axes, k, key, key).write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

@@ -235,6 +235,8 @@ def test_trust_region_parts():
     assert why == "exited_trust_region" and abs(np.linalg.norm(x) - 0.1) < 1e-12
     x, why, _ = iterate.cg_steihaug(lambda p: -h @ p, g, radius=2.0)
     assert why == "encountered_negative_curvature" and abs(np.linalg.norm(x) - 2) < 1e-12
+    x, why, _ = iterate.cg_steihaug(lambda p: -h @ p, g)
+    assert why == "encountered_negative_curvature" and not x.any()  # without a radius: the iterate before
     assert iterate.cg_steihaug(lambda p: h @ p, 0 * g)[0].tolist() == [0, 0, 0]
     assert iterate.cg_steihaug(lambda p: p * math.nan, g)[1] == "INF OR NAN"
 

@@ -10,7 +10,7 @@ from fieldspark.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 MAY_BE_EMPTY = {"jns8_ellipsoid_pairs"}  # no ellipses touch in the smallest tables
-SLOW = {"mat4_range_finder", "mat7_low_rank_product", "itr7_inverse_sqrt", "itr1_conjugate_gradient", "itr6_lanczos", "grd11_smooth_field", "jns10_block_pairs", "win7_ellipsoid_batches"}
+
 
 
 def rows_of(df):
@@ -34,7 +34,7 @@ def test_against_sql(spark, sf, duck, name):
     assert rows_of(got) == rows_of(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, sf, name):
     n = registry.QUERIES[name](spark, sf).count()
     assert n > 0 or name in MAY_BE_EMPTY
