@@ -354,3 +354,21 @@ def test_mixing_many_domains(spark):
     assert np.allclose((p * (n * rate)[:, None]).sum(0) / n.sum(), np.array(list(weights.values())) / 30, atol=1e-4)
     with pytest.raises(ValueError, match="d99"):
         mixing.mixture(docs, labels, weights=weights | {"d99": 1.0})
+
+
+def test_anchors_of_long_texts(monkeypatch):
+    """Texts longer than a piece name the same anchor for every window as in one piece."""
+    raw = np.random.default_rng(5).integers(97, 105, 20_000, dtype=np.uint8).tobytes() + b"z" * 1500
+
+    def named():
+        out = {}
+        for first, windows, place in suffix_dedup._anchors(raw):
+            for k in range(windows):
+                assert first + k not in out
+                out[first + k] = place
+        return out
+
+    whole = named()
+    assert sorted(whole) == list(range(len(raw) - 399)) and all(w <= p <= w + 400 - suffix_dedup.GRAM for w, p in whole.items())
+    monkeypatch.setattr(suffix_dedup, "PIECE", 3000)
+    assert named() == whole
