@@ -27,12 +27,15 @@ LENGTH = 400
 GRAM = 64
 PIECE = 1 << 22
 ROWS = 256
-SHARD_BYTES = 1 << 19
-#: An anchor of so many segments is less than 1.5 MiB in a shard, each segment twice.
-HOT_SEGMENTS = 1000
+SHARD_BYTES = 1 << 20
+#: An anchor of so many segments is less than 1 MiB in a shard, each segment twice.
+HOT_SEGMENTS = 650
 RANGE_ROWS = 500_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 
+#: Masks of the first bytes of a word.
+_FRONT = np.array([(1 << 64) - (1 << 64 - 8 * k) for k in range(8)], np.uint64)
+
 
 def _anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM):
     """(first window, windows, place of the anchor) of every anchor occurrence of a text."""
@@ -96,34 +99,33 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(text)
     if n >= 1 << 21:
         raise ValueError("a shard must be smaller than 2 MiB")
-    depth = int((ends - np.arange(n)).max(initial=0))
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    left = np.minimum(ends - np.arange(n), 7)
-    key = np.zeros(n, np.uint64)
-    for k in range(7):
-        key = key << np.uint64(8) | np.where(k < left, padded[k : k + n], 0).astype(np.uint64)
-    key = key << np.uint64(8) | left.astype(np.uint64)
+    rest = (ends - np.arange(n)).astype(np.int32)  # bytes to the end of the segment
+    depth = int(rest.max(initial=0))
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    left = np.minimum(rest, 7)
+    key = np.ndarray(n, ">u8", padded, 0, (1,)).astype(np.uint64) & _FRONT[left] | left.astype(np.uint64)  # seven bytes and their number
     sa = np.argsort(key)
     sorted_ = key[sa]
     heads = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
-    slots, h = np.arange(n), 7
+    rank = np.zeros(n + depth, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(heads, np.arange(n, dtype=np.int32), 0))
+    slots, h = np.arange(n, dtype=np.int32), 7
     while h < depth:
         # Larsson-Sadakane: groups of one are final; only the others are sorted again, by the rank h further on.
-        starts = np.flatnonzero(heads)
-        sizes = np.diff(np.append(starts, len(heads)))
-        slots = slots[np.repeat(sizes > 1, sizes)]
+        open_ = ~heads
+        open_[:-1] |= ~heads[1:]
+        slots = slots[open_]
         if not len(slots):
             break
         at = sa[slots]
-        further = np.where(at + h < ends[at], rank[np.minimum(at + h, n - 1)], -1)
-        both = np.sort((rank[at] << 42) + ((further + 1) << 21) + at)  # the place in the low bits: no indirect sort
+        further = np.where(rest[at] > h, rank[at + h] + 1, 0).astype(np.int64)
+        both = (rank[at].astype(np.int64) << 42) | (further << 21) | at
+        both.sort()  # the place in the low bits: no indirect sort
         at = both & ((1 << 21) - 1)
         sa[slots] = at
         both >>= 21
         heads = np.concatenate([[True], both[1:] != both[:-1]])
-        rank[at] = slots[np.maximum.accumulate(np.where(heads, np.arange(len(slots)), 0))]
+        rank[at] = slots[np.maximum.accumulate(np.where(heads, np.arange(len(slots), dtype=np.int32), 0))]
         h *= 2
     return sa
 
@@ -135,27 +137,31 @@ def kasai(raw: bytes, sa: np.ndarray, starts: np.ndarray, stops: np.ndarray, cap
     the chains of all segments advance together, eight bytes a comparison.
     """
     n = len(sa)
-    words = np.ndarray(n, "<u8", raw + bytes(8), 0, (1,))
-    ends = np.repeat(stops, stops - starts)
-    before = np.full(n, -1, np.int64)
+    words = np.ndarray(n + 1, "<u8", raw + bytes(8), 0, (1,))
+    sizes = stops - starts
+    rest = np.append(np.repeat(stops, sizes) - np.arange(n), 0)
+    before = np.full(n, n, np.int64)  # the first suffix has none before it: place n, where nothing is left
     before[sa[1:]] = sa[:-1]
-    order = np.argsort(starts - stops)  # longest segments first, so those that still run are in front
-    begins, sizes = starts[order], (stops - starts)[order]
+    order = np.argsort(-sizes)  # longest segments first, so those that still run are in front
+    begins, sizes = starts[order], sizes[order]
+    running = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0)).tolist()
     out = np.zeros(n, np.int64)
-    held = np.zeros(len(begins), np.int64)
-    for t in range(int(sizes[0]) if len(sizes) else 0):
-        m = int(np.searchsorted(-sizes, -t))
+    held = np.ones(len(begins), np.int64)
+    for t, m in enumerate(running):
         i = begins[:m] + t
         j = before[i]
-        top = np.where(j < 0, 0, np.minimum(np.minimum(ends[i] - i, ends[j] - j), cap))
+        top = np.minimum(np.minimum(sizes[:m] - t, rest[j]), cap)
         h = np.minimum(np.maximum(held[:m] - 1, 0), top)
         live = np.flatnonzero(h < top)
-        while len(live):
-            at = h[live]
-            x = words[i[live] + at] ^ words[j[live] + at]
-            same = np.where(x == 0, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3).astype(np.int64)
-            h[live] = at = np.minimum(at + same, top[live])
-            live = live[(same == 8) & (at < top[live])]
+        if len(live):
+            x, y, most, at = i[live], j[live], top[live], h[live]
+            while len(live):
+                apart = words[x + at] ^ words[y + at]
+                same = np.bitwise_count((apart & (~apart + np.uint64(1))) - np.uint64(1)) >> 3  # equal bytes in front: 0 to 8
+                at = np.minimum(at + same, most)
+                h[live] = at
+                on = (same == 8) & (at < most)
+                live, x, y, most, at = live[on], x[on], y[on], most[on], at[on]
         held[:m] = h
         out[i] = h
     return out[sa]
