@@ -1,7 +1,7 @@
 """Exact nearest neighbours.
 
-In two or three dimensions: grid cells, rings of cells that double until the k-th distance fits inside the ring, then a
-windowed top k (which Spark limits before the shuffle). In many dimensions: blocks of points against a bounded set of
+In two or three dimensions: grid cells, rings of cells that grow until the k-th distance fits inside the ring, then a
+windowed top k (which Spark limits before the shuffle); each round is stored and goes on with the unsolved queries only. In many dimensions: blocks of points against a bounded set of
 queries by matrix products, exact distances for the best of each block, and the same top k.
 """
 
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import stored
+
 
 def top_k(pairs: DataFrame, k: int, query: str = "q", item: str = "id", distance: str = "dsq") -> DataFrame:
     """The k nearest items of each query, ties by the smaller id, with `rank` from 1."""
@@ -22,6 +24,35 @@ def top_k(pairs: DataFrame, k: int, query: str = "q", item: str = "id", distance
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Far queries that are left are compared with all points in one pass when they are no more than this.
+FEW = 512
+
+
+def _whole(df: DataFrame, name: str) -> bool:
+    return df.schema[name].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
+def _scanned(pts: DataFrame, todo: DataFrame, axes: list[str], k: int) -> DataFrame:
+    """(q, id, dsq): the k nearest of each batch of points to each of a few queries (broadcast), exact differences."""
+    rows = todo.collect()  # at most FEW
+    q = np.array([r.q for r in rows], np.int64)
+    v = np.array([[r["_" + a] for a in axes] for r in rows], np.float64)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                ids = part.column(0).to_numpy()
+                dsq = sum((part.column(1 + i).to_numpy()[None, :] - v[:, i : i + 1]) ** 2 for i in range(len(axes)))
+                m = min(k, len(ids))
+                last = np.partition(dsq, m - 1, axis=1)[:, m - 1 : m]
+                a, b = np.nonzero(dsq <= last)  # with all ties
+                yield pa.RecordBatch.from_arrays([pa.array(q[a]), pa.array(ids[b]), pa.array(dsq[a, b])], names=["q", "id", "dsq"])
+
+    held = pts.select(F.col("id").cast("long").alias("id"), *(F.col(a).cast("double").alias(a) for a in axes))
+    return held.mapInArrow(run, "q long, id long, dsq double")
+
+
 def nearest(points: DataFrame, queries: DataFrame, axes: list[str], k: int, point_id: str = "id", query_id: str = "id", others: bool = False) -> DataFrame:
     """(q, id, dsq, rank): the k nearest points of every query, squared distances ascending, ties by id.
 
@@ -37,12 +68,14 @@ def nearest(points: DataFrame, queries: DataFrame, axes: list[str], k: int, poin
         return found
     spans = [max(float(stats["hi" + a] - stats["lo" + a]), 1e-300) for a in axes]
     wide = max(spans) if max(spans) > 1e-300 else 1.0
-    # cells of equal sides that hold about `want` points each
-    side = wide * (want / stats["n"] * math.prod(s / wide for s in spans if s > 1e-9 * wide)) ** (1 / d) if stats["n"] > want else wide * 1.01
+    # Cells of equal sides that hold about `want` points each where most points are: a few far ones don't widen them.
+    most = [max(hi - lo, 0.0) for lo, hi in pts.approxQuantile(axes, [0.02, 0.98], 0.01)] if stats["n"] > want else spans
+    core = max(most) if max(most) > 0 else wide
+    side = core * (want / stats["n"] * math.prod(s / core for s in most if s > 1e-9 * core)) ** (1 / d) if stats["n"] > want else wide * 1.01
     far = max(abs(float(stats[e + a])) for e in ("lo", "hi") for a in axes)
     side = max(side, wide / (1 << 20), far / (1 << 40))  # cell numbers stay within longs
     reach = F.greatest(*(F.greatest(F.abs(F.col("_" + a) - float(stats["lo" + a])), F.abs(F.col("_" + a) - float(stats["hi" + a]))) for a in axes), F.lit(0.0)) if d else None
-    ring, rounds = 1, 0
+    ring = 1
     while True:
         w = side * ring  # one cell to each side at this width is a ring of `ring` cells
         cells = pts.select("*", *(F.floor(F.col(a) / w).alias("_c" + a) for a in axes))
@@ -55,18 +88,22 @@ def nearest(points: DataFrame, queries: DataFrame, axes: list[str], k: int, poin
         if others:
             pairs = pairs.where("q <> id")
         pairs = pairs.select("q", "id", dsq.alias("dsq"), F.least(F.lit(float("inf")), *(F.least(F.col("_" + a) - (F.floor(F.col("_" + a) / w) - 1) * w, (F.floor(F.col("_" + a) / w) + 2) * w - F.col("_" + a)) for a in axes)).alias("safe"), (reach < w).alias("all"))
-        best = top_k(pairs, k)
+        best = stored(top_k(pairs, k))
         full = best.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("dsq").alias("far"), F.first("safe").alias("safe"), F.first("all").alias("all"))
         solved = full.where(F.col("all") | ((F.col("n") >= k) & (F.col("far") <= F.col("safe") * F.col("safe")))).select("q")
-        last = todo.where(reach >= w).isEmpty()
-        if last:
+        if todo.where(reach >= w).isEmpty():
             return found.union(best.select("q", "id", "dsq", "rank"))
-        solved = solved.cache()
-        found = found.union(best.join(solved, "q", "left_semi").select("q", "id", "dsq", "rank"))
-        todo = todo.join(solved, "q", "left_anti")
-        if rounds == 0 and todo.isEmpty():
+        solved = stored(solved)
+        found = stored(found.union(best.join(solved, "q", "left_semi").select("q", "id", "dsq", "rank")))
+        todo = stored(todo.join(solved, "q", "left_anti"))
+        left = todo.count()
+        if not left:
             return found
-        rounds, ring = rounds + 1, ring * (2 if rounds else 4)
+        if left <= FEW and ring > 1 and _whole(todo, "q") and _whole(pts, "id"):
+            rest = _scanned(pts, todo, axes, want)
+            rest = top_k(rest.where("q <> id") if others else rest, k)
+            return found.union(rest.select("q", F.col("id").cast(pts.schema["id"].dataType).alias("id"), "dsq", "rank"))
+        ring *= 4
 
 
 def nearest_vectors(points: DataFrame, queries: DataFrame, k: int, point_id: str = "id", vector: str = "p", query_id: str = "id", slack: int = 8, max_queries: int = 20_000) -> DataFrame:
