@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 from itertools import permutations
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -60,10 +61,11 @@ def with_points(simplices: DataFrame, vertices: DataFrame, key: str) -> DataFram
     return rows.groupBy(key, "v").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "p"))), lambda s: s["p"]).alias("ps")).where(F.size("ps") == F.size("v"))
 
 
-def affine_maps(simplices: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
+def affine_maps(simplices: DataFrame, vertices: DataFrame, key: str, feet: bool = False) -> DataFrame:
     """(key, v, lo, hi, a, b): box and the map a p + b to affine coordinates (least squares for lower-dimensional simplices).
 
-    a is a list of rows, one a vertex. Batched small solves over the simplex table, to be stored once.
+    a is a list of rows, one a vertex; feet=True adds `m`, one list of dim rows of the map and its offsets (zeros
+    for missing vertices), then of the map p -> foot, the point with those coordinates, and its offset. Batched small solves over the simplex table, to be stored once.
     """
 
     def solve(batches):
@@ -78,10 +80,15 @@ def affine_maps(simplices: DataFrame, vertices: DataFrame, key: str) -> DataFram
                     a = np.concatenate([-inv.sum(1, keepdims=True), inv], axis=1)
                     b = -np.einsum("nij,nj->ni", a, x[:, 0])
                     b[:, 0] += 1
-                yield pd.DataFrame({key: part[key].to_numpy(), "v": part["v"].to_numpy(), "lo": x.min(1).tolist(), "hi": x.max(1).tolist(), "a": a.tolist(), "b": b.tolist()})
+                out = {key: part[key].to_numpy(), "v": part["v"].to_numpy(), "lo": x.min(1).tolist(), "hi": x.max(1).tolist(), "a": a.tolist(), "b": b.tolist()}
+                if feet:
+                    d = x.shape[2]
+                    full = [np.pad(a, [(0, 0), (0, d - n), (0, 0)]), np.pad(b, [(0, 0), (0, d - n)]), np.einsum("nji,njk->nik", x, a), np.einsum("nji,nj->ni", x, b)]
+                    out["m"] = np.concatenate([f.reshape(len(x), -1) for f in full], axis=1).tolist()
+                yield pd.DataFrame(out)
 
     rows = with_points(simplices, vertices, key)
-    return rows.mapInPandas(solve, f"{key} {dict(rows.dtypes)[key]}, v array<long>, lo array<double>, hi array<double>, a array<array<double>>, b array<double>")
+    return rows.mapInPandas(solve, f"{key} {dict(rows.dtypes)[key]}, v array<long>, lo array<double>, hi array<double>, a array<array<double>>, b array<double>" + ", m array<double>" * feet)
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -151,19 +158,24 @@ def closest_points(points: DataFrame, vertices: DataFrame, cells: DataFrame, map
     corners = boundary_vertices(faces).join(vertices, "v_id").select(F.col("v_id").alias("id"), *(F.col("p")[i].alias(f"x{i}") for i in range(dim)))
     radius = nearest(corners, out, axes, 1).select(F.col("q").alias("id"), (F.sqrt("dsq") * (1 + 1e-14)).alias("r"))
     balls = out.join(radius, "id")
-    subs, relation = subfaces(faces)
-    sub_maps = stored(affine_maps(subs.select(F.array_join(F.transform("subface", lambda x: x.cast("string")), ",").alias("sub"), F.col("subface").alias("v")), vertices, "sub").join(
-        with_points(subs.select(F.array_join(F.transform("subface", lambda x: x.cast("string")), ",").alias("sub"), F.col("subface").alias("v")), vertices, "sub").select("sub", "ps"), "sub"))
-    boxes = with_points(faces.select("face_id", F.col("face").alias("v")), vertices, "face_id").select("face_id", F.col("v").alias("face"), *(F.array_min(F.transform("ps", _part(i))).alias(f"lo{i}") for i in range(dim)), *(F.array_max(F.transform("ps", _part(i))).alias(f"hi{i}") for i in range(dim)))
+    # Every face with its box and the maps of its sub-faces, numbered by face and place.
+    many = 1 << dim
+    parts = faces.select("face_id", F.posexplode(powerset(F.col("face"))).alias("k", "v")).where(F.size("v") > 0).select((F.col("face_id") * many + F.col("k")).alias("sub_id"), "v")
+    maps = affine_maps(parts, vertices, "sub_id", feet=True).withColumn("face_id", F.floor(F.col("sub_id") / many))
+    faces = stored(maps.groupBy("face_id").agg(F.collect_list(F.struct("v", "m")).alias("subs"), *(F.max_by(c, F.size("v")).alias(c) for c in ("lo", "hi"))))
+    boxes = faces.select("face_id", *(F.col(c)[i].alias(f"{c}{i}") for c in ("lo", "hi") for i in range(dim)))
     pairs = balls_meet_boxes(balls, axes, "r", boxes, [f"lo{i}" for i in range(dim)], [f"hi{i}" for i in range(dim)])
-    wanted = pairs.select(F.col("l_id").alias("id"), F.col("l_p").alias("p"), F.explode(powerset(F.col("r_face"))).alias("s")).where(F.size("s") > 0)
-    wanted = wanted.select("id", "p", F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("sub")).distinct()
-    bary = _affine(F.col("a"), F.col("b"), F.col("p"))
-    tried = wanted.join(sub_maps, "sub").withColumn("bary", bary).where(F.forall("bary", lambda x: x >= 0))
-    foot = F.array(*(_dot(F.col("bary"), F.transform("ps", _part(i))) for i in range(dim)))
-    tried = tried.withColumn("foot", foot)
-    dsq = F.aggregate(F.zip_with("foot", "p", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    best = tried.groupBy("id").agg(F.min_by("foot", F.struct(dsq, F.col("sub"))).alias("q"))
+    pairs = pairs.select(F.col("l_id").alias("id"), *(F.col("l_" + x).alias(x) for x in axes), F.col("r_face_id").alias("face_id")).join(faces.select("face_id", "subs"), "face_id")
+    row = lambda m, at: sum((m[at * dim + i] * F.col(x) for i, x in enumerate(axes)), F.lit(0.0))
+    tried = []
+    for k in range(many - 1):
+        m = F.get(F.col("subs"), F.lit(k))["m"]
+        bary = [row(m, j) + m[dim * dim + j] for j in range(dim)]
+        foot = [row(m, dim + 1 + j) + m[(2 * dim + 1) * dim + j] for j in range(dim)]
+        dsq = sum(((f - F.col(x)) * (f - F.col(x)) for f, x in zip(foot, axes)), F.lit(0.0))
+        tried.append(F.when(reduce(and_, [c >= 0 for c in bary]), F.struct(dsq.alias("dsq"), F.get(F.col("subs"), F.lit(k))["v"].alias("v"), F.array(*foot).alias("foot"))))
+    closest = F.least(*tried) if len(tried) > 1 else tried[0]
+    best = pairs.select("id", closest.alias("m")).where("m is not null").groupBy("id").agg(F.min("m").alias("m")).select("id", F.col("m.foot").alias("q"))
     return marked.where("inside").select("id", F.col("p").alias("q")).union(best).withColumnRenamed("id", key)
 
 

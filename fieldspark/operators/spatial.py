@@ -1,13 +1,16 @@
-"""Range joins on a uniform grid of cells.
+"""Range joins on a ladder of grids.
 
 Each side emits the cells it touches, rows meet by an equi-join on the cell, the exact predicate follows, and a pair is
-kept only in the cell of the larger of the two lower corners, so nothing has to be made distinct. Rows that would touch
-more than `max_cells` cells are set apart and joined with the few like them by their cells on a coarser grid. Hot cells
-are split by Spark's skew join; `salt` spreads them further.
+kept only in the cell of the larger of the two lower corners, so nothing has to be made distinct. Along each axis a box is
+on the level of the ladder (each four times as wide as the last) on which it touches a bounded number of cells, and a pair
+meets on the wider of its two levels: every row emits its cells once for each combination of levels that the other side
+uses. So a box across the whole domain emits few rows, and points one for each combination. Hot cells are split by Spark's
+skew join; `salt` spreads them further.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -31,56 +34,100 @@ class Side:
         return cls(df, axes, axes)
 
 
+#: Levels are numbers below 32; a combination of levels takes five bits an axis.
+STEP, TOP = 4, 31
+
+
+def _extents(side: Side) -> list[Column]:
+    return [F.col(b) - F.col(a) for a, b in zip(side.lo, side.hi)]
+
+
 def cell_width(side: Side, share: float = 0.9) -> list[float]:
     """A cell width for each axis: the given percentile of the boxes' widths, 1 where they have none."""
-    row = side.df.agg(*(F.percentile_approx(F.col(b) - F.col(a), share).alias(f"w{i}") for i, (a, b) in enumerate(zip(side.lo, side.hi)))).first()
-    return [float(w) if w and w > 0 else 1.0 for w in row]
+    return _survey(side, share)[0]
 
 
-def _cells(side: Side, prefix: str, width: list[float], only: Column | None) -> DataFrame:
-    df = side.df.select(*(F.col(c).alias(prefix + c) for c in side.df.columns))
-    df = df.where(reduce(and_, [F.col(prefix + a) <= F.col(prefix + b) for a, b in zip(side.lo, side.hi)]))
-    spans = [(F.floor(F.col(prefix + a) / w), F.floor(F.col(prefix + b) / w)) for a, b, w in zip(side.lo, side.hi, width)]
-    if only is not None:
-        df = df.where(only)
+def _scale(extent: Column) -> Column:
+    """The least n with extent <= STEP ** n; -1000 for an extent of nothing."""
+    return F.when(extent > 0, F.ceil(F.log2(extent) / 2)).otherwise(-1000).cast("int")
+
+
+def _survey(side: Side, share: float = 0.9) -> tuple[list[float], list[tuple[int, ...]]]:
+    """Cell widths, and the combinations of scales of the boxes' sides (a few dozen an axis at most), in one job."""
     if side.lo == side.hi:
-        return df.select("*", *(s.alias(f"_c{i}") for i, (s, _) in enumerate(spans)))
-    for i, (s, e) in enumerate(spans):
-        df = df.select("*", F.explode(F.sequence(s, e)).alias(f"_c{i}"))
-    return df
+        return [1.0] * len(side.lo), [(-1000,) * len(side.lo)]
+    sides = _extents(side)
+    scales = F.collect_set(F.when(reduce(and_, [x >= 0 for x in sides]), F.struct(*(_scale(x).alias(f"s{i}") for i, x in enumerate(sides)))))
+    row = side.df.agg(*(F.percentile_approx(x, share).alias(f"w{i}") for i, x in enumerate(sides)), scales.alias("s")).first()
+    return [float(w) if w and w > 0 else 1.0 for w in row[:-1]], [tuple(s) for s in row["s"]]
 
 
-def _touched(side: Side, prefix: str, width: list[float]) -> Column:
-    return reduce(lambda x, y: x * y, [(F.floor(F.col(prefix + b) / w) - F.floor(F.col(prefix + a) / w) + 1).cast("double") for a, b, w in zip(side.lo, side.hi, width)])
+def _least(width: list[float], max_cells: int) -> list[int]:
+    """For each axis the largest scale that stays on the first level."""
+    held = max(1, int(max_cells ** (1 / len(width)) + 1e-9) - 2)
+    return [math.floor(math.log(w * held, STEP)) for w in width]
 
 
-def _meet(left: Side, right: Side, width: list[float], on: Column, salt: int, l_only, r_only) -> DataFrame:
-    a, b = _cells(left, "l_", width, l_only), _cells(right, "r_", width, r_only)
-    keys = [f"_c{i}" for i in range(len(width))]
-    if salt > 1:
-        a = a.withColumn("_salt", F.pmod(F.xxhash64(*(F.col("l_" + c) for c in left.lo)), F.lit(salt)))
-        b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).cast("long"))
-        keys.append("_salt")
-    once = [F.col(f"_c{i}") == F.floor(F.greatest("l_" + x, "r_" + y) / w) for i, (x, y, w) in enumerate(zip(left.lo, right.lo, width))]
-    meet = [(F.col("l_" + p) <= F.col("r_" + q)) & (F.col("r_" + r) <= F.col("l_" + t)) for p, q, r, t in zip(left.lo, right.hi, right.lo, left.hi)]
-    return a.join(b, keys).where(reduce(and_, once) & reduce(and_, meet) & on).drop(*keys)
+def _code(levels: list[int]) -> int:
+    return sum(n << 5 * i for i, n in enumerate(levels))
+
 
+def _codes(scales: list[tuple[int, ...]], least: list[int]) -> list[int]:
+    return sorted({_code([min(TOP, max(0, s - z)) for s, z in zip(row, least)]) for row in scales})
 
-def range_join(left: Side, right: Side, on: Column, width: list[float] | None = None, max_cells: int = MAX_CELLS, salt: int = 1) -> DataFrame:
+
+def _cells(side: Side, prefix: str, width: list[float], least: list[int], own: list[int], other: list[int], left: bool) -> DataFrame:
+    """Rows with the cells they touch (_c0, ...), the levels of the grid (_g0, ...) and the combination of levels (_lv)."""
+    df = side.df.select(*(F.col(c).alias(prefix + c) for c in side.df.columns))
+    lo, hi = ([F.col(prefix + c) for c in names] for names in (side.lo, side.hi))
+    df = df.where(reduce(and_, [a <= b for a, b in zip(lo, hi)]))
+    if own == other == [0]:
+        wide, df = [F.lit(w) for w in width], df.withColumn("_lv", F.lit(0))
+    else:
+        mine = F.lit(0)
+        if own != [0]:
+            mine = sum((F.shiftleft(F.greatest(F.lit(0), F.least(F.lit(TOP), _scale(b - a) - z)), 5 * i) for i, (a, b, z) in enumerate(zip(lo, hi, least))), F.lit(0))
+        df = df.withColumn("_own", mine).withColumn("_other", F.explode(F.array(*map(F.lit, other))))
+        first, second = ("_own", "_other") if left else ("_other", "_own")
+        level = [F.greatest(F.shiftright("_own", 5 * i).bitwiseAND(F.lit(31)), F.shiftright("_other", 5 * i).bitwiseAND(F.lit(31))) for i in range(len(width))]
+        df = df.withColumn("_lv", F.shiftleft(F.col(first).cast("long"), 20) + F.col(second)).withColumns({f"_g{i}": g for i, g in enumerate(level)}).drop("_own", "_other")
+        wide = [_wide(w, i) for i, w in enumerate(width)]
+    for i, (a, b, w) in enumerate(zip(lo, hi, wide)):
+        df = df.withColumn(f"_c{i}", F.floor(a / w) if side.lo == side.hi else F.explode(F.sequence(F.floor(a / w), F.floor(b / w))))
+    return df
+
+
+def _wide(width: float, axis: int) -> Column:
+    """The width of a cell on level _g of an axis."""
+    return F.lit(width) * F.expr(f"shiftleft(1L, 2 * _g{axis})")
+
+
+def range_join(left: Side, right: Side, on: Column, width: list[float] | None = None, max_cells: int = MAX_CELLS, salt: int = 1, even: bool = False) -> DataFrame:
     """Pairs whose boxes meet (closed) and that fulfil `on`; columns are prefixed with l_ and r_.
 
-    Boxes with lower corners above upper corners match nothing. Null coordinates match nothing.
+    Boxes with lower corners above upper corners match nothing. Null coordinates match nothing. A box emits at most
+    max_cells rows for each combination of levels of the other side. even=True says that all boxes touch few cells of the
+    given width, which saves looking at them.
     """
-    width = width or cell_width(right if left.lo == left.hi else left)
-    small_l, small_r = _touched(left, "l_", width) <= max_cells, _touched(right, "r_", width) <= max_cells
-    out = _meet(left, right, width, on, salt, small_l, small_r)
-    if left.lo == left.hi and right.lo == right.hi:
-        return out
-    coarse = [w * 64 for w in width]
-    out = out.union(_meet(left, right, coarse, on, salt, None, ~small_r).select(out.columns))
-    if left.lo != left.hi:
-        out = out.union(_meet(left, right, coarse, on, salt, ~small_l, small_r).select(out.columns))
-    return out
+    d = len(left.lo)
+    if even and width:
+        codes = [[0], [0]]
+        least = _least(width, max_cells)
+    else:
+        found = [_survey(left), _survey(right)]
+        width = width or found[left.lo == left.hi][0]
+        least = _least(width, max_cells)
+        codes = [_codes(scales, least) or [0] for _, scales in found]
+    a, b = _cells(left, "l_", width, least, codes[0], codes[1], True), _cells(right, "r_", width, least, codes[1], codes[0], False)
+    keys, levels = ["_lv", *(f"_c{i}" for i in range(d))], [f"_g{i}" for i in range(d)]
+    if salt > 1:
+        a = a.withColumn("_salt", F.pmod(F.xxhash64(*(F.col("l_" + c) for c in left.lo)), F.lit(salt)))
+        b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
+        keys.append("_salt")
+    wide = [F.lit(w) for w in width] if codes == [[0], [0]] else [_wide(w, i) for i, w in enumerate(width)]
+    once = [F.col(f"_c{i}") == F.floor(F.greatest("l_" + x, "r_" + y) / w) for i, (x, y, w) in enumerate(zip(left.lo, right.lo, wide))]
+    meet = [(F.col("l_" + p) <= F.col("r_" + q)) & (F.col("r_" + r) <= F.col("l_" + t)) for p, q, r, t in zip(left.lo, right.hi, right.lo, left.hi)]
+    return a.join(b.drop(*levels), keys).where(reduce(and_, once) & reduce(and_, meet) & on).drop(*keys, *levels)
 
 
 def _cols(prefix: str, names: list[str]) -> list[Column]:
@@ -140,7 +187,7 @@ def within_radius(points: DataFrame, centres: DataFrame, axes: list[str], radius
     held = centres.withColumns({f"_lo{i}": F.col(a) - radius for i, a in enumerate(axes)} | {f"_hi{i}": F.col(a) + radius for i, a in enumerate(axes)})
     dsq = sum(((x - y) * (x - y) for x, y in zip(_cols("l_", axes), _cols("r_", axes))), F.lit(0.0))
     n = range(len(axes))
-    out = range_join(Side(held, [f"_lo{i}" for i in n], [f"_hi{i}" for i in n]), Side.points(points, axes), dsq <= radius * radius, width=options.pop("width", None) or [radius] * len(axes), **options)
+    out = range_join(Side(held, [f"_lo{i}" for i in n], [f"_hi{i}" for i in n]), Side.points(points, axes), dsq <= radius * radius, **({"width": [radius] * len(axes), "even": True} | options))
     return out.drop(*(f"l__lo{i}" for i in n), *(f"l__hi{i}" for i in n)).withColumn("dsq", dsq)
 
 

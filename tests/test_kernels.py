@@ -313,3 +313,72 @@ def test_sources(spark, tmp_path):
     assert {(r.i, r.j): r.v for r in readers.read_raster(spark, str(tmp_path / "r.txt"), 3).collect()} == {(0, 2): 1, (0, 1): 2, (0, 0): 3, (1, 2): 4, (1, 1): 5, (1, 0): 6}
     readers.write_field(spark.range(4).withColumn("g", F.col("id") % 2), str(tmp_path / "out"), ["g"])
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def _clusters(rng, n, groups):
+    return np.concatenate([rng.normal(c, 1e-3, (n // groups, 2)) for c in rng.random((groups, 2)) * 1e4])
+
+
+@pytest.mark.parametrize("kind", ["clusters", "one place", "grid", "strings"])
+def test_nearest_in_tiles(spark, kind):
+    """Far clusters, a place with most points, ties, ids that are no numbers, queries far outside and repeated places."""
+    from fieldspark.operators import knn
+
+    rng = np.random.default_rng(5)
+    x = {"clusters": _clusters(rng, 4000, 5), "one place": np.concatenate([np.ones((3000, 2)), rng.random((1200, 2))]), "grid": np.stack(np.divmod(np.arange(3000), 60), 1) // 2.0, "strings": rng.random((700, 2))}[kind]
+    ids = rng.permutation(len(x)).tolist()
+    asked = np.concatenate([x[:80], rng.random((20, 2)) * 3 - 1, np.full((2, 2), 1e5)])
+    names = ids[:80] + [10**6 + i for i in range(22)]
+    if kind == "strings":
+        ids, names = [str(i) for i in ids], [str(i) for i in names]
+    frame = lambda i, p: spark.createDataFrame([(a, float(b), float(c)) for a, (b, c) in zip(i, p)] + [(ids[0], None, 1.0)], f"id {'string' if kind == 'strings' else 'long'}, x double, y double")
+    for k, others in ((1, True), (4, False)):
+        got = sorted((r.q, r["rank"], r.id, r.dsq) for r in knn.nearest(frame(ids, x), frame(names, asked), ["x", "y"], k, others=others).collect())
+        want = []
+        for q, p in zip(names, asked):
+            dsq = (x[:, 0] - p[0]) ** 2 + (x[:, 1] - p[1]) ** 2
+            best = sorted((d, i) for d, i in zip(dsq.tolist(), ids) if not (others and i == q))[:k]
+            want += [(q, n + 1, i, d) for n, (d, i) in enumerate(best)]
+        assert got == sorted(want)
+
+
+def test_nearest_splits_hot_tiles(spark, monkeypatch):
+    from fieldspark.operators import knn
+
+    monkeypatch.setattr(knn, "ASKED", 50)
+    x = np.random.default_rng(6).random((1500, 2))
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, x double, y double")
+    got = knn.nearest(df, df, ["x", "y"], 2).where("rank = 1").collect()
+    assert len(got) == 1500 and all(r.q == r.id and r.dsq == 0 for r in got)
+
+
+@pytest.mark.parametrize("wide", [0.0, 0.02])
+def test_range_join_ladder(spark, wide):
+    """Some boxes a million times as wide as the others, some long and thin, some flat, some inside out."""
+    from fieldspark.operators import spatial
+
+    rng = np.random.default_rng(9)
+
+    def boxes(n):
+        c, w, k = rng.random((n, 2)) * 1000, rng.random((n, 2)), rng.random(n)
+        w[k < wide] *= 1e6
+        w[(k > 0.5) & (k < 0.5 + wide)] *= [1e5, 1]
+        w[(k > 0.7) & (k < 0.72)] = 0
+        w[k > 0.98] *= -1
+        return np.concatenate([c - w, c + w], axis=1)
+
+    a, b, p = boxes(700), boxes(500), rng.random((900, 2)) * 1000
+    frame = lambda v, names: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(v)], "id long, " + ", ".join(f"{n} double" for n in names))
+    corners = ["xlo", "ylo", "xhi", "yhi"]
+    A, B, P = frame(a, corners), frame(b, corners), frame(p, ["x", "y"])
+    ok = lambda v: (v[:, 0] <= v[:, 2]) & (v[:, 1] <= v[:, 3])
+    pairs = lambda df: sorted((r.l_id, r.r_id) for r in df.select("l_id", "r_id").collect())
+    hit = np.all((p[:, None, :] >= a[None, :, :2]) & (p[:, None, :] <= a[None, :, 2:]), axis=2) & ok(a)
+    assert pairs(spatial.points_in_boxes(P, ["x", "y"], A, corners[:2], corners[2:])) == sorted(zip(*(i.tolist() for i in np.nonzero(hit))))
+    hit = np.all((a[:, None, :2] <= b[None, :, 2:]) & (b[None, :, :2] <= a[:, None, 2:]), axis=2) & ok(a)[:, None] & ok(b)
+    assert pairs(spatial.boxes_overlap(A, B, corners[:2], corners[2:], salt=2)) == sorted(zip(*(i.tolist() for i in np.nonzero(hit))))
+    side = spatial.Side(A, corners[:2], corners[2:])
+    width, scales = spatial._survey(side)
+    least = spatial._least(width, spatial.MAX_CELLS)
+    cells = spatial._cells(side, "l_", width, least, spatial._codes(scales, least), [0], True).groupBy("l_id").count()
+    assert cells.agg({"count": "max"}).first()[0] <= spatial.MAX_CELLS
