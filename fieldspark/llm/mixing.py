@@ -3,15 +3,16 @@
 A multinomial word classifier is trained on a bounded sample of the labelled documents (those with a row in the labels
 table, whose domain is trusted) and gives every document a posterior over the domains. Nonnegative rates r are then
 fitted by projected gradient so that the expected token totals sum(n * r * p_d) match the targets in the least squares
-sense. Only the residual of each step (one number a domain) is shared, so a document's rate is a fold over the residual
-history: every step is one aggregation over the small table of (tokens, posterior), with no state to shuffle.
+sense. A step lowers a document's rate by p . y, y being the residual times a step size: that is the gradient where each
+rate counts by its tokens, so what it ends at is the least squares optimum. Only y (one number a domain) is shared, so a
+rate is a fold over the history of y; every step is one aggregation over the small table of (tokens, posterior), whose
+rates are written every few steps.
 """
 
 from __future__ import annotations
 
 import json
 import math
-import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -22,8 +23,10 @@ from .common import materialize, nested
 MAX_LABELLED = 4000
 VOCABULARY = 8192
 EVIDENCE = 4.0  # words of evidence a posterior may rest on; more are averaged down, which keeps memberships soft
-STEPS = 120
-TOLERANCE = 1e-6
+STEPS = 400
+TOLERANCE = 1e-5
+#: What the residual's square may lie above the optimum, as a share of it; steps between two written tables.
+SETTLED, WRITTEN = 0.02, 10
 ALPHA = 0.7
 
 
@@ -75,16 +78,15 @@ def memberships(docs: DataFrame, labels: DataFrame, domain: str = "lang", keep:
     return names or ["unknown"], sums.select(*keep, "n_tokens", F.transform("e", lambda x: x / total).alias("p"))
 
 
-def _rate(history: list[list[float]]) -> Column:
-    """The rate after the steps of a history: r <- max(0, r - p . y) from r = 1."""
-    if not history:
-        return F.lit(1.0)
-    steps = F.from_json(F.lit(json.dumps(history)), "array<array<double>>")
+def _dot(y: list[float]) -> Column:
+    """p . y of a document."""
+    return F.aggregate(F.zip_with("p", F.array(*map(F.lit, y)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
-    def dot(y: Column) -> Column:
-        return F.aggregate(F.zip_with("p", y, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
-    return F.aggregate(steps, F.lit(1.0), lambda r, y: F.greatest(F.lit(0.0), r - dot(y)))
+def _stepped(r: Column, y: list[float], share: float = 1.0) -> Column:
+    """r + share * (max(0, r - p . y) - r)."""
+    to = F.greatest(F.lit(0.0), r - _dot(y))
+    return to if share == 1.0 else (1 - share) * r + share * to
 
 
 def _totals(members: DataFrame, weight: Column, d: int) -> np.ndarray:
@@ -95,33 +97,43 @@ def _totals(members: DataFrame, weight: Column, d: int) -> np.ndarray:
     return out
 
 
-def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
-    """Steps of the projected gradient on the least squares of expected shares against targets.
+def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+    """members with a column `r`: nonnegative rates at which the expected shares are the least squares fit of targets.
 
-    Documents count by their tokens; the residual is whitened by the Gram matrix of the memberships, for which a step
-    of one is safe. Stops when the residual is within tolerance or moves by no more than it (targets that nonnegative
-    rates can't reach keep a residual); warns if neither comes within `steps`. members: a stored table (n_tokens, p).
+    members: a stored table with (n_tokens, p). Starts from rates of one; documents count by their tokens. Step sizes are
+    the spectral ones of Barzilai and Borwein, and each step ends at the least residual between its two ends. Ends when
+    the residual is within tolerance, or when the conditions of the optimum (no gradient along positive rates, none
+    downwards at rates of zero) bound what is left by SETTLED of its square; raises RuntimeError if neither comes within
+    `steps`, as for targets that only a few documents come near.
     """
     d = len(targets)
     total = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
+    held = members.withColumn("r", F.lit(1.0))
     if not total:
-        return []
-    pairs = members.select("p", F.posexplode("p").alias("i", "x"), "n_tokens").select("i", (F.col("n_tokens") * F.col("x")).alias("w"), F.posexplode("p").alias("j", "y")).where("j <= i")
-    m = np.zeros((d, d))
-    for r in pairs.groupBy("i", "j").agg(F.sum(F.col("w") * F.col("y")).alias("v")).collect():
-        m[r.i, r.j] = m[r.j, r.i] = r.v / total
-    whiten = np.linalg.pinv(m, rcond=1e-9)
-    history: list[list[float]] = []
-    last = np.full(d, np.inf)
-    for _ in range(steps):
-        residual = _totals(members, F.col("n_tokens") * _rate(history), d) / total - targets
-        if np.abs(residual).max() <= tolerance or np.abs(residual - last).max() <= tolerance / 10:
-            break
-        history.append((whiten @ residual).tolist())
-        last = residual
-    else:
-        warnings.warn(f"rates did not settle in {steps} steps; residual {np.abs(residual).max():.2g} of all tokens", RuntimeWarning, stacklevel=2)
-    return history
+        return held
+    weight = F.col("n_tokens") / total
+    shares = _totals(members, weight, d)
+    size = 1.0  # no curvature is above one: posteriors sum to one, and so do the weights
+    for step in range(1, steps + 1):
+        residual = shares - targets
+        if np.abs(residual).max() <= tolerance:
+            return held
+        to = _stepped(F.col("r"), (size * residual).tolist())
+        sums = [F.sum(weight * F.col("_to") * F.col("p")[i]) for i in range(d)]
+        row = held.where("n_tokens > 0").withColumn("_to", to).agg(*sums, F.sum(weight * (F.col("_to") - F.col("r")) * (F.col("_to") - F.col("r"))), F.min(_dot(residual.tolist()))).first()
+        there, moved, least = np.array(row[:d]), row[d], row[d + 1]
+        if abs(residual @ shares) + max(0.0, -least) * (1 + shares.sum()) <= SETTLED * (residual @ residual) / 2:
+            return held
+        ahead = there - shares
+        if not ahead @ ahead:
+            return held  # no step changes the shares
+        share = float(min(1.0, max(0.0, -(residual @ ahead) / (ahead @ ahead))))
+        held = held.withColumn("r", _stepped(F.col("r"), (size * residual).tolist(), share))
+        shares, size = (1 - share) * shares + share * there, float(min(1e8, max(1e-3, moved / (ahead @ ahead))))
+        if step % WRITTEN == 0:
+            held = materialize(held, "rates")
+            shares = _totals(held, weight * F.col("r"), d)
+    raise RuntimeError(f"rates did not settle in {steps} steps; residual {np.abs(residual).max():.2g} of all tokens")
 
 
 def targets_for(names: list[str], members: DataFrame, weights: dict[str, float] | None, alpha: float = ALPHA) -> list[float]:
@@ -142,17 +154,17 @@ def targets_for(names: list[str], members: DataFrame, weights: dict[str, float]
 def mixture(docs: DataFrame, labels: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, alpha: float = ALPHA, keep: list[str] | None = None, **model) -> DataFrame:
     """doc_id (or keep), n_tokens, domain, posterior, rate, copies for every row.
 
-    domain is the likeliest one; rate is the fitted sampling rate; copies rounds it up or down by a hash of the id.
+    domain is the likeliest one (of equal ones the first by name); rate is the fitted sampling rate; copies rounds it up or down by a hash of the id.
     Null or empty texts have no tokens and get the prior as posterior. Repeated rows give a row each; without labelled
     rows there is one domain "unknown" and all rates are one. An empty table gives an empty result.
     """
     names, members = memberships(docs, labels, domain, keep, **model)
     members = materialize(members, "memberships")
-    history = fit_rates(members, targets_for(names, members, weights, alpha))
+    members = fit_rates(members, targets_for(names, members, weights, alpha))
     first = members.columns[0]
     chance = F.pmod(F.xxhash64(F.lit("mixing"), first), F.lit(1_000_000)) / F.lit(1_000_000.0)
     best = F.element_at(F.array(*map(F.lit, names)), F.array_position("p", F.array_max("p")).cast("int"))
-    out = members.withColumn("rate", F.round(_rate(history), 6))
+    out = members.withColumn("rate", F.round("r", 6))
     copies = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")
     return out.select(*(keep or ["doc_id"]), "n_tokens", best.alias("domain"), F.transform("p", lambda x: F.round(x, 6)).alias("posterior"), "rate", copies.alias("copies"))
 

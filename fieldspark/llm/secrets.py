@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns plus character Markov models, in DataFrame functions only.
 
 Two first-order Markov chains over the characters `+` to `z` are trained from labelled samples, one on random strings
-and one on ordinary identifiers. A run of 20 or more key characters is reported if its log-likelihood ratio (random
-against ordinary) is over the threshold. The table of log ratios (80 x 80 numbers) is a constant in the plan.
+and one on ordinary identifiers; both samples are made by rule, so what is found in a text doesn't depend on others. A run of 20
+or more key characters, or such a part of it that lies outside the spans of fixed patterns, is reported if its
+log-likelihood ratio (random against ordinary) is over the threshold. The table of log ratios (80 x 80 numbers) is a constant in the plan.
 Positions are code points: the lengths of the matches and of the text between them, summed along each text.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import nested, text_rows
@@ -28,31 +29,43 @@ RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 UUID = r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
 LOW, SYMBOLS = 43, 80  # '+' .. 'z'
 MIN_RATIO = 10.0  # total log-likelihood ratio, in nats
-SAMPLE_DOCS = 400
+SAMPLE_NAMES = 6000
+LEAST_RUN = 20
 RANDOM_STRINGS = 3000
 _BLOCK = 256
 
 
-def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, random_strings: int = RANDOM_STRINGS) -> DataFrame:
-    """(sample, random) labelled strings: digests in hexadecimal, base64 and capital letters as random strings; words of
-    a bounded sample of documents, alone and joined as identifiers and paths, as ordinary ones."""
-    spark = docs.sparkSession
+#: Words that the ordinary identifiers of the sample are made of.
+ORDINARY = """
+account action active address agent amount array asset async audio author average background backup balance batch before
+block body border boundary branch browser buffer button cache calendar category channel character chart check child city
+class client cluster code column command comment common company complete component config connection console container
+content context control copy count country create current customer data database date default delete delivery description
+device dialog directory display document domain download driver editor element email empty enable entry error event example
+exception export factory feature field file filter final first folder font form format frame function gateway global graph
+group handler header height helper history host image import index input install instance integer interface internal invoice
+item journal keyboard label language last layout length level library license limit line link list listener local location
+""".split()
+#: Endings and beginnings that give other words of the kinds that prose in Latin letters has.
+PARTS = "the and ing tion ment ous able ever with that this from une des les que pour ent eur eau ette der die das und ein ich keit ung schaft los las por con cion dad mente del est".split()
+
+
+def labelled_samples(spark: SparkSession, names: int = SAMPLE_NAMES, random_strings: int = RANDOM_STRINGS) -> DataFrame:
+    """(sample, random) labelled strings, made by rule: digests in hexadecimal, base64 and capital letters as random
+    strings; words joined as identifiers, paths and plain runs as ordinary ones."""
     digest = F.sha2(F.col("id").cast("string"), 256)
     coded = F.base64(F.unhex(digest))
     random = spark.range(random_strings).select(
         F.explode(F.array(F.substring(digest, 1, 40), F.translate(coded, "=", ""), F.concat(F.lit("AKIA"), F.substring(F.upper(F.translate(coded, "+/=", "")), 1, 16)))).alias("sample"), F.lit(1).alias("random")
     )
-    chosen = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # ids only are ranked
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
-    lists = texts.select(words.alias("w")).where(F.size("w") > 3)
-    places = F.sequence(F.lit(1), F.size("w") - 2)
-
-    def names(i: Column) -> Column:
-        a, b, c = (F.element_at("w", i + k) for k in range(3))
-        return F.element_at(F.array(F.concat_ws("_", F.lower(a), F.lower(b), F.lower(c)), F.concat(F.lower(a), F.initcap(b), F.initcap(c)), F.concat_ws("-", a, b, c), F.concat_ws("/", a, b, c), F.concat(a, b, c), F.upper(F.concat_ws("_", a, b))), F.pmod(i, F.lit(6)) + 1)
-
-    return random.union(lists.select(F.explode(F.transform(places, names)).alias("sample"), F.lit(0).alias("random")))
+    words, parts = F.array(*map(F.lit, ORDINARY)), F.array(*map(F.lit, PARTS))
+    pick = lambda k: F.element_at(words, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(ORDINARY))).cast("int") + 1)
+    piece = lambda k: F.element_at(parts, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(PARTS))).cast("int") + 1)
+    made = F.concat(*(piece(k) for k in range(3, 6)))
+    a, b, c = F.when(F.col("id") % 3 == 0, made).otherwise(pick(0)), pick(1), pick(2)
+    forms = [F.concat_ws("_", a, b, c), F.concat(a, F.initcap(b), F.initcap(c)), F.concat_ws("-", a, b, c), F.concat_ws("/", a, b, c), F.concat(a, made, c), F.upper(F.concat_ws("_", a, b)), F.concat(F.initcap(a), F.initcap(b)), F.concat_ws("-", F.initcap(a), b, (F.col("id") % 100).cast("string"))]
+    form = F.element_at(F.array(*forms), (F.col("id") % len(forms)).cast("int") + 1)
+    return random.union(spark.range(names).select(form.alias("sample"), F.lit(0).alias("random")))
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -132,22 +145,38 @@ def _found(rows: DataFrame, ratios: Column, min_ratio: float) -> DataFrame:
         bare(F.filter("assign", lambda s: F.char_length(s["value"]) >= 6)).alias("assign"),
         bare("access").alias("access"),
         bare("hex").alias("hex"),
-        bare(F.filter("markov", lambda s: ~s["match"].rlike(UUID) & (_ratio(ratios, s["match"]) >= min_ratio))).alias("markov"),
+        F.filter("markov", lambda s: ~s["match"].rlike(UUID)).alias("runs"),
     )
     rows = rows.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    return rows.withColumn("markov", F.filter("markov", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
+    text = lambda run, p: F.substring(run["match"], (p["start"] - run["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int"))
+    parts = lambda run: F.transform(F.filter(_outside(run), lambda p: p["end"] - p["start"] >= LEAST_RUN), lambda p: F.struct(p["start"].alias("start"), F.lit(3).alias("kind"), p["end"].alias("end"), text(run, p).alias("match")))
+    rows = rows.withColumn("markov", bare(F.filter(F.flatten(F.transform("runs", parts)), lambda s: _ratio(ratios, s["match"]) >= min_ratio))).drop("runs")
+    return rows
+
+
+def _outside(run: Column) -> Column:
+    """The parts of a run (start, end) that lie outside all base spans: (start, end)."""
+    span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    within = F.filter("base", lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    start = F.struct(run["start"].alias("at"), F.array().cast("array<struct<start: bigint, end: bigint>>").alias("parts"))
+
+    def step(acc: Column, b: Column) -> Column:  # base spans come by start and may overlap
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.when(b["start"] > acc["at"], F.concat(acc["parts"], F.array(span(acc["at"], b["start"])))).otherwise(acc["parts"]).alias("parts"))
+
+    return F.aggregate(within, start, step, lambda acc: F.when(run["end"] > acc["at"], F.concat(acc["parts"], F.array(span(acc["at"], run["end"])))).otherwise(acc["parts"]))
 
 
 def _log_ratios(docs: DataFrame, table: list[float] | None) -> Column:
-    return F.from_json(F.lit(json.dumps(table or train(labelled_samples(docs)))), "array<double>")
+    return F.from_json(F.lit(json.dumps(table or train(labelled_samples(docs.sparkSession)))), "array<double>")
 
 
 def secret_spans(docs: DataFrame, table: list[float] | None = None, min_ratio: float = MIN_RATIO) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans for every row.
 
-    Base spans are whole matches; Markov spans are those that overlap no base span and are no UUID. Null text counts as
+    Base spans are whole matches; Markov spans are runs, or parts of runs outside base spans, of LEAST_RUN characters or
+    more; UUIDs are none. Null text counts as
     empty and has no spans; repeated rows give a row each; an empty table gives an empty result; other columns are not
-    read. table: log ratios from train(); by default trained on labelled_samples of docs.
+    read. table: log ratios from train(); by default trained on labelled_samples.
     """
     rows = _found(text_rows(docs), _log_ratios(docs, table), min_ratio)
     count = lambda name: F.size(name).cast("long").alias(f"n_{name}")

@@ -106,24 +106,84 @@ def test_votes_against_brute_force(spark):
     assert np.allclose(model.score(texts), np.clip(want, 0, 1), atol=2e-3)
 
 
-def test_rates_against_the_optimum(spark):
-    """The fitted expected shares meet reachable targets (the least squares optimum, residual zero), and come near extreme
-    ones, for which most rates are zero, with a warning that the steps ended first."""
+def least_squares(a, t):
+    """Nonnegative least squares by active sets (Lawson and Hanson), in numpy."""
+    n, x, free = a.shape[1], np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    while True:
+        g = a.T @ (t - a @ x)
+        if free.all() or g[~free].max() < 1e-12:
+            return x
+        free[np.flatnonzero(~free)[g[~free].argmax()]] = True
+        while True:
+            s = np.zeros(n)
+            s[free] = np.linalg.lstsq(a[:, free], t, rcond=None)[0]
+            if s[free].min() > 0:
+                break
+            bad = free & (s <= 0)
+            x += (x[bad] / (x[bad] - s[bad])).min() * (s - x)
+            free &= x > 1e-14
+        x = s
+
+
+@pytest.mark.parametrize("targets", [[0.2, 0.3, 0.5], [0.9, 0.05, 0.05], [1.0, 0.0, 0.0]])
+def test_rates_against_the_optimum(spark, targets):
+    """The residual of the fitted rates is that of the nonnegative least squares optimum, reachable (zero) or not."""
     rng = np.random.default_rng(8)
-    p = rng.dirichlet([0.6, 0.6, 0.6], 80)
-    n = rng.integers(1, 200, 80)
-    members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, p array<double>").cache()
-
-    def shares(history):
-        r = np.ones(80)
-        for y in history:
-            r = np.maximum(0, r - p @ np.array(y))
-        return (p * (n * r)[:, None]).sum(0) / n.sum()
-
-    assert np.abs(shares(mixing.fit_rates(members, [0.2, 0.3, 0.5])) - [0.2, 0.3, 0.5]).max() <= 1e-5
-    with pytest.warns(RuntimeWarning, match="did not settle"):
-        history = mixing.fit_rates(members, [0.9, 0.05, 0.05], steps=60)
-    assert np.abs(shares(history) - [0.9, 0.05, 0.05]).max() <= 0.1 * np.abs(shares([]) - [0.9, 0.05, 0.05]).max()
+    p = rng.dirichlet([3.0, 3.0, 3.0], 60)
+    n = rng.integers(1, 200, 60)
+    members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, p array<double>").coalesce(1).cache()
+    a = (p * (n / n.sum())[:, None]).T
+    best = np.linalg.norm(a @ least_squares(a, np.array(targets)) - targets)
+    r = np.array([x.r for x in mixing.fit_rates(members, targets).select("r").collect()])
+    assert (r >= 0).all() and np.linalg.norm(a @ r - targets) <= 1.01 * best + 2e-5
+
+
+def test_unsettled_rates_raise(spark):
+    members = spark.createDataFrame([(5, [0.6, 0.4]), (5, [0.5, 0.5]), (9, [0.3, 0.7])], "n_tokens long, p array<double>")
+    with pytest.raises(RuntimeError, match="did not settle"):
+        mixing.fit_rates(members, [1.0, 0.0], steps=2)
+
+
+def test_mixture_against_brute_force(spark):
+    """Posteriors of the multinomial classifier, rates and copies, from the texts in plain Python."""
+    rng = random.Random(3)
+    vocab = {k: [f"{k}{j}" for j in range(30)] + ["both", "all"] for k in "xyz"}
+    rows = [(i, " ".join(rng.choice(vocab["xyz"[i % 3]]) for _ in range(rng.randint(1, 40))), "xyz"[i % 3]) for i in range(90)] + [(200, None, "x"), (201, "", "y"), (202, "both all never seen", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 90, 2)], "doc_id long, quality int")
+    taught, names = [r for r in rows[:90:2]], sorted("xyz")
+    counts = {k: {} for k in names}
+    for _, t, k in taught:
+        for w in t.lower().split():
+            counts[k][w] = counts[k].get(w, 0) + 1
+    v = len({w for c in counts.values() for w in c})
+    p, n = [], []
+    for _, t, _ in rows:
+        words = (t or "").lower().split()
+        known = [w for w in words if any(w in c for c in counts.values())]
+        z = [np.log(sum(k == x for _, _, x in taught) / len(taught)) + min(1, 4 / max(1, len(words))) * sum(np.log(counts[k].get(w, 0) + 1) - np.log(sum(counts[k].values()) + v) for w in known) for k in names]
+        e = np.exp(np.array(z) - max(z))
+        p.append(e / e.sum())
+        n.append(len(words))
+    p, n = np.array(p), np.array(n)
+    got = sorted(mixing.mixture(docs, labels, weights={"x": 2, "y": 1, "z": 1}).collect())
+    assert np.allclose([r.posterior for r in got], p, atol=2e-6) and [r.n_tokens for r in got] == n.tolist()
+    rate = np.array([r.rate for r in got])
+    assert np.abs((p * (n * rate)[:, None]).sum(0) / n.sum() - [0.5, 0.25, 0.25]).max() < 1e-4 and all(r.copies in (int(r.rate), int(r.rate) + 1) for r in got)
+
+
+def test_markov_parts(spark):
+    """Random parts of a run beside a base span are reported, and a lone key in a table of three short documents is."""
+    rng = random.Random(12)
+    a, b = ("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz0123456789") for _ in range(31)) + "z" for _ in "ab")
+    b = "z" + b
+    rows = [(1, f"é {a}{'0123456789ab' * 2}{b} end"), (2, f"key {KEY} it is"), (3, None)]
+    got = {r.doc_id: r for r in secrets.secret_spans(wide(spark, rows)).collect()}
+    assert got[1].spans == f"markov:2:34,hex:34:58,markov:58:{58 + len(b)}" and (got[1].n_hex, got[1].n_markov) == (1, 2)
+    assert got[2].spans == "markov:4:36" and got[3].spans == ""
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(wide(spark, rows)).collect()}
+    assert masked[1] == "é <secret><secret><secret> end" and masked[2] == "key <secret> it is"
+    assert secrets.secret_spans(wide(spark, rows[1:2] * 3)).where("n_markov = 1").count() == 3  # repeated rows
 
 
 def test_secret_precision_and_recall(spark):
