@@ -320,13 +320,48 @@ def inverse_sqrt_rule(lo: float, hi: float, n: int) -> tuple[list[float], list[f
     return weights, poles
 
 
-def inverse_sqrt(a: DataFrame, b: DataFrame, lo: float, hi: float, n: int = 8, tol: float = 1e-10, max_iter: int = 200) -> DataFrame:
-    """A^-1/2 b for a symmetric A (i, j, v) with spectrum in [lo, hi], by shifted conjugate gradients."""
+def shifted_solves(apply, b: DataFrame, shifts: list[float], tol: float = 1e-8, max_iter: int = 500) -> DataFrame:
+    """(i, xs): the solutions of (A + s) x = b for all shifts, for a symmetric A with A + min(shifts) positive definite.
+
+    One sequence of conjugate gradients, that of the least shift, serves all: the residual of each other shift is a
+    multiple of its residual, so a step costs one product with A and one written table however many shifts there are.
+    apply is the product with A. Ends when every shift's residual is within tol of b's norm; raises RuntimeError when one
+    is not after max_iter steps, or when the operator turns out not to be positive definite.
+    """
+    least = min(shifts)
+    delta = np.array([s - least for s in shifts])
+    rr = size2 = float(b.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0)
+    n = len(shifts)
+    held = b.select("i", F.col("v").alias("r"), F.col("v").alias("p"), F.array(*[F.lit(0.0)] * n).alias("xs"), F.array(*[F.col("v")] * n).alias("ps"))
+    zeta, before, alpha, beta = np.ones(n), np.ones(n), 0.0, 1.0
+    multiples = lambda c: F.array(*map(F.lit, c.tolist()))
+    for _ in range(max_iter):
+        if max(abs(zeta)) * math.sqrt(rr) <= tol * math.sqrt(size2):
+            return held.select("i", "xs")
+        ap = apply(held.select("i", F.col("p").alias("v"))).select("i", F.col("v").alias("ap"))
+        held = stored(held.join(ap, "i", "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)) + least * F.col("p")))
+        curve = held.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
+        if not curve or not curve > 0:
+            raise RuntimeError("the shifted operator is not positive definite")
+        last, beta = beta, -rr / curve
+        after = zeta * before * last / (beta * alpha * (before - zeta) + before * last * (1 - delta * beta))
+        step = beta * after / zeta
+        held = held.withColumns({"r": F.col("r") + beta * F.col("ap"), "xs": F.zip_with("xs", F.zip_with("ps", multiples(step), lambda p, c: p * c), lambda x, d: x - d)})
+        new = float(held.agg(F.sum(F.col("r") * F.col("r"))).first()[0])
+        alpha = new / rr
+        again = alpha * after * step / (zeta * beta)
+        turned = F.zip_with("ps", multiples(again), lambda p, c: p * c)
+        fresh = F.transform(multiples(after), lambda z: z * F.col("r"))
+        held = held.select("i", "r", (F.col("r") + alpha * F.col("p")).alias("p"), "xs", F.zip_with(fresh, turned, lambda x, y: x + y).alias("ps"))
+        before, zeta, rr = zeta, after, new
+    raise RuntimeError(f"shifts {[s for s, z in zip(shifts, zeta) if abs(z) * math.sqrt(rr) > tol * math.sqrt(size2)]} did not converge in {max_iter} steps")
+
+
+def inverse_sqrt(a: DataFrame, b: DataFrame, lo: float, hi: float, n: int = 8, tol: float = 1e-8, max_iter: int = 500) -> DataFrame:
+    """A^-1/2 b for a symmetric A (i, j, v) with spectrum in [lo, hi]: a rational rule of n poles, all from one sequence
+    of conjugate gradients (shifted_solves, whose errors are raised)."""
     from .matrix import apply
 
     weights, poles = inverse_sqrt_rule(lo, hi, n)
-    parts = []
-    for w, p in zip(weights, poles):
-        x, _, _ = conjugate_gradient(lambda v, p=p: combine((1.0, apply(a, v)), (-p, v)), b, tol, max_iter)
-        parts.append((w, x))
-    return combine(*parts)
+    solved = shifted_solves(lambda v: apply(a, v), b, [-p for p in poles], tol, max_iter)
+    return solved.select("i", F.aggregate(F.zip_with("xs", F.array(*map(F.lit, weights)), lambda x, w: x * w), F.lit(0.0), lambda s, t: s + t).alias("v"))

@@ -198,52 +198,6 @@ def cross_factors(a: DataFrame, pivots: list[tuple[int, int]]) -> tuple[DataFram
     return cur(a, rows, cols)
 
 
-def cross_partial(row_of, col_of, n_rows: int, rtol: float, seed: int = 0, required: int = 3, max_rank: int = 100, avoid: set[int] = frozenset()) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Cross approximation that looks only at used rows and columns; row_of(i) and col_of(j) return numpy vectors (filters of
-    a table partitioned by row and of a copy partitioned by column). Small updates must come `required` times running, from
-    fresh random rows, at rtol / 4. Returns factors X, Y' and the rows looked at."""
-    rng = np.random.default_rng(seed)
-    xs, ys, seen, small, norm2 = [], [], [], 0, 0.0
-    free = [i for i in rng.permutation(n_rows).tolist() if i not in avoid]
-    nxt = free[0] if free else None
-    while nxt is not None and len(xs) < max_rank:
-        seen.append(nxt)
-        r = row_of(nxt) - sum((x[nxt] * y for x, y in zip(xs, ys)), 0.0)
-        j = int(np.argmax(np.abs(r)))
-        size = 0.0
-        if abs(r[j]) > 0:
-            c = (col_of(j) - sum((y[j] * x for x, y in zip(xs, ys)), 0.0)) / r[j]
-            size = np.linalg.norm(c) * np.linalg.norm(r)
-            norm2 += size**2 + 2 * sum((x @ c) * (y @ r) for x, y in zip(xs, ys))
-            xs.append(c), ys.append(r)
-        left = [i for i in free if i not in seen]
-        small = small + 1 if size <= rtol / 4 * math.sqrt(max(norm2, 0)) else 0
-        if small >= required or not left:
-            break
-        if small:
-            nxt = left[0]
-        else:
-            score = np.abs(xs[-1]).copy()
-            score[[i for i in range(n_rows) if i in seen or i in avoid]] = -1
-            nxt = int(np.argmax(score))
-    if not xs:
-        return np.zeros((n_rows, 0)), np.zeros((0, 0)), seen
-    return np.array(xs).T, np.array(ys), seen
-
-
-def table_access(a: DataFrame, n_rows: int, n_cols: int):
-    """row_of and col_of over copies of (i, j, v) partitioned by row and by column."""
-    by_row, by_col = stored(a.repartition("i").sortWithinPartitions("i")), stored(a.repartition("j").sortWithinPartitions("j"))
-
-    def vector(df: DataFrame, key: str, other: str, at: int, n: int) -> np.ndarray:
-        out = np.zeros(n)
-        for r in df.where(F.col(key) == at).select(other, "v").collect():
-            out[r[other]] = r.v
-        return out
-
-    return (lambda i: vector(by_row, "i", "j", i, n_cols)), (lambda j: vector(by_col, "j", "i", j, n_rows))
-
-
 def cur(a: DataFrame, rows: list[int], cols: list[int]) -> tuple[DataFrame, DataFrame]:
     """(X, Y) with X Y' = C pinv(U) R for sampled rows and columns."""
     spark = a.sparkSession
@@ -300,29 +254,6 @@ def alternate(a: DataFrame, rank: int, sweeps: int = 10, ridge: float = 1e-8, se
     return x, y
 
 
-def compress_blocks(entries: DataFrame, rtol: float) -> DataFrame:
-    """(pair, side, i, row): factors of each block (pair, i, j, v): left rows carry the singular values."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = np.unique(pdf["i"]), np.unique(pdf["j"])
-        m = np.zeros((len(rows), len(cols)))
-        np.add.at(m, (np.searchsorted(rows, pdf["i"]), np.searchsorted(cols, pdf["j"])), pdf["v"])
-        u, s, vt = np.linalg.svd(m, full_matrices=False)
-        r = max(1, int((s > rtol * s[0]).sum()))
-        left, right = (u[:, :r] * s[:r]).tolist(), vt[:r].T.tolist()
-        return pd.DataFrame({"pair": pdf["pair"].iloc[0], "side": ["l"] * len(rows) + ["r"] * len(cols), "i": np.concatenate([rows, cols]), "row": left + right})
-
-    return entries.groupBy("pair").applyInPandas(run, f"pair {dict(entries.dtypes)['pair']}, side string, i long, row array<double>")
-
-
-def compressed_apply(factors: DataFrame, x: DataFrame) -> DataFrame:
-    """(i, v): product of the compressed blocks with (i, v)."""
-    right = factors.where("side = 'r'").join(x, "i").select("pair", F.posexplode(F.transform("row", lambda a: a * F.col("v"))).alias("k", "t"))
-    inner = right.groupBy("pair", "k").agg(F.sum("t").alias("c"))
-    left = factors.where("side = 'l'").select("pair", "i", F.posexplode("row").alias("k", "u"))
-    return left.join(inner, ["pair", "k"]).groupBy("i").agg(F.sum(F.col("u") * F.col("c")).alias("v"))
-
-
 def generalised_svd(a: DataFrame, weights: DataFrame, m: np.ndarray) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """U, s, V with A' N A V = M V s^2 and U = A V / s, for A (i, row), diagonal N (i, w) and a small M."""
     scaled_a = a.join(weights, "i").select("i", F.transform("row", lambda x: x * F.sqrt("w")).alias("row"))

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, geofit, lowrank, matrix
+from ..operators import aggregates, blocktree, cross, geofit, lowrank, matrix
 from ..operators.common import stored
 from .base import query
 from .views import table, view, with_views
@@ -103,11 +103,22 @@ def mat8_cross_full(spark, d):
     return lowrank.cross_factors(a, lowrank.cross_full(a, 1e-2, max_rank=3))[0]
 
 
-@query()
+def _bell(x, y):
+    """A smooth kernel of two places in the plane of parts and suppliers."""
+    return F.exp(-((x[0] - y[0]) * (x[0] - y[0]) / 40000.0 + (x[1] - y[1]) * (x[1] - y[1]) / 4000000.0))
+
+
+_BELL = "exp(-(({x1}-{x2})**2/40000.0 + ({y1}-{y2})**2/4000000.0))"
+
+
+@query(with_views(["pts2", "balls2"], "SELECT id AS i, round(sum(" + _BELL.format(x1="x", x2="cx", y1="y", y2="cy") + "*(1+ball_id%3)), 0) AS v FROM pts2, balls2 GROUP BY 1"))
 def mat9_cross_partial(spark, d):
-    a = stored(_nations(spark, d))
-    _, _, rows = lowrank.cross_partial(*lowrank.table_access(a, 40, 25), 40, rtol=0.5, max_rank=4)
-    return a.join(F.broadcast(spark.createDataFrame([(int(i),) for i in rows], "i long")), "i", "left_semi")
+    """The product of the factors, which only looked at some rows and columns of parts against suppliers."""
+    rows = view(spark, d, "pts2").select(F.col("id").alias("i"), "x", "y")
+    cols = view(spark, d, "balls2").select(F.col("ball_id").alias("i"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    x, y, _ = cross.cross_partial(*cross.kernel_access(rows, cols, ["x", "y"], _bell), rows, cols, rtol=1e-8)
+    ones = cols.select("i", (1.0 + F.col("i") % 3).alias("v"))
+    return lowrank.matvec((x, y), ones).withColumn("v", F.round("v", 0))
 
 
 @query()
@@ -128,11 +139,12 @@ def mat12_fit_sparse(spark, d):
     return matrix.fit_sparse(a.select("i", "j"), z, matrix.apply(a, z)).withColumn("v", F.round("v", 6))
 
 
-@query()
+@query(with_views(["pts2"], "SELECT a.id AS i, round(sum(" + _BELL.format(x1="a.x", x2="b.x", y1="a.y", y2="b.y") + "*(1+b.id%3)), -1) AS v FROM pts2 a, pts2 b GROUP BY 1"))
 def mat13_compressed_blocks(spark, d):
-    a = _coo(spark, d).withColumn("pair", (F.col("i") % 16) * 4 + F.col("j") % 4)
-    factors = lowrank.compress_blocks(a, 0.5)
-    return lowrank.compressed_apply(stored(factors), _ids(spark, d)[1].withColumn("v", F.lit(1.0)))
+    """The product of the matrix of all parts, compressed over its block tree."""
+    parts = view(spark, d, "pts2").select(F.col("id").alias("i"), "x", "y")
+    tree = blocktree.compress(parts, ["x", "y"], _bell)
+    return blocktree.apply(tree, parts.select("i", (1.0 + F.col("i") % 3).alias("v"))).withColumn("v", F.round("v", -1))
 
 
 @query()

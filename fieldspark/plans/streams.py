@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from ..operators.common import scratch
 from ..streaming import streams
-from .base import query
+from . import spatial  # noqa: F401  the SQL of its queries
+from .base import ORACLES, query
+from .meshes import parts_mesh
 from .views import table, view, with_views
 
 
@@ -30,6 +32,25 @@ def str1_stream_boxes(spark, d):
     return _drain(spark, got.select(F.col("l_id").alias("id"), F.col("r_box_id").alias("box_id")))
 
 
+def _part_places(spark, d):
+    return _stream(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.round(F.col("p_retailprice") * 10) - 9000).alias("y"))
+
+
+@query(ORACLES["jns5_points_in_ellipsoids"])
+def str1_stream_ellipsoids(spark, d):
+    got = streams.enrich_with_ellipsoids(_part_places(spark, d), ["x", "y"], view(spark, d, "ell2"), ["mx", "my"], [["sxx", "sxy"], ["sxy", "syy"]], 2.0)
+    return _drain(spark, got.select(F.col("l_id").alias("id"), F.col("r_ell_id").alias("ell_id")))
+
+
+@query(ORACLES["loc1_locate"])
+def str1_stream_cells(spark, d):
+    """The mesh cell of each part, as in the batch form."""
+    _, _, maps = parts_mesh(spark)
+    places = _part_places(spark, d).withColumn("x", F.col("x") + F.when(F.col("id") % 7 == 0, 40.0).otherwise(0.0))
+    got = streams.enrich_with_cells(places, ["x", "y"], maps, [3.0, 60.0], 1e-12)
+    return _drain(spark, got.select("id", "cell_id"))
+
+
 def _events(spark, d):
     return _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -40,6 +61,24 @@ def str2_windowed_boxes(spark, d):
     return _drain(spark, got).select(F.unix_timestamp("w.start").alias("start"), "n", "lo_value", "hi_value")
 
 
+@query("""WITH e AS (SELECT epoch(ts) AS t, value FROM events), w AS (SELECT CAST(floor(t/7200)*7200 - 7200*k AS BIGINT) AS start, value FROM e, range(3) r(k))
+    SELECT start, count(*) AS n, min(value) AS lo_value, max(value) AS hi_value FROM w GROUP BY 1 HAVING start + 21600 <= (SELECT max(t) - 3600 FROM e)""")
+def str2_sliding_boxes(spark, d):
+    """Windows of six hours that start every two."""
+    got = streams.windowed_boxes(_events(spark, d), ["value"], "6 hours", "1 hour", slide="2 hours")
+    return _drain(spark, got).select(F.unix_timestamp("w.start").alias("start"), "n", "lo_value", "hi_value")
+
+
+@query("""WITH e AS (SELECT user_id, ts, value, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 43200 THEN 0 ELSE 1 END AS fresh FROM events),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM e)
+    SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n, min(value) AS lo_value, max(value) AS hi_value FROM s GROUP BY user_id, no
+    HAVING epoch(max(ts)) + 43200 <= (SELECT max(epoch(ts)) - 3600 FROM events)""")
+def str2_session_boxes(spark, d):
+    """Sessions of a user: events less than twelve hours apart."""
+    got = streams.session_boxes(_events(spark, d), ["value"], "12 hours", "1 hour", "user_id")
+    return _drain(spark, got).select("user_id", F.unix_timestamp("w.start").alias("start"), "n", "lo_value", "hi_value")
+
+
 @query(with_views(["series"], "SELECT series_id, min(k) AS first FROM series WHERE y < 500 GROUP BY 1"))
 def str3_first_crossings(spark, d):
     """The series are numbered by the batch view; the stream is that table, written once."""

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.geometry import nearest_index
 from ..operators.knn import nearest
-from ..operators.spatial import points_in_boxes
+from ..operators.spatial import points_in_boxes, points_in_ellipsoids
 
 
 def enrich_with_boxes(events: DataFrame, axes: list[str], boxes: DataFrame, lo: list[str], hi: list[str], width: list[float]) -> DataFrame:
@@ -19,6 +19,35 @@ def enrich_with_boxes(events: DataFrame, axes: list[str], boxes: DataFrame, lo:
     return points_in_boxes(events, axes, boxes, lo, hi, width=width)
 
 
+def enrich_with_ellipsoids(events: DataFrame, axes: list[str], ellipsoids: DataFrame, mu: list[str], sigma: list[list[str]], tau: float) -> DataFrame:
+    """Event-ellipsoid pairs of a stream against static ellipsoids: a stream-static join on the cell key (append mode)."""
+    return points_in_ellipsoids(events, axes, ellipsoids, mu, sigma, tau)
+
+
+def enrich_with_cells(events: DataFrame, axes: list[str], maps: DataFrame, width: list[float], tol: float = 0.0) -> DataFrame:
+    """events with `cell_id`, the smallest mesh cell whose affine coordinates of the event are all >= -tol (append mode).
+
+    maps: a static table (cell_id, lo, hi, a, b). Each grid cell of the given width lists the mesh cells whose boxes touch
+    it, so every event meets one row and is reduced within it, without a stream aggregation. Events outside drop out.
+    """
+    n = range(len(axes))
+    index = maps.select(F.struct("cell_id", "a", "b").alias("m"), "lo", "hi")
+    for i in n:
+        index = index.select("*", F.explode(F.sequence(F.floor(F.col("lo")[i] / width[i]), F.floor(F.col("hi")[i] / width[i]))).alias(f"_c{i}"))
+    index = index.groupBy(*(f"_c{i}" for i in n)).agg(F.collect_list("m").alias("_cells"))
+    near = events.withColumns({f"_c{i}": F.floor(F.col(a) / width[i]) for i, a in enumerate(axes)}).join(index, [f"_c{i}" for i in n])
+    bary = lambda m: F.zip_with(m["a"], m["b"], lambda row, c: sum((row[i] * F.col(a) for i, a in enumerate(axes)), c))
+    held = F.filter("_cells", lambda m: F.forall(bary(m), lambda x: x >= -tol))
+    return near.withColumn("cell_id", F.array_min(F.transform(held, lambda m: m["cell_id"]))).where("cell_id is not null").select(*events.columns, "cell_id")
+
+
+def session_boxes(events: DataFrame, axes: list[str], gap: str, late: str, key: str, ts: str = "ts") -> DataFrame:
+    """Bounding box and count of the points of each session of a key: rows of the key less than `gap` apart. A session
+    comes out once the watermark has passed its end; rows later than the watermark are dropped."""
+    held = events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), key)
+    return held.agg(F.count(F.lit(1)).alias("n"), *(F.min(a).alias("lo_" + a) for a in axes), *(F.max(a).alias("hi_" + a) for a in axes))
+
+
 def windowed_boxes(events: DataFrame, axes: list[str], window: str, late: str, ts: str = "ts", slide: str | None = None) -> DataFrame:
     """Bounding box and count of the points of each time window; rows later than the watermark are dropped."""
     w = F.window(ts, window, slide or window)

@@ -200,8 +200,6 @@ def test_low_rank(spark):
     pivots = lowrank.cross_full(t, 1e-2)
     px, py = lowrank.cross_factors(t, pivots)
     assert lowrank.cur_error(t, (px, py)) < 1.1e-2 and 3 <= len(pivots) <= 8
-    fx, fy, seen = lowrank.cross_partial(lambda i: a[i], lambda j: a[:, j], 60, 1e-2)
-    assert np.linalg.norm(fx @ fy - a) < 1e-2 * np.linalg.norm(a) and len(seen) < 30
     b = np.outer(np.arange(1, 13), np.arange(1, 9)) + np.outer(np.ones(12), np.arange(8) ** 2)
     ax, ay = lowrank.alternate(coo(spark, b), 2, sweeps=6)
     assert np.linalg.norm(rows(ax) @ rows(ay).T - b) < 1e-3 * np.linalg.norm(b)
@@ -382,3 +380,48 @@ def test_range_join_ladder(spark, wide):
     least = spatial._least(width, spatial.MAX_CELLS)
     cells = spatial._cells(side, "l_", width, least, spatial._codes(scales, least), [0], True).groupBy("l_id").count()
     assert cells.agg({"count": "max"}).first()[0] <= spatial.MAX_CELLS
+
+
+def test_cross_partial(spark):
+    """A Hilbert-like matrix through table copies: few rows looked at, none of the avoided ones, error within rtol."""
+    from fieldspark.operators import cross
+
+    a = 1.0 / (1 + np.add.outer(np.arange(60.0), np.arange(40.0)))
+    ids = [spark.range(n).select(F.col("id").alias("i")) for n in a.shape]
+    x, y, seen = cross.cross_partial(*cross.table_access(coo(spark, a)), *ids, 1e-2, required=3, avoid=spark.createDataFrame([(0,), (7,)], "i long"))
+    assert np.linalg.norm(rows(x) @ rows(y).T - a) <= 1e-2 * np.linalg.norm(a)
+    assert len(seen) < 15 and not {0, 7} & set(seen) and len(rows(x)[0]) <= 8
+    zx, _, seen = cross.cross_partial(*cross.table_access(coo(spark, a).where("false")), *ids, 1e-2, required=3)
+    assert len(rows(zx)[0]) == 0 and len(seen) == 3
+
+
+def test_block_tree(spark):
+    """The product over the block tree is the dense product; far blocks exist and near entries are few."""
+    from fieldspark.operators import blocktree
+
+    p = np.random.default_rng(3).random((600, 2)) * [50, 900]
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)], "i long, x double, y double")
+    bell = lambda u, v: F.exp(-((u[0] - v[0]) * (u[0] - v[0]) / 900.0 + (u[1] - v[1]) * (u[1] - v[1]) / 90000.0))
+    tree = blocktree.compress(df, ["x", "y"], bell, min_size=40, size=24)
+    assert tree.inverses.count() > 10 and tree.near.count() < 0.6 * 600 * 600
+    x = 1.0 + np.arange(600) % 3
+    got = {r.i: r.v for r in blocktree.apply(tree, spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, v double")).collect()}
+    dense = np.exp(-((p[:, :1] - p[:, 0]) ** 2 / 900 + (p[:, 1:] - p[:, 1]) ** 2 / 90000)) @ x
+    assert np.abs(np.array([got[i] for i in range(600)]) - dense).max() < 1e-4 * dense.max()
+
+
+def test_shifted_solves(spark):
+    """All shifts from one sequence, against numpy; an indefinite operator and too few steps raise."""
+    from fieldspark.operators import iterate
+
+    m = np.diag(np.arange(1.0, 13)) + np.diag(np.ones(11) * 0.4, 1) + np.diag(np.ones(11) * 0.4, -1)
+    a, rhs = coo(spark, m), np.arange(12.0) - 3
+    b = spark.createDataFrame([(i, float(v)) for i, v in enumerate(rhs)], "i long, v double")
+    shifts = [0.0, 0.5, 7.0]
+    got = sorted(iterate.shifted_solves(matrix.operator(a), b, shifts, 1e-9).collect())
+    for k, s in enumerate(shifts):
+        assert np.allclose([r.xs[k] for r in got], np.linalg.solve(m + s * np.eye(12), rhs), atol=1e-7)
+    with pytest.raises(RuntimeError, match="did not converge"):
+        iterate.shifted_solves(matrix.operator(a), b, shifts, 1e-9, 3)
+    with pytest.raises(RuntimeError, match="positive definite"):
+        iterate.shifted_solves(matrix.operator(a), b, [-6.0], 1e-9)
