@@ -48,10 +48,15 @@ def src7_components(spark, d):
 
 @query(with_views(["pts2"], "SELECT floor(x/10) AS cell, count(*) AS n, sum(y) AS total FROM pts2 GROUP BY 1"))
 def src8_written_field(spark, d):
-    from ..operators.common import stored
-
-    p = view(spark, d, "pts2").withColumn("cell", F.floor(F.col("x") / 10).cast("double"))
-    return stored(p).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("total"))
+    """The parts written by cell and read back: each folder holds its cell."""
+    from ..operators.common import scratch
+    from ..sources.readers import write_field
+
+    path = scratch(spark, "field")
+    p = view(spark, d, "pts2").withColumn("cell", F.floor(F.col("x") / 10).cast("int"))
+    write_field(p, path, by=["cell"])
+    held = spark.read.parquet(path)
+    return held.groupBy(F.col("cell").cast("double").alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("total"))
 
 
 @query(with_views(["grid2"], "SELECT i, j, -(v*3)/2 AS v FROM grid2"))
