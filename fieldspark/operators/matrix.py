@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .aggregates import normal
+from .common import stored
+
 
 def apply(a: DataFrame, x: DataFrame, transpose: bool = False) -> DataFrame:
     """A X (or A' X) for x with rows (i, v) or (i, k, v); rows without entries have no row in the result."""
@@ -54,22 +57,85 @@ def interleave(parts: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(parts, lambda p: F.element_at(p, i + 1))))
 
 
-def fit_sparse(pattern: DataFrame, probes: DataFrame, products: DataFrame) -> DataFrame:
-    """(i, j, v): values of a known sparsity pattern (i, j) from probe vectors (i, k, v) and their products A z.
-
-    One small least squares a row, as long as the row has entries; rows without entries are skipped.
-    """
-    z = probes.select(F.col("i").alias("j"), "k", F.col("v").alias("z"))
-    packed = pattern.join(z.groupBy("j").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "z"))), lambda s: s["z"]).alias("z")), "j")
+def _fit_rows(pattern: DataFrame, products: DataFrame, samples: int, seed: int) -> DataFrame:
+    """(i, j, v): least squares of each pattern row with at most `samples` entries against its products (i, k, v)."""
+    z = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: normal(F.col("j"), k, seed))
+    packed = pattern.groupBy("i").agg(F.collect_list(F.struct("j", z.alias("z"))).alias("e"))
     y = products.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("y"))
+    rhs = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: F.coalesce(F.element_at("y", k), F.lit(0.0)))
+    rows = packed.join(y, "i", "left").select("i", F.transform("e", lambda e: e["j"]).alias("js"), F.flatten(F.transform("e", lambda e: e["z"])).alias("z"), rhs.alias("y"))
+
+    def solve(batches):
+        for pdf in batches:
+            size = pdf["js"].map(len)
+            for n, part in pdf.groupby(size):  # rows of one length at once
+                q, r = np.linalg.qr(np.stack(part["z"].to_list()).reshape(len(part), n, samples).transpose(0, 2, 1))
+                got = np.linalg.solve(r, q.transpose(0, 2, 1) @ np.stack(part["y"].to_list())[:, :, None])[:, :, 0]
+                yield pd.DataFrame({"i": np.repeat(part["i"].to_numpy(), n), "j": np.concatenate(part["js"].to_list()), "v": got.ravel()})
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        zs = np.array(pdf["z"].tolist(), float).T
-        ys = pdf["y"].iloc[0]
-        rhs = np.array([ys.get(k, 0.0) for k in range(len(zs))]) if ys is not None else np.zeros(len(zs))
-        return pd.DataFrame({"i": pdf["i"], "j": pdf["j"], "v": np.linalg.lstsq(zs, rhs, rcond=None)[0]})
+    return rows.mapInPandas(solve, "i long, j long, v double")
 
-    return packed.join(y, "i", "left").groupBy("i").applyInPandas(solve, "i long, j long, v double")
+
+def fit_sparse(pattern: DataFrame, apply, apply_t, rows: DataFrame, cols: DataFrame, width: int = 16, seed: int = 0) -> tuple[DataFrame, int]:
+    """(i, j, v) and the number of probes a side: values of a known sparsity pattern (i, j) of a matrix that is only known
+    by its products (apply, its transpose apply_t; functions of tables (i, k, v)). rows and cols are its index tables (i).
+
+    Rows with at most `width` open entries are solved from products with 2 width + 4 Gaussian probes, then columns from
+    products with the transpose, in turn; what has been found is taken off both sides' products. So a row as long as the
+    matrix costs no more probes than a short one: its entries are found by their columns. Only where rows and columns are
+    both longer than `width`, or a turn finds less than half of what is open, width doubles and probes are added.
+    Repeated pattern rows count once; an empty pattern asks for no product.
+    """
+    todo = stored(pattern.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).distinct())
+    found, left, samples = [], todo.count(), 0
+    sides = [[apply, cols, None], [apply_t, rows, None]]
+    while left:
+        wanted = 2 * width + 4
+        for s, side in enumerate(sides):
+            k = F.explode(F.sequence(F.lit(samples), F.lit(wanted - 1))).alias("k")
+            z = side[1].select(F.col("i").cast("long").alias("i"), k).withColumn("v", normal(F.col("i"), F.col("k"), seed + s))
+            fresh = [side[0](stored(z)).select("i", "k", "v")]
+            fresh += [_known_product(f, s, samples, wanted, seed + s) for f in found]
+            side[2] = stored(_sum(fresh + ([side[2]] if side[2] is not None else [])))
+        samples, before = wanted, left
+        for s in (0, 1):
+            at = todo if s == 0 else todo.select(F.col("j").alias("i"), F.col("i").alias("j"))
+            short = at.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= width).select("i")
+            got = _fit_rows(at.join(short, "i", "left_semi"), sides[s][2], samples, seed + s)
+            got = stored(got if s == 0 else got.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+            n = got.count()
+            if not n:
+                continue
+            found.append(got)
+            left -= n
+            if not left:
+                break
+            todo = stored(todo.join(got.select("i", "j"), ["i", "j"], "left_anti"))
+            for t, side in enumerate(sides):
+                side[2] = stored(_sum([side[2], _known_product(got, t, 0, samples, seed + t)]))
+        if left > before / 2:
+            width *= 2
+    if not found:
+        return todo.withColumn("v", F.lit(0.0)), 0
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out, samples
+
+
+def _known_product(a: DataFrame, side: int, start: int, stop: int, seed: int) -> DataFrame:
+    """Minus the products (i, k, v) of known entries with the probes start to stop - 1 of a side."""
+    row, col = ("i", "j") if side == 0 else ("j", "i")
+    k = F.explode(F.sequence(F.lit(start), F.lit(stop - 1))).alias("k")
+    terms = a.select(F.col(row).alias("i"), F.col(col).alias("_c"), F.col("v").alias("_a"), k)
+    return terms.select("i", "k", (-F.col("_a") * normal(F.col("_c"), F.col("k"), seed)).alias("v"))
+
+
+def _sum(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("i", "k").agg(F.sum("v").alias("v"))
 
 
 def blocks_in_order(x: DataFrame, into: DataFrame, blocks: DataFrame, out_of: DataFrame) -> DataFrame:

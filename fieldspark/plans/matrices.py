@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, blocktree, cross, geofit, lowrank, matrix
+from ..operators import aggregates, blocktree, composite, cross, geofit, lowrank, matrix
 from ..operators.common import stored
 from .base import query
 from .views import table, view, with_views
@@ -158,12 +158,15 @@ def mat11_alternate(spark, d):
     return lowrank.alternate(_coo(spark, d), rank=2, sweeps=2)[0]
 
 
-@query(with_views(["coo"], "SELECT i, j, round(v, 6) AS v FROM coo WHERE i % 50 = 1".replace(" WHERE i % 50 = 1", "")))
+@query(with_views(["coo"], "SELECT i, j, round(v, 6) AS v FROM coo UNION ALL SELECT -1, s_suppkey, 1 + s_suppkey%7 FROM supplier"))
 def mat12_fit_sparse(spark, d):
-    a = stored(_coo(spark, d))
-    most = a.groupBy("i").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first().n or 1
-    z = stored(aggregates.probes(_ids(spark, d)[1], int(most * 2 + 4)))
-    return matrix.fit_sparse(a.select("i", "j"), z, matrix.apply(a, z)).withColumn("v", F.round("v", 6))
+    """The order lines' quantities and one full row (-1), found again from products alone."""
+    rows, cols = _ids(spark, d)
+    full = cols.select(F.lit(-1).cast("long").alias("i"), F.col("i").alias("j"), (1.0 + F.col("i") % 7).alias("v"))
+    a = stored(_coo(spark, d).select("i", "j", F.col("v").cast("double").alias("v")).union(full))
+    rows = rows.union(spark.range(-1, 0).toDF("i"))
+    got, _ = matrix.fit_sparse(a.select("i", "j"), matrix.operator(a), matrix.operator(a, transpose=True), rows, cols)
+    return got.withColumn("v", F.round("v", 6))
 
 
 @query(with_views(["pts2"], "SELECT a.id AS i, round(sum(" + _BELL.format(x1="a.x", x2="b.x", y1="a.y", y2="b.y") + "*(1+b.id%3)), -1) AS v FROM pts2 a, pts2 b GROUP BY 1"))
@@ -227,6 +230,41 @@ def pat3_weighted_patches(spark, d):
     return matrix.weighted_patch_apply(_coo(spark, d), left, right, x)
 
 
+def _composite(spark, d):
+    """The order lines' quantities plus the matrix of known rank."""
+    return composite.SparsePlusLowRank(stored(_coo(spark, d)), tuple(map(stored, _known(spark, d))))
+
+
+_ENTRIES = """, e AS (SELECT p_partkey AS i, s_suppkey AS j, CAST(s_suppkey%5 + p_partkey%7 + (p_partkey%3)*(s_suppkey%4) + (p_partkey%5)*(p_partkey%2)*(s_suppkey%3) AS DOUBLE) AS a FROM part, supplier),
+    m AS (SELECT e.i, e.j, a + coalesce(coo.v, 0) AS a FROM e LEFT JOIN coo ON coo.i = e.i AND coo.j = e.j)"""
+
+
+@query(with_views(["coo"], _ENTRIES + """, x AS (SELECT n_nationkey AS n, 1 + n_nationkey%5 AS x FROM nation),
+    w AS (SELECT s_suppkey AS j, 1 + s_nationkey%5 + (s_suppkey%3)*(SELECT sum(x) FROM x) + (SELECT sum(x*(n%4)) FROM x) AS w FROM supplier)
+    SELECT i, round(sum(a*w), 2) AS v FROM m JOIN w USING (j) GROUP BY 1"""))
+def pat3_composite_product(spark, d):
+    """The product of two sparse plus low-rank matrices, recompressed, times a vector: parts by suppliers, and suppliers by
+    nations (one entry for each supplier's nation, plus rank 2)."""
+    supplier, nation = table(spark, d, "supplier"), table(spark, d, "nation")
+    real = lambda *c: F.array(*(x.cast("double") for x in c)).alias("row")
+    own = supplier.select(F.col("s_suppkey").alias("i"), F.col("s_nationkey").cast("long").alias("j"), F.lit(1.0).alias("v"))
+    low = supplier.select(F.col("s_suppkey").alias("i"), real(F.col("s_suppkey") % 3, F.lit(1))), nation.select(F.col("n_nationkey").cast("long").alias("i"), real(F.lit(1), F.col("n_nationkey") % 4))
+    product = _composite(spark, d).times(composite.SparsePlusLowRank(own, low)).recompressed(1e-12)
+    x = nation.select(F.col("n_nationkey").cast("long").alias("i"), (1.0 + F.col("n_nationkey") % 5).alias("v"))
+    return product.apply(x).withColumn("v", F.round("v", 2))
+
+
+@query(with_views(["coo"], _ENTRIES + " SELECT i, round(sum(a*(j%2 + i%3)*(j%10)), 2) AS v, round(sum(a*(j%2 + i%3)*(j%10)), 2) AS formed FROM m GROUP BY 1"))
+def pat3_weighted_composite(spark, d):
+    """The same matrix under weights of rank 2 times a vector, without and with forming the weighted matrix."""
+    rows, cols = _ids(spark, d)
+    real = lambda *c: F.array(*(x.cast("double") for x in c)).alias("row")
+    weights = stored(rows.select("i", real(F.lit(1), F.col("i") % 3))), stored(cols.select("i", real(F.col("i") % 2, F.lit(1))))
+    a, x = _composite(spark, d), _tens(spark, d)
+    formed = a.weighted(weights, 1e-12).apply(x)
+    return a.weighted_apply(weights, x).join(formed.withColumnRenamed("v", "f"), "i", "full").select("i", (F.round("v", 2) + 0.0).alias("v"), (F.round("f", 2) + 0.0).alias("formed"))
+
+
 @query()
 def pat4_positive_patches(spark, d):
     e = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 8).alias("patch_id"), (F.col("l_partkey") % 30).alias("i"), (F.col("l_suppkey") % 30).alias("j")).agg(F.sum("l_quantity").alias("v"))
