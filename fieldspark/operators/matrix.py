@@ -91,7 +91,7 @@ def fit_sparse(pattern: DataFrame, apply, apply_t, rows: DataFrame, cols: DataFr
     sides = [[apply, cols, None], [apply_t, rows, None]]
     while left:
         wanted = 2 * width + 4
-        for s, side in enumerate(sides):
+        for s, side in enumerate(sides if wanted > samples else []):
             k = F.explode(F.sequence(F.lit(samples), F.lit(wanted - 1))).alias("k")
             z = side[1].select(F.col("i").cast("long").alias("i"), k).withColumn("v", normal(F.col("i"), F.col("k"), seed + s))
             fresh = [side[0](stored(z)).select("i", "k", "v")]

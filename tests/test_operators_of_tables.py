@@ -69,7 +69,7 @@ def test_composites_with_one_part(spark):
     assert a.apply(v.limit(0)).count() == 0 or np.allclose(_numpy(a.apply(v.limit(0)), 6), 0)
 
 
-@pytest.mark.parametrize("kind", ["long row", "long column", "dense", "cross"])
+@pytest.mark.parametrize("kind", ["long row", "long column", "dense", "cross", "lengths"])
 def test_fit_sparse(spark, kind):
     """A row, a column or both as long as the matrix cost as many probes as short ones; a dense core widens them."""
     rng = np.random.default_rng(5)
@@ -79,12 +79,14 @@ def test_fit_sparse(spark, kind):
         m[7] = rng.normal(size=n)
     if kind in ("long column", "cross"):
         m[:, 9] = rng.normal(size=n)
+    if kind == "lengths":  # most rows are found in the second turn, which asks for no new probes; the others widen them
+        m = rng.normal(size=(n, 90)) * (np.arange(90) < np.where(np.arange(n) % 9, 25, 90)[:, None])
     a, ids = _entries(spark, m), spark.range(n).toDF("i")
     pattern = a.select("i", "j")
     got, probes = matrix.fit_sparse(pattern.union(pattern.limit(5)), matrix.operator(a), matrix.operator(a, True), ids, ids, width=14)
     rows = got.collect()
     assert len(rows) == np.count_nonzero(m) and all(abs(m[r.i, r.j] - r.v) < 1e-6 for r in rows)
-    assert probes == (2 * 28 + 4 if kind == "dense" else 32) or (kind == "dense" and probes <= 2 * 56 + 4)
+    assert probes <= (200 if kind == "lengths" else 116 if kind == "dense" else 32)
 
 
 def test_fit_sparse_without_entries(spark):
