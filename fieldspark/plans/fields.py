@@ -19,6 +19,22 @@ def _full(name="g", body="coalesce(v, 0.0)"):
     return f", {name} AS (SELECT a.i, b.j, {body} AS v FROM (SELECT CAST(unnest(range(30)) AS BIGINT) AS i) a CROSS JOIN (SELECT CAST(unnest(range(24)) AS BIGINT) AS j) b LEFT JOIN grid2 ON grid2.i = a.i AND grid2.j = b.j)"
 
 
+@query("""WITH c AS (SELECT event_type AS image, CAST(floor(epoch(ts)/86400) AS BIGINT) - 19723 AS i, CAST(floor(epoch(ts)/3600) AS BIGINT)%24 AS j, count(*)*40%256 AS v FROM events GROUP BY 1, 2, 3),
+    p AS (SELECT image, CAST(a.i AS BIGINT) AS i, CAST(b.j AS BIGINT) AS j, coalesce(c.v, 0) AS v FROM (SELECT DISTINCT image FROM c) CROSS JOIN range(30) a(i) CROSS JOIN range(24) b(j) LEFT JOIN c USING (image, i, j))
+    SELECT image, i, j, CASE WHEN max(v) OVER w > min(v) OVER w THEN round((v - min(v) OVER w)/(max(v) OVER w - min(v) OVER w), 9) ELSE 0 END AS v FROM p WINDOW w AS (PARTITION BY image)""")
+def src1_images(spark, d):
+    """Events by day and hour, an image for each type: drawn to PNG files, and those read as grids from 0 to 1."""
+    from ..operators.common import scratch
+
+    e = table(spark, d, "events")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
+    cells = e.select(F.col("event_type").alias("image"), (F.floor(seconds / 86400) - 19723).alias("i"), (F.floor(seconds / 3600) % 24).alias("j"))
+    path = scratch(spark, "images")
+    readers.write_images(cells.groupBy("image", "i", "j").agg((F.count(F.lit(1)) * 40 % 256).alias("v")), path, 30, 24)
+    name = F.regexp_extract("image", "/image=([^/]*)/[^/]*$", 1)
+    return readers.read_images(spark, path + "/*/*").select(name.alias("image"), "i", "j", F.round("v", 9).alias("v"))
+
+
 @query("""WITH t AS (SELECT o_orderkey, string_split(concat_ws(' ', o_orderkey, o_custkey, o_orderkey%10, o_custkey%10, 5, 7), ' ') AS w FROM orders)
     SELECT o_orderkey, CAST(n // 2 AS BIGINT) AS i, CAST(1 - n % 2 AS BIGINT) AS j, CAST(w[n+1] AS DOUBLE) AS v FROM t, (SELECT unnest(range(6)) AS n)""")
 def src2_text_raster(spark, d):

@@ -18,9 +18,9 @@ def _base(spark):
     return scratch(spark, "stream")
 
 
-def _drain(spark, df, mode="append"):
-    """Run a stream over what is there into a Parquet table and read that."""
-    path = _base(spark)
+def _drain(spark, df, mode="append", path=None):
+    """Run a stream over what is there into a Parquet table and read that in the caller's session."""
+    path = path or _base(spark)
     df.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", path + "/log").option("path", path + "/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(path + "/out")
 
@@ -55,7 +55,7 @@ def _events(spark, d):
     return _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("SELECT CAST(floor(epoch(ts)/21600)*21600 AS BIGINT) AS start, count(*) AS n, min(value) AS lo_value, max(value) AS hi_value FROM events GROUP BY 1 HAVING (floor(epoch(ts)/21600)+1)*21600 <= (SELECT max(epoch(ts)) - 3600 FROM events)".replace("HAVING (floor(epoch(ts)/21600)+1)*21600", "HAVING start+21600"))
+@query("SELECT CAST(floor(epoch(ts)/21600)*21600 AS BIGINT) AS start, count(*) AS n, min(value) AS lo_value, max(value) AS hi_value FROM events GROUP BY 1 HAVING start + 21600 <= (SELECT max(epoch(ts)) - 3600 FROM events)")
 def str2_windowed_boxes(spark, d):
     got = streams.windowed_boxes(_events(spark, d), ["value"], "6 hours", "1 hour")
     return _drain(spark, got).select(F.unix_timestamp("w.start").alias("start"), "n", "lo_value", "hi_value")
@@ -79,18 +79,33 @@ def str2_session_boxes(spark, d):
     return _drain(spark, got).select("user_id", F.unix_timestamp("w.start").alias("start"), "n", "lo_value", "hi_value")
 
 
+def _with_timers(spark):
+    """A session of its own with the state store that keyed state and timers need; the caller's stays as it is."""
+    own = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.adaptive.enabled"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
+
+
 @query(with_views(["series"], "SELECT series_id, min(k) AS first FROM series WHERE y < 500 GROUP BY 1"))
 def str3_first_crossings(spark, d):
     """The series are numbered by the batch view; the stream is that table, written once."""
     path = _base(spark)
     view(spark, d, "series").select("series_id", F.col("k").cast("long").alias("k"), "y").write.parquet(path)
-    stream = spark.readStream.schema("series_id " + dict(view(spark, d, "series").dtypes)["series_id"] + ", k long, y double").parquet(path)
-    held = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        return _drain(spark, streams.first_crossings(stream, 500.0))
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", held)
+    stream = _with_timers(spark).readStream.schema("series_id " + dict(view(spark, d, "series").dtypes)["series_id"] + ", k long, y double").parquet(path)
+    return _drain(spark, streams.first_crossings(stream, 500.0), path=_base(spark))
+
+
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS t, value FROM events),
+    f AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < 43200000000 THEN 0 ELSE 1 END AS fresh FROM e),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS no FROM f)
+    SELECT user_id, min(t) AS start, max(t) AS "end", coalesce(min(t) FILTER (WHERE value < 5), -1) AS first FROM s GROUP BY user_id, no
+    HAVING (max(t) + 43200000000)//1000 < (SELECT max(t)//1000 - 3600000 FROM e)""")
+def str3_crossing_episodes(spark, d):
+    """The first value under 5 (-1: none) in each episode of a user: events less than twelve hours apart."""
+    got = streams.crossing_episodes(_events(_with_timers(spark), d), 5.0, 43200, "1 hour", key="user_id", y="value")
+    return _drain(spark, got, path=_base(spark)).withColumn("first", F.coalesce("first", F.lit(-1)))
 
 
 @query(with_views(["pts2", "balls2"], """SELECT q, id, dsq, CAST(rank AS INT) AS rank FROM (SELECT p.id AS q, ball_id AS id, (x-cx)**2+(y-cy)**2 AS dsq,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +30,27 @@ def read_images(spark: SparkSession, path: str, normalise: bool = True) -> DataF
     return grid.join(box, "image").select("image", "i", "j", F.when(F.col("_hi") > F.col("_lo"), (F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0).alias("v"))
 
 
+def write_images(grids: DataFrame, path: str, width: int, height: int) -> None:
+    """Grey PNG images of grids (image, i, j, v), v from 0 to 255, one folder image=.. each; gridpoints without a row are 0,
+    rows outside the size are left out. An image is one row and so fits a task.
+
+    The bytes go through the text sink, which writes them as they are and ends the file with a line feed that PNG readers
+    pass over; so the folder may be anywhere Spark can write.
+    """
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((height, width + 1), np.uint8)  # each line starts with its filter, none
+        a[height - 1 - pdf["j"].to_numpy(), pdf["i"].to_numpy() + 1] = np.rint(pdf["v"].to_numpy(float)).clip(0, 255)
+        chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(a.tobytes())) + chunk(b"IEND", b"")
+        return pd.DataFrame({"image": pdf["image"].iloc[:1], "png": [png]})
+
+    kind = dict(grids.dtypes)["image"]
+    inside = grids.where((F.col("i") >= 0) & (F.col("i") < width) & (F.col("j") >= 0) & (F.col("j") < height)).select("image", "i", "j", "v")
+    drawn = inside.groupBy("image").applyInPandas(draw, f"image {kind}, png binary")
+    drawn.select("image", F.col("png").cast("string").alias("value")).write.partitionBy("image").text(path)
+
+
 def image_box(width: int, height: int, y_lo: float, y_hi: float) -> tuple[tuple[float, float], tuple[float, float]]:
     """Corners of an image stretched to a y-range, with x scaled by the aspect ratio from 0."""
     return (0.0, y_lo), ((y_hi - y_lo) * width / height, y_hi)

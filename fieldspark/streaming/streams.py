@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,6 +96,69 @@ def first_crossings(series: DataFrame, threshold: float, key: str = "series_id",
     return series.groupBy(key).transformWithStateInPandas(_Crossing(threshold, y, k, key), f"{key} {kind}, first long", "Append", "None")
 
 
+class _Episodes(StatefulProcessor):
+    """The open episodes of a key, (start, end, first) in microseconds (first -1 without a crossing), each with a timer."""
+
+    def __init__(self, threshold: float, gap: int, y: str, key: str):
+        self.threshold, self.gap, self.y, self.key = threshold, gap, y, key
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "start long, end long, first long")
+
+    def _ends(self, end: int) -> int:
+        return (end + self.gap) // 1000
+
+    def _merged(self, spans: np.ndarray) -> np.ndarray:
+        """Spans less than the gap apart become one, with the earliest crossing of its parts."""
+        spans = spans[np.argsort(spans[:, 0], kind="stable")]
+        reach = np.maximum.accumulate(spans[:, 1])
+        at = np.flatnonzero(np.r_[True, spans[1:, 0] - reach[:-1] >= self.gap])
+        first = np.minimum.reduceat(np.where(spans[:, 2] < 0, np.iinfo(np.int64).max, spans[:, 2]), at)
+        return np.stack([spans[at, 0], np.maximum.reduceat(spans[:, 1], at), np.where(first == np.iinfo(np.int64).max, -1, first)], 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+        spans = np.array([tuple(x) for x in self.open.get()] if self.open.exists() else [], np.int64).reshape(-1, 3)
+        for pdf in rows:
+            if not len(pdf):
+                continue
+            t = pdf["at_us"].to_numpy(np.int64)
+            low = pdf[self.y].to_numpy(float) < self.threshold  # a null is not under the threshold
+            spans = self._merged(np.concatenate([spans, np.stack([t, t, np.where(low, t, -1)], 1)]))
+        if not len(spans):
+            return iter(())
+        self.open.put([tuple(map(int, x)) for x in spans])
+        for end in spans[:, 1]:
+            self.handle.registerTimer(self._ends(int(end)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        spans = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        done = [x for x in spans if self._ends(x[1]) <= now]  # none, if the episode has grown since the timer was set
+        rest = [x for x in spans if self._ends(x[1]) > now]
+        self.open.put(rest) if rest else self.open.clear()
+        if done:
+            yield pd.DataFrame({self.key: [key[0]] * len(done), "start": [x[0] for x in done], "end": [x[1] for x in done], "first": pd.array([x[2] if x[2] >= 0 else None for x in done], dtype="Int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def crossing_episodes(series: DataFrame, threshold: float, gap_seconds: int, late: str, key: str = "series_id", ts: str = "ts", y: str = "y") -> DataFrame:
+    """(key, start, end, first): first time under the threshold in each episode of a series, null if there is none; times in
+    microseconds since 1970.
+
+    An episode is a run of rows less than the gap apart in event time. It comes out, once and whole, when an event-time
+    timer finds the watermark past its end by the gap, and takes its state along: a quiet series keeps nothing. Rows in any
+    order count, also those that join two open episodes; rows behind the watermark are dropped. Append mode; needs the
+    RocksDB state store.
+    """
+    kind = dict(series.dtypes)[key]
+    held = series.withWatermark(ts, late).select(key, ts, F.unix_micros(ts).alias("at_us"), F.col(y).cast("double").alias(y)).where(F.col(ts).isNotNull())
+    return held.groupBy(key).transformWithStateInPandas(_Episodes(threshold, gap_seconds * 1_000_000, y, key), f"{key} {kind}, start long, end long, first long", "Append", "EventTime")
+
+
 def first_crossing_times(series: DataFrame, threshold: float, window: str, late: str, key: str = "series_id", ts: str = "ts", y: str = "y") -> DataFrame:
     """(w, key, first): earliest time under the threshold in each window."""
     held = series.withWatermark(ts, late).where(F.col(y) < threshold)
