@@ -119,15 +119,28 @@ def mat7_low_rank_product(spark, d):
 
 
 def _nations(spark, d):
-    """A small dense matrix from the whole tables: order lines by customer's market segment month and supplier nation."""
+    """Quantities of all parts (i) by all nations of their suppliers (j), a complete table."""
     lines = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return lines.groupBy((F.col("l_partkey") % 40).alias("i"), F.col("s_nationkey").cast("long").alias("j")).agg(F.sum("l_quantity").alias("v"))
+    sums = lines.groupBy(F.col("l_partkey").alias("i"), F.col("s_nationkey").cast("long").alias("j")).agg(F.sum("l_quantity").cast("double").alias("v"))
+    keys = [r.n for r in table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n")).orderBy("n").collect()]  # 25 at every scale
+    every = _ids(spark, d)[0].select("i", F.explode(F.array(*map(F.lit, keys)).cast("array<long>")).alias("j"))
+    return every.join(sums, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
-@query()
+def _by_nation(spark, d):
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("i"), (1.0 + F.col("n_nationkey") % 3).alias("v"))
+
+
+_NATIONS = """WITH y AS (SELECT l_partkey AS i, sum(l_quantity*(1 + s_nationkey%3)) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1)
+    SELECT p_partkey AS i, round(CAST(coalesce(v, 0) AS DOUBLE), 3) AS v FROM part LEFT JOIN y ON i = p_partkey"""
+
+
+@query(_NATIONS)
 def mat8_cross_full(spark, d):
+    """The product of the cross approximation of all parts by nations, run until nothing is left."""
     a = stored(_nations(spark, d))
-    return lowrank.cross_factors(a, lowrank.cross_full(a, 1e-2, max_rank=3))[0]
+    factors = lowrank.cross_factors(a, lowrank.cross_full(a, 1e-10))
+    return lowrank.matvec(tuple(map(stored, factors)), _by_nation(spark, d)).select("i", (F.round("v", 3) + 0.0).alias("v"))
 
 
 def _bell(x, y):
@@ -148,9 +161,13 @@ def mat9_cross_partial(spark, d):
     return lowrank.matvec((x, y), ones).withColumn("v", F.round("v", 0))
 
 
-@query()
+@query(_NATIONS)
 def mat10_cur(spark, d):
-    return lowrank.cur(_coo(spark, d), [1, 2, 3, 5, 8], [1, 2, 3, 4])[0]
+    """C pinv(U) R of all parts by nations from all columns and the 64 heaviest rows, which hold the whole row space."""
+    a = stored(_nations(spark, d))
+    top = a.groupBy("i").agg(F.sum("v").alias("s")).orderBy(F.desc("s"), "i").limit(64).collect()
+    factors = lowrank.cur(a, [r.i for r in top], [r.i for r in _by_nation(spark, d).collect()])
+    return lowrank.matvec(tuple(map(stored, factors)), _by_nation(spark, d)).select("i", (F.round("v", 3) + 0.0).alias("v"))
 
 
 @query()
@@ -177,11 +194,16 @@ def mat13_compressed_blocks(spark, d):
     return blocktree.apply(tree, parts.select("i", (1.0 + F.col("i") % 3).alias("v"))).withColumn("v", F.round("v", -1))
 
 
-@query()
+@query("SELECT vec_id AS i, round(list_sum(CAST(embedding AS DOUBLE[])), 3) AS v, CAST(0 AS DOUBLE) AS off FROM embeddings")
 def mat14_generalised_svd(spark, d):
+    """U S V' M of the embeddings times ones, and how far U' N U is from the identity."""
     a = _tall(spark, d)
     w = a.select("i", (1.0 + F.col("i") % 3).alias("w"))
-    return lowrank.generalised_svd(a, w, np.diag(1.0 + np.arange(64) % 2))[0]
+    m = np.diag(1.0 + np.arange(len(a.first()["row"])) % 2)
+    u, s, v = lowrank.generalised_svd(a, w, m)
+    u = stored(u)
+    ones = lowrank.times(u, (s * (v.T @ m).sum(axis=1))[:, None]).select("i", (F.col("row")[0] + 0.0).alias("v"))
+    return _with_off(ones, u.join(w, "i").select("i", F.transform("row", lambda x: x * F.sqrt("w")).alias("row")))
 
 
 @query(with_views(["coo"], ", y AS (SELECT i, sum(v*(j%10)) AS v FROM coo GROUP BY 1) SELECT p_partkey AS i, coalesce(v, 0.0) AS v FROM part LEFT JOIN y ON i = p_partkey"))
@@ -265,10 +287,17 @@ def pat3_weighted_composite(spark, d):
     return a.weighted_apply(weights, x).join(formed.withColumnRenamed("v", "f"), "i", "full").select("i", (F.round("v", 2) + 0.0).alias("v"), (F.round("f", 2) + 0.0).alias("formed"))
 
 
-@query()
+@query("""WITH p AS (SELECT l_partkey AS patch_id, CAST(sum(l_quantity*(l_suppkey%3-1)) AS DOUBLE) AS a, CAST(sum(l_quantity*(l_linenumber%3-1)) AS DOUBLE) AS b FROM lineitem GROUP BY 1),
+    e AS (SELECT patch_id, greatest(a+b, 0) AS plus, greatest(a-b, 0) AS minus FROM p)
+    SELECT patch_id, 2*patch_id + r AS i, 2*patch_id + c AS j, round(CASE WHEN r = c THEN plus+minus ELSE plus-minus END/2, 6) + 0.0 AS v FROM e, range(2) x(r), range(2) y(c)""")
 def pat4_positive_patches(spark, d):
-    e = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 8).alias("patch_id"), (F.col("l_partkey") % 30).alias("i"), (F.col("l_suppkey") % 30).alias("j")).agg(F.sum("l_quantity").alias("v"))
-    return matrix.patch_positive(e)
+    """A patch a part, [[a, 2 b], [0, a]] of sums over its order lines; made symmetric, its eigenvalues are a + b and a - b."""
+    weigh = lambda c: F.sum(F.col("l_quantity") * (F.col(c) % 3 - 1)).cast("double")
+    sums = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("patch_id")).agg(weigh("l_suppkey").alias("a"), weigh("l_linenumber").alias("b"))
+    k, a = 2 * F.col("patch_id"), F.col("a")
+    cells = F.explode(F.array(*(F.struct(i.alias("i"), j.alias("j"), v.alias("v")) for i, j, v in ((k, k, a), (k, k + 1, 2 * F.col("b")), (k + 1, k + 1, a)))))
+    made = matrix.patch_positive(sums.select("patch_id", cells.alias("e")).select("patch_id", "e.*"))
+    return made.withColumn("v", F.round("v", 6) + 0.0)
 
 
 @query()
