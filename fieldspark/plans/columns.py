@@ -91,6 +91,13 @@ _register(
 )
 
 
+_register(
+    "nst12_ones_zeros",
+    ", ".join([_named("o", _leaves(lambda x, y: "CAST(1 AS DOUBLE)")), _named("z", _leaves(lambda x, y: "CAST(0 AS DOUBLE)"))]),
+    lambda u, v: [*_flat("o", nested.ones(u, TREE)), *_flat("z", nested.zeros(v, TREE))],
+)
+
+
 @query()
 def nst12_like(spark, d):
     rows = _trees(spark, d)
