@@ -143,38 +143,110 @@ def ellipsoid_pairs(ellipsoids: DataFrame, tau: float, key: str = "ell_id", mu:
     return near.mapInPandas(test, f"a {kind}, b {kind}")
 
 
-def ellipsoid_batches(ellipsoids: DataFrame, tau: float, key: str = "ell_id", mu: str = "mu", sigma: str = "sigma", max_batches: int | None = None) -> DataFrame:
+def _components(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, l): the smallest id of each row's component; edges (a, b) in both directions, a label's own label taken each round."""
+    cur = stored(ids.select("id", F.col("id").alias("l")))
+    while True:
+        label = cur.select(F.col("id").alias("b"), F.col("l").alias("m"))
+        near = edges.join(label, "b").groupBy(F.col("a").alias("id")).agg(F.min("m").alias("m"))
+        least = stored(cur.join(near, "id", "left").select("id", F.least("l", F.coalesce("m", "l")).alias("l"), F.col("l").alias("_old")))
+        jump = least.select(F.col("id").alias("l"), F.col("l").alias("_j"))
+        new = stored(least.join(jump, "l").select("id", F.col("_j").alias("l"), F.col("_j").eqNullSafe(F.col("_old")).alias("_same")))
+        if new.where(~F.col("_same")).isEmpty():
+            return new.select("id", "l")
+        cur = new.select("id", "l")
+
+
+def _first_fit(members: pd.DataFrame, links: pd.DataFrame) -> np.ndarray:
+    """The batch of each row (c, id), ids ascending: the first that neither its class nor a linked class (a, b) holds."""
+    near, used = links.groupby("a")["b"].agg(list).to_dict(), dict.fromkeys(members["c"], 0)  # batches as bits
+    out = []
+    for c in members["c"]:
+        taken = used[c]
+        for b in near.get(c, ()):
+            taken |= used.get(b, 0)
+        bit = ~taken & (taken + 1)
+        used[c] |= bit
+        out.append(bit.bit_length() - 1)
+    return np.array(out, dtype=np.int32)
+
+
+def ellipsoid_batches(ellipsoids: DataFrame, tau: float, key: str = "ell_id", mu: str = "mu", sigma: str = "sigma", max_batches: int | None = None, finish: int = 1 << 16) -> DataFrame:
     """(key, batch): farthest-first independent batches; every ellipsoid ends in one batch (or in none, beyond max_batches).
 
     In each batch the ellipsoids are ordered by distance to the nearest already picked centre, farthest first, then key;
     the greedy choice along that order is found in rounds: undecided ones that come before all undecided neighbours are
     taken and their neighbours dropped, which gives the sequential answer.
+
+    Equal ellipsoids are one class, known by its smallest key, so links don't grow with copies; a batch takes at most the
+    next member of a class. Once a batch has come to every centre, the order is that of the keys for good and batches are
+    a first fit: a class without links takes one batch after the other, and the members of a component with up to `finish`
+    members and links are fitted in one group. Only larger components go on batch by batch, and are looked at again when
+    half of their members are placed. Rows with null in the key, mu or sigma are left out.
     """
-    pairs = stored(ellipsoid_pairs(ellipsoids, tau, key, mu, sigma))
-    edges = stored(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    left = stored(ellipsoids.select(F.col(key).alias("id"), F.col(mu).alias("mu"), F.lit(float("inf")).alias("far")))
-    out, batch = [], 0
+    rows = ellipsoids.select(F.col(key).alias("id"), F.col(mu).alias("mu"), F.col(sigma).alias("sigma")).dropna()
+    classes = stored(rows.groupBy("mu", "sigma").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("n")))
+    kind, empty = dict(classes.dtypes)["c"], ellipsoids.select(key, F.lit(0).alias("batch")).where(F.lit(False))
+    first = classes.select(F.size("mu").alias("d")).first()
+    if first is None:
+        return empty
+    dims = range(first["d"])
+    start = offsets(classes, "c", "n").select("c", "start")
+    order = ranked(stored(rows.join(classes, ["mu", "sigma"]).select("c", "id")), [F.col("c"), F.col("id")], "_place")
+    members = stored(order.join(start, "c").select("c", "id", (F.col("_place") - F.col("start")).alias("r")))
+    pairs = stored(ellipsoid_pairs(classes, tau, "c", "mu", "sigma"))
+    edges = stored(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    left = stored(classes.select("c", "mu", "n", F.lit(0).cast("long").alias("used"), F.lit(float("inf")).alias("far")))
+    out, batch, due = [], 0, None
+
+    def settled(left: DataFrame, batch: int) -> tuple[list[DataFrame], DataFrame]:
+        """Batches of small components and lone classes, and the classes of the others."""
+        ids = left.select(F.col("c").alias("id"))
+        live = stored(edges.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi"))
+        parts = left.join(_components(live, ids).withColumnRenamed("id", "c"), "c")
+        links = live.groupBy(F.col("a").alias("c")).agg(F.count(F.lit(1)).alias("_d"))
+        sizes = parts.join(links, "c", "left").groupBy("l").agg(F.count(F.lit(1)).alias("_k"), F.sum(F.col("n") - F.col("used") + F.coalesce("_d", F.lit(0))).alias("_s"))
+        parts = stored(parts.join(sizes, "l"))
+        lone, small = F.col("_k") == 1, (F.col("_k") > 1) & (F.col("_s") <= finish)
+        rest = lambda which: members.join(parts.where(which).select("c", "l", "used"), "c").where("r >= used")
+        ones = rest(lone).select(F.col("id").alias(key), (F.lit(batch) + F.col("r") - F.col("used")).cast("int").alias("batch"))
+        mine = live.join(parts.where(small).select(F.col("c").alias("a"), F.col("l").alias("m")), "a").select("a", "b", "m")
+
+        def fit(pdf: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("id")
+            return pd.DataFrame({key: pdf["id"].to_numpy(), "batch": batch + _first_fit(pdf, links)})
+
+        fitted = stored(rest(small).select("id", "c", "l")).groupBy("l").cogroup(stored(mine).groupBy("m")).applyInPandas(fit, f"`{key}` {kind}, batch int")
+        return [stored(ones), stored(fitted)], stored(parts.where(~lone & ~small).select(left.columns))
+
     while not left.isEmpty() and (max_batches is None or batch < max_batches):
-        order = F.struct((-F.col("far")).alias("f"), F.col("id").alias("id"))
-        todo = stored(left.select("id", order.alias("o")))
-        taken = None
+        open_ = left.agg(F.sum(F.col("n") - F.col("used")).alias("n"), F.max("far").alias("far")).first()
+        if open_["far"] == 0 and (due is None or open_["n"] <= due):
+            done, left = settled(left, batch)
+            out.extend(done)
+            due = open_["n"] // 2
+            continue
+        at = stored(left.join(members.withColumnRenamed("r", "used"), ["c", "used"]).select("c", "id", F.struct((-F.col("far")).alias("f"), F.col("id").alias("id")).alias("o")))
+        todo, taken = at, None
         while not todo.isEmpty():
-            near = edges.join(todo.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(todo.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b")
-            blocked = near.where("ob < oa").select(F.col("a").alias("id")).distinct()
-            win = stored(todo.join(blocked, "id", "left_anti").select("id"))
-            out_now = edges.join(win.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
-            todo = stored(todo.join(win, "id", "left_anti").join(out_now, "id", "left_anti"))
+            near = edges.join(todo.select(F.col("c").alias("a"), F.col("o").alias("oa")), "a").join(todo.select(F.col("c").alias("b"), F.col("o").alias("ob")), "b")
+            blocked = near.where("ob < oa").select(F.col("a").alias("c")).distinct()
+            win = stored(todo.join(blocked, "c", "left_anti").select("c", "id"))
+            out_now = edges.join(win.select(F.col("c").alias("a")), "a").select(F.col("b").alias("c")).distinct()
+            todo = stored(todo.join(win, "c", "left_anti").join(out_now, "c", "left_anti"))
             taken = win if taken is None else taken.union(win)
-        picked = stored(left.join(taken, "id", "left_semi"))
-        out.append(picked.select(F.col("id").alias(key), F.lit(batch).alias("batch")))
-        rest = left.join(taken, "id", "left_anti")
-        dims = range(picked.select(F.size("mu").alias("n")).first()["n"])
-        flat = lambda df: df.select("id", *(F.col("mu")[i].alias(f"x{i}") for i in dims))
-        near = nearest(flat(picked), flat(rest), [f"x{i}" for i in dims], 1).select(F.col("q").alias("id"), F.col("dsq").alias("d"))
-        left = stored(rest.join(near, "id").select("id", "mu", F.least("far", "d").alias("far")))
+        taken = stored(taken)
+        out.append(taken.select(F.col("id").alias(key), F.lit(batch).alias("batch")))
+        left = left.join(taken.select("c", F.lit(1).alias("_t")), "c", "left").withColumn("used", F.col("used") + F.coalesce("_t", F.lit(0)))
+        new = stored(left)
+        rest, flat = new.where("used < n").drop("_t"), lambda df: df.select(F.col("c").alias("id"), *(F.col("mu")[i].alias(f"x{i}") for i in dims))
+        if open_["far"] > 0:
+            near = nearest(flat(new.where("_t = 1")), flat(rest), [f"x{i}" for i in dims], 1).select(F.col("q").alias("c"), F.col("dsq").alias("d"))
+            rest = rest.join(near, "c").withColumn("far", F.least("far", "d")).drop("d")
+        left = stored(rest.select("c", "mu", "n", "used", "far"))
         batch += 1
     if not out:
-        return ellipsoids.select(key, F.lit(0).alias("batch")).where(F.lit(False))
+        return empty
     while len(out) > 1:  # in pairs, so that the plan of many batches stays shallow
         out = [a.union(b) for a, b in zip(out[::2], out[1::2])] + out[len(out) // 2 * 2 :]
-    return out[0]
+    return out[0] if max_batches is None else out[0].where(F.col("batch") < max_batches)

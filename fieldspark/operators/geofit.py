@@ -17,26 +17,27 @@ from .matrix import apply
 from .spatial import kernel_values
 
 
-def derivative_operator(points: DataFrame, direction: tuple[float, float], k: int = 10, num_angles: int = 8, num_frequencies: int = 4, s_min: float = 1.0, s_max: float = 4.0, ridge: float = 1e-8, key: str = "id") -> DataFrame:
+def derivative_operator(points: DataFrame, direction: tuple[float, float], k: int = 10, num_angles: int = 5, num_frequencies: int = 4, s_min: float = 2.0, s_max: float = 20.0, ridge: float = 1e-8, key: str = "id") -> DataFrame:
     """(i, j, v): weights over each point's k nearest points that differentiate plane waves along `direction`, 2-D.
 
-    Wavelengths go from s_min to s_max times the neighbourhood's diameter; angles start at the direction's own (atan2).
+    Wavelengths go from s_min to s_max times the diameter of the neighbourhood (twice its radius); angles go round the
+    circle from the direction's own (atan2). Every wave is divided by its frequency. The ridge is stacked below the waves,
+    so the least squares see it squared. Points that all lie in one place count as a neighbourhood of diameter 1.
     """
     near = nearest(points, points, ["x", "y"], k, key, key)
     at = near.join(points.select(F.col(key).alias("id"), F.col("x").alias("px"), F.col("y").alias("py")), "id").join(points.select(F.col(key).alias("q"), "x", "y"), "q")
-    start = np.arctan2(direction[1], direction[0])
+    angles = np.arctan2(direction[1], direction[0]) + np.arange(num_angles) * 2 * np.pi / num_angles
+    unit = np.stack([np.cos(angles), np.sin(angles)], 1)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         d = pdf[["px", "py"]].to_numpy(float) - pdf[["x", "y"]].to_numpy(float)
-        wide = 2 * np.sqrt((d**2).sum(1).max()) or 1.0
-        angles = start + np.arange(num_angles) * np.pi / num_angles
-        waves = 2 * np.pi / (np.linspace(s_min, s_max, num_frequencies) * wide)
-        w = (waves[:, None, None] * np.stack([np.cos(angles), np.sin(angles)], 1)[None]).reshape(-1, 2)
-        phase = w @ d.T
-        a = np.concatenate([np.cos(phase), np.sin(phase), np.ones((1, len(d)))])
-        rhs = np.concatenate([np.zeros(len(w)), w @ np.asarray(direction, float), [0.0]])
-        c = np.linalg.solve(a.T @ a + ridge * np.eye(len(d)), a.T @ rhs)
-        return pd.DataFrame({"i": pdf["q"], "j": pdf["id"], "v": c})
+        lengths = np.linspace(s_min, s_max, num_frequencies) * (2 * np.sqrt((d**2).sum(1).max()) or 1.0)
+        phase = (2 * np.pi / lengths)[:, None, None] * (unit @ d.T)[None]
+        waves = lengths[:, None, None] * np.stack([np.cos(phase), np.sin(phase)])
+        slopes = np.broadcast_to(2 * np.pi * (unit @ np.asarray(direction, float)), waves.shape[1:3])
+        rows = np.concatenate([waves.reshape(-1, len(d)), ridge * np.eye(len(d))])
+        rhs = np.concatenate([np.zeros(slopes.size), slopes.ravel(), np.zeros(len(d))])
+        return pd.DataFrame({"i": pdf["q"], "j": pdf["id"], "v": np.linalg.lstsq(rows, rhs, rcond=None)[0]})
 
     return at.groupBy("q").applyInPandas(solve, "i long, j long, v double")
 
@@ -88,15 +89,6 @@ def transfer_matrices(parent: DataFrame, children: DataFrame, groups: DataFrame)
     return parts.groupBy("g").applyInPandas(solve, "g long, t array<array<double>>")
 
 
-def rbf_weights(centres: np.ndarray, values: np.ndarray, kind: str = "gaussian", shape: float = 1.0, cap: int = 2000) -> np.ndarray:
-    """Weights of a radial interpolant, solved on the driver for at most `cap` centres."""
-    if len(centres) > cap:
-        raise ValueError(f"at most {cap} centres")
-    d = ((centres[:, None] - centres[None]) ** 2).sum(2)
-    phi = np.exp(-d / (2 * shape**2)) if kind == "gaussian" else np.sqrt(1 + shape**2 * d)
-    return np.linalg.solve(phi, values)
-
-
 def rbf_solve(centres: DataFrame, axes: list[str], radius: float, shape: float = 1.0, key: str = "id", value: str = "v", most: int = 1024, tol: float = 1e-10, max_iter: int = 500) -> DataFrame:
     """(key, axes, w): weights of the Gaussian interpolant, cut at `radius`, through any number of distinct centres.
 

@@ -326,6 +326,15 @@ def geo2_polynomial_basis(spark, d):
     return geofit.polynomial_basis(view(spark, d, "pts2"), ["x", "y"], 2)
 
 
+@query(with_views(["pts2"], "SELECT id AS i, round(1 + (x*x + x*y + y*y)/8, 3) AS v, CAST(0 AS DOUBLE) AS off FROM pts2"))
+def geo2_projection(spark, d):
+    """A quadratic projected on the basis (itself again), and how far the basis is from orthonormal."""
+    p = view(spark, d, "pts2")
+    q = stored(geofit.polynomial_basis(p, ["x", "y"], 2))
+    f = p.select(F.col("id").alias("i"), (1 + (F.col("x") * F.col("x") + F.col("x") * F.col("y") + F.col("y") * F.col("y")) / 8).alias("v"))
+    return _with_off(lowrank.matvec((q, q), f), q)
+
+
 @query()
 def geo3_transfer_matrices(spark, d):
     p = view(spark, d, "pts2")
@@ -334,8 +343,39 @@ def geo3_transfer_matrices(spark, d):
     return geofit.transfer_matrices(parent, child, p.select(F.col("id").alias("i"), (F.col("id") % 4).alias("g")))
 
 
+@query(with_views(["pts2"], """, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts2),
+    z AS (SELECT id, (2*x-x0-x1)/(x1-x0) AS a, (2*y-y0-y1)/(y1-y0) AS b FROM pts2, b)
+    SELECT id AS i, CAST(unnest(range(6)) AS INT) AS k, round(unnest([1.0, b, a, b*b, a*b, a*a]), 5) + 0.0 AS v FROM z"""))
+def geo3_transferred(spark, d):
+    """The orthonormal basis times each group's transfer matrix: the scaled monomials, up to degree 2."""
+    p = view(spark, d, "pts2")
+    parent, child = stored(geofit.monomials(p, ["x", "y"], 2)), stored(geofit.polynomial_basis(p, ["x", "y"], 2))
+    groups = p.select(F.col("id").alias("i"), (F.col("id") % 4).alias("g"))
+    t = geofit.transfer_matrices(parent, child, groups)
+    held = groups.join(child, "i").join(t, "g").select("i", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"), "row", "t")
+    v = F.aggregate(F.zip_with("row", "t", lambda c, r: c * F.element_at(r, F.col("k") + 1)), F.lit(0.0), lambda x, y: x + y)
+    return held.select("i", "k", (F.round(v, 5) + 0.0).alias("v"))
+
+
 @query()
 def geo4_radial_functions(spark, d):
     centres = view(spark, d, "balls2").groupBy(F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.min("ball_id").alias("id")).withColumn("v", F.col("x"))
     held = geofit.rbf_solve(centres, ["x", "y"], 40.0, shape=6.0)
     return geofit.rbf_evaluate(view(spark, d, "pts2"), held, ["x", "y"], 40.0, shape=6.0)
+
+
+@query(with_views(["balls2"], "SELECT min(ball_id) AS id, cx AS x, cy AS y, round(cx + cy/10, 5) AS value FROM balls2 GROUP BY cx, cy"))
+def geo4_at_centres(spark, d):
+    """The interpolant of a linear function at its own centres: the function again."""
+    centres = view(spark, d, "balls2").groupBy(F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.min("ball_id").alias("id")).withColumn("v", F.col("x") + F.col("y") / 10)
+    held = stored(geofit.rbf_solve(centres, ["x", "y"], 40.0, shape=6.0))
+    got = geofit.rbf_evaluate(held.select("id", "x", "y"), held, ["x", "y"], 40.0, shape=6.0)
+    return got.join(held, "id").select("id", "x", "y", (F.round("value", 5) + 0.0).alias("value"))
+
+
+@query(with_views(["coo"], "SELECT i, round(CASE WHEN i%3 = 0 THEN 0.0 ELSE 0.01*(i%3) END, 9) AS error FROM coo GROUP BY i"))
+def agg10_row_errors(spark, d):
+    """Rows off by 0, 1 and 2 % have just these errors, whatever the probes."""
+    a = _coo(spark, d)
+    b = a.withColumn("v", F.col("v") * (1 + F.lit(0.01) * (F.col("i") % 3)))
+    return aggregates.compare_operators(matrix.operator(a), matrix.operator(b), _ids(spark, d)[1], 3)[1].withColumn("error", F.round("error", 9) + 0.0)

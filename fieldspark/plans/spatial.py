@@ -5,11 +5,19 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..operators import aggregates, clusters, knn, ordering, spatial
 from .base import query
-from .views import table, view, with_views
+from .views import recursive, table, view, with_views
 
 LO, HI = ["x_lo", "y_lo"], ["x_hi", "y_hi"]
 
 
+def _tree(size):
+    """A table expression t: every point in every cluster (c, of n points) that halving along the widest axis makes."""
+    return f""", t AS (SELECT id, x, y, CAST(1 AS BIGINT) AS c, (SELECT count(*) FROM pts2) AS n FROM pts2 UNION ALL
+        SELECT id, x, y, 2*c + CAST(r > n//2 AS BIGINT), CASE WHEN r > n//2 THEN n - n//2 ELSE n//2 END FROM
+        (SELECT *, row_number() OVER (PARTITION BY c ORDER BY CASE WHEN dx >= dy THEN x ELSE y END, id) AS r FROM
+        (SELECT *, max(x) OVER (PARTITION BY c) - min(x) OVER (PARTITION BY c) AS dx, max(y) OVER (PARTITION BY c) - min(y) OVER (PARTITION BY c) AS dy FROM t WHERE n > {size})))"""
+
+
 @query(with_views(["pts2"], "SELECT id, x, y FROM pts2 WHERE x BETWEEN 10 AND 30 AND y BETWEEN 100 AND 600"))
 def prj1_points_in_box(spark, d):
     return view(spark, d, "pts2").where(geo.in_box([F.col("x"), F.col("y")], [10.0, 100.0], [30.0, 600.0]))
@@ -121,13 +129,24 @@ def jns9_patch_overlaps(spark, d):
     return patch_overlaps(rows).select("a", "b", F.size("shared").cast("long").alias("n"), F.get("shared", F.lit(0)).alias("first"))
 
 
-@query()
+@query(with_views(["ell2"], """, p AS (SELECT a.ell_id AS a, b.ell_id AS b, a.mx-b.mx AS dx, a.my-b.my AS dy, a.sxx AS axx, a.sxy AS axy, a.syy AS ayy, b.sxx AS bxx, b.sxy AS bxy, b.syy AS byy
+        FROM ell2 a JOIN ell2 b ON a.ell_id < b.ell_id AND abs(a.mx-b.mx) <= 2*(sqrt(a.sxx)+sqrt(b.sxx)) AND abs(a.my-b.my) <= 2*(sqrt(a.syy)+sqrt(b.syy))),
+    m AS (SELECT a, b, dx, dy, s, (1-s)*axx+s*bxx AS xx, (1-s)*axy+s*bxy AS xy, (1-s)*ayy+s*byy AS yy FROM p, (SELECT unnest(range(1001))/1000.0::DOUBLE AS s))
+    SELECT a, b FROM m GROUP BY 1, 2 HAVING min(1 - s*(1-s)/4*(dx*dx*yy - 2*dx*dy*xy + dy*dy*xx)/(xx*yy-xy*xy)) >= 0"""))
 def jns8_ellipsoid_pairs(spark, d):
     e = view(spark, d, "ell2").select("ell_id", F.array("mx", "my").alias("mu"), F.array(F.array("sxx", "sxy"), F.array("sxy", "syy")).alias("sigma"))
     return clusters.ellipsoid_pairs(e, 2.0)
 
 
-@query()
+@query(recursive(["pts2"], _tree(128) + """, k AS (SELECT c, n <= 128 AS leaf, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM t GROUP BY c, n),
+    p AS (SELECT CAST(1 AS BIGINT) AS row, CAST(1 AS BIGINT) AS col, CAST(NULL AS VARCHAR) AS kind, 0 AS step UNION ALL
+        SELECT r, c, CASE WHEN step = 0 THEN kind END, 1 - step FROM (
+            SELECT p.row AS r, p.col AS c, 0 AS step, CASE WHEN sqrt(greatest(a.x0-b.x1, b.x0-a.x1, 0)**2 + greatest(a.y0-b.y1, b.y0-a.y1, 0)**2)
+                >= least(sqrt((a.x1-a.x0)**2+(a.y1-a.y0)**2), sqrt((b.x1-b.x0)**2+(b.y1-b.y0)**2)) THEN 'far' WHEN a.leaf AND b.leaf THEN 'near' ELSE 'open' END AS kind
+                FROM p JOIN k a ON a.c = p.row JOIN k b ON b.c = p.col WHERE p.step = 0
+            UNION ALL SELECT CASE WHEN a.leaf THEN p.row ELSE 2*p.row + e END, CASE WHEN b.leaf THEN p.col ELSE 2*p.col + f END, 1, NULL
+                FROM p JOIN k a ON a.c = p.row JOIN k b ON b.c = p.col, range(2) u(e), range(2) w(f) WHERE p.step = 1 AND p.kind = 'open' AND (e = 0 OR NOT a.leaf) AND (f = 0 OR NOT b.leaf)))
+    SELECT row, col, kind FROM p WHERE step = 1 AND kind <> 'open'"""))
 def jns10_block_pairs(spark, d):
     tree, _ = clusters.cluster_tree(view(spark, d, "pts2"), ["x", "y"], min_size=128)
     return clusters.block_pairs(tree)
@@ -210,12 +229,15 @@ def win4_lexsort(spark, d):
     return ordering.lexsort(view(spark, d, "pts2"), ["x", "y"])
 
 
-@query()
+@query(recursive(["pts2"], """, t AS (SELECT id, x, y, CAST(0 AS BIGINT) AS lo, (SELECT count(*) FROM pts2) AS n, 0 AS depth FROM pts2 UNION ALL
+        SELECT id, x, y, CASE WHEN r < n//2 THEN lo ELSE lo + n//2 END, CASE WHEN r < n//2 THEN n//2 ELSE n - n//2 END, depth + 1 FROM
+        (SELECT *, row_number() OVER (PARTITION BY lo ORDER BY CASE WHEN depth%2 = 0 THEN x ELSE y END DESC, id) - 1 AS r FROM t WHERE n > 1))
+    SELECT id, lo AS place FROM t WHERE n = 1"""))
 def win5_geometric_sort(spark, d):
     return clusters.geometric_sort(view(spark, d, "pts2"), ["x", "y"], finish=1024)
 
 
-@query()
+@query(recursive(["pts2"], _tree(64) + " SELECT id, c AS cluster FROM t WHERE n <= 64"))
 def win6_cluster_members(spark, d):
     return clusters.cluster_tree(view(spark, d, "pts2"), ["x", "y"], min_size=64)[1]
 

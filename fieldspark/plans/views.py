@@ -42,6 +42,11 @@ def with_views(names: list[str], body: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({ORACLE[n]})" for n in names) + "\n" + body
 
 
+def recursive(names: list[str], body: str) -> str:
+    """As with_views, for bodies whose table expressions refer to themselves."""
+    return with_views(names, body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def grid_of(df: DataFrame) -> DataFrame:
     """The grid view as (i, j, v) with plain long indices."""
     return df.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "v")

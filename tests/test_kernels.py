@@ -79,19 +79,44 @@ def test_ellipsoids(spark):
                 hits.add((j, i))
     got = {(r.a, r.b) for r in clusters.ellipsoid_pairs(e, 1.3).collect()}
     assert got == hits
-    near, left, far, want, batch = hits | {(b, a) for a, b in hits}, list(range(25)), {i: math.inf for i in range(25)}, {}, 0
+    want = _batches(mu, hits)
+    assert {r.ell_id: r.batch for r in clusters.ellipsoid_batches(e, 1.3).collect()} == want
+
+
+def _batches(mu, hits):
+    """The sequential rule; hits: pairs of linked rows."""
+    near, left, far, want, batch = hits | {(b, a) for a, b in hits}, list(range(len(mu))), dict.fromkeys(range(len(mu)), math.inf), {}, 0
     while left:
         taken = []
         for i in sorted(left, key=lambda i: (-far[i], i)):
             if all((i, t) not in near for t in taken):
                 taken.append(i)
-        for t in taken:
-            want[t] = batch
-        left = [i for i in left if i not in taken]
+                want[i] = batch
+        left = [i for i in left if i not in want]
         for i in left:
             far[i] = min(far[i], *(((mu[i] - mu[t]) ** 2).sum() for t in taken))
         batch += 1
-    assert {r.ell_id: r.batch for r in clusters.ellipsoid_batches(e, 1.3).collect()} == want
+    return want
+
+
+@pytest.mark.parametrize("finish", [1 << 16, 12, 0])
+def test_ellipsoid_copies(spark, finish):
+    """Copies in any order, lone ones among them, against the sequential rule; with small components fitted in groups, with
+    some of them in groups, and with none."""
+    rng = np.random.default_rng(8)
+    places = [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0), (9.0, 0.0), (9.5, 0.5), (30.0, 0.0)]
+    which = rng.permutation([0] * 6 + [1] * 4 + [2] * 2 + [3] * 3 + [4] + [5] * 7)
+    sigma = [[[0.09, 0.0], [0.0, 0.09]], [[0.16, 0.0], [0.0, 0.16]]]
+    wide = rng.integers(0, 2, len(which)) * (which == 0)
+    mu = np.array([places[k] for k in which])
+    reach = 2.0 * (0.3 + 0.1 * wide)
+    hits = {(i, j) for j in range(len(mu)) for i in range(j) if np.linalg.norm(mu[i] - mu[j]) <= reach[i] + reach[j]}
+    e = spark.createDataFrame([(i, mu[i].tolist(), sigma[int(w)]) for i, w in enumerate(wide)], "ell_id long, mu array<double>, sigma array<array<double>>")
+    e = e.union(spark.createDataFrame([(99, None, None)], e.schema))
+    want = _batches(mu, hits)
+    assert {r.ell_id: r.batch for r in clusters.ellipsoid_batches(e, 2.0, finish=finish).collect()} == want
+    if finish == 12:
+        assert {r.ell_id: r.batch for r in clusters.ellipsoid_batches(e, 2.0, max_batches=3, finish=finish).collect()} == {i: b for i, b in want.items() if b < 3}
 
 
 def test_ellipsoid_batches_whole(spark, tmp_path):
@@ -283,6 +308,30 @@ def test_curves_and_complex(spark):
     assert abs(z.re) < 1e-12 and abs(z.im + 1) < 1e-12
 
 
+def test_derivative_weights(spark):
+    """The weights against complex waves at the points' own places, for a direction that isn't an axis."""
+    rng = np.random.default_rng(9)
+    p, way, k = rng.uniform(3, 4, size=(30, 2)), np.array([1.0, 2.0]), 8
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], "id long, x double, y double")
+    got = np.zeros((30, 30))
+    for r in geofit.derivative_operator(df, tuple(way), k=k).collect():
+        got[r.i, r.j] = r.v
+    for i in range(30):
+        dist = np.linalg.norm(p - p[i], axis=1)
+        js = np.argsort(dist)[:k]
+        lhs, rhs = [], []
+        for length in np.linspace(2, 20, 4) * 2 * dist[js].max():
+            for n in range(5):
+                angle = np.arctan2(way[1], way[0]) + 2 * np.pi * n / 5
+                wave = lambda x: np.exp(2j * np.pi / length * x @ [np.cos(angle), np.sin(angle)]) * length  # noqa: B023,E731
+                lhs.append(wave(p[js]))
+                rhs.append(2j * np.pi / length * (way @ [np.cos(angle), np.sin(angle)]) * wave(p[i]))
+        lhs, rhs = np.array(lhs), np.array(rhs)
+        a = np.concatenate([lhs.real, lhs.imag, 1e-8 * np.eye(k)])
+        want = np.linalg.lstsq(a, np.concatenate([rhs.real, rhs.imag, np.zeros(k)]), rcond=None)[0]
+        assert np.count_nonzero(got[i]) == k and np.allclose(got[i, js], want, rtol=1e-4, atol=1e-4 * np.abs(want).max())
+
+
 def test_fits(spark):
     rng = np.random.default_rng(6)
     p = rng.uniform(size=(60, 2))
@@ -292,7 +341,8 @@ def test_fits(spark):
     d = geofit.derivative_operator(df, (1.0, 0.0), k=12)
     u = matrix.apply(d, vec(spark, np.sin(p[:, 0])))
     assert np.abs(dense(u, 60) - np.cos(p[:, 0])).mean() < 0.2
-    at, w = p[:20], geofit.rbf_weights(p[:20], p[:20, 0], shape=0.3)
+    at = p[:20]
+    w = np.linalg.solve(np.exp(-((at[:, None] - at[None]) ** 2).sum(2) / 0.18), at[:, 0])
     c = spark.createDataFrame([(i, *map(float, r), float(x)) for i, (r, x) in enumerate(zip(at, w))], "id long, x double, y double, w double")
     got = {r.id: r.value for r in geofit.rbf_evaluate(df, c, ["x", "y"], 5.0, shape=0.3).collect()}
     assert np.allclose([got[i] for i in range(20)], at[:, 0], atol=1e-5)
