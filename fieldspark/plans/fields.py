@@ -181,13 +181,20 @@ def grd14_local_frames(spark, d):
     return got.groupBy("ell_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"), moment(dx, dx, "xx"), moment(dx, dy, "xy"), moment(dy, dy, "yy"))
 
 
-@query()
+@query(with_views(["pts2", "ell2"], """, g AS (SELECT floor(x) AS i, floor(y/10) AS j, count(*) AS v FROM pts2 GROUP BY 1, 2),
+    e AS (SELECT *, (sxx+syy)/2 AS mid, sqrt((sxx-syy)*(sxx-syy)/4 + sxy*sxy) AS dif, atan2(2*sxy, sxx-syy)/2 AS theta, sqrt(sxx*syy-sxy*sxy)*3.141592653589793*4 AS area FROM ell2),
+    f AS (SELECT *, 2*sqrt(mid+dif)*(a/2-1) AS u, 2*sqrt(greatest(mid-dif, 0))*(b-1) AS w FROM e, (SELECT CAST(unnest(range(5)) AS INT) AS a), (SELECT CAST(unnest(range(3)) AS INT) AS b)),
+    p AS (SELECT *, mx + u*cos(theta) - w*sin(theta) AS x, (my + u*sin(theta) + w*cos(theta))/10 AS y FROM f),
+    c AS (SELECT *, x BETWEEN -1e-15 AND 51+1e-15 AND y*10 BETWEEN -1e-15 AND 1000+1e-15 AS inside, greatest(0, least(floor(x), 50)) AS i0, greatest(0, least(floor(y), 99)) AS j0 FROM p),
+    o AS (SELECT * FROM range(2) k(k), range(2) l(l))
+    SELECT ell_id, a, b, round(CASE WHEN inside THEN sum((CASE k WHEN 1 THEN x-i0 ELSE 1-(x-i0) END)*(CASE l WHEN 1 THEN y-j0 ELSE 1-(y-j0) END)*coalesce(g.v, 0)) ELSE 0 END/area, 9) + 0.0 AS v
+    FROM c CROSS JOIN o LEFT JOIN g ON g.i = i0+k AND g.j = j0+l GROUP BY ell_id, a, b, inside, area"""))
 def grd14_frame_samples(spark, d):
     """Part counts on a unit lattice of size by price, sampled in each ellipse's frame and divided by its area."""
     counts = view(spark, d, "pts2").groupBy(F.floor("x").alias("i"), F.floor(F.col("y") / 10).alias("j")).agg(F.count(F.lit(1)).cast("double").alias("v"))
     g = grid.Grid(counts, (0.0, 0.0), (51.0, 1000.0), (52, 101))
     e = view(spark, d, "ell2").where("abs(sxy) < 5").withColumn("area", F.sqrt(F.col("sxx") * F.col("syy") - F.col("sxy") * F.col("sxy")) * 3.141592653589793 * 4)
-    return grid.sample_frames(grid.local_frames(e, (5, 3), 2.0), g, "ell_id", "area")
+    return grid.sample_frames(grid.local_frames(e, (5, 3), 2.0), g, "ell_id", "area").withColumn("v", F.round("v", 9) + 0.0)
 
 
 @query(with_views(["pts2"], """, p AS (SELECT DISTINCT x, y FROM pts2 WHERE x BETWEEN 5 AND 45 AND y BETWEEN 50 AND 950),

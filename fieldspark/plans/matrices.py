@@ -175,6 +175,19 @@ def mat11_alternate(spark, d):
     return lowrank.alternate(_coo(spark, d), rank=2, sweeps=2)[0]
 
 
+@query("""SELECT p_partkey AS i, round(CAST(sum(((1 + p_partkey%7)*(1 + n_nationkey%3) + (p_partkey%4)*(n_nationkey%5))*(1 + n_nationkey%3)) AS DOUBLE), 2) AS v
+    FROM part, nation GROUP BY 1""")
+def mat11_completion(spark, d):
+    """A matrix of rank 2 of parts by nations, of which only the pairs with order lines are known: the product of all of it."""
+    lines = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    i, j = F.col("l_partkey"), F.col("s_nationkey").cast("long")
+    known = stored(lines.select(i.alias("i"), j.alias("j"), ((1 + i % 7) * (1 + j % 3) + (i % 4) * (j % 5)).cast("double").alias("v")).distinct())
+    factors = lowrank.alternate(known, rank=2, sweeps=60, tol=1e-6)
+    if lowrank.fit_error(known, factors) > 1e-6:
+        raise RuntimeError("the alternating fit did not converge")
+    return lowrank.matvec(factors, _by_nation(spark, d)).withColumn("v", F.round("v", 2) + 0.0)
+
+
 @query(with_views(["coo"], "SELECT i, j, round(v, 6) AS v FROM coo UNION ALL SELECT -1, s_suppkey, 1 + s_suppkey%7 FROM supplier"))
 def mat12_fit_sparse(spark, d):
     """The order lines' quantities and one full row (-1), found again from products alone."""

@@ -180,11 +180,17 @@ def agg7_weighted_counts(spark, d):
     return at.join(lumps, "v_id").agg(F.round(F.sum("w"), 6).alias("total"))
 
 
-@query()
+@query(with_views(["pts2"], """, g AS (SELECT i, j, CAST(i AS DOUBLE) AS x, j*25.0::DOUBLE AS y FROM range(61) a(i), range(41) b(j)),
+    n AS (SELECT floor(x/3) AS bi, floor(y/50) AS bj, count(*) AS n FROM pts2 GROUP BY 1, 2),
+    h AS (SELECT *, least(floor(x/3), 16) AS bi, least(floor(y/50), 19) AS bj, x/3 - least(floor(x/3), 16) AS u, y/50 - least(floor(y/50), 19) AS w FROM g),
+    e AS (SELECT h.*, coalesce(n0.n, 0) AS v00, coalesce(n1.n, 0) AS v10, coalesce(n2.n, 0) AS v01, coalesce(n3.n, 0) AS v11 FROM h LEFT JOIN n n0 ON n0.bi = h.bi AND n0.bj = h.bj
+        LEFT JOIN n n1 ON n1.bi = h.bi+1 AND n1.bj = h.bj LEFT JOIN n n2 ON n2.bi = h.bi AND n2.bj = h.bj+1 LEFT JOIN n n3 ON n3.bi = h.bi+1 AND n3.bj = h.bj+1)
+    SELECT i, j, x AS x0, y AS x1, CASE WHEN (x-25)*(x-25)/900 + (y-500)*(y-500)/250000 > 1 THEN -1.0 WHEN x > 51 THEN 0.0
+        WHEN w <= u THEN round(v00*(1-u) + v10*(u-w) + v11*w, 6) ELSE round(v00*(1-w) + v01*(w-u) + v11*u, 6) END AS v FROM e"""))
 def grd12_mesh_on_grid(spark, d):
     """Counts of parts by mesh vertex (of their block), interpolated on a finer grid with a disk mask."""
     vertices, cells, maps = parts_mesh(spark)
     counts = view(spark, d, "pts2").groupBy((F.floor(F.col("x") / 3) * 21 + F.floor(F.col("y") / 50)).cast("long").alias("v_id")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     values = vertices.select("v_id").join(counts, "v_id", "left").select("v_id", F.coalesce("value", F.lit(0.0)).alias("value"))
     mask = (F.col("x0") - 25) ** 2 / 900 + (F.col("x1") - 500) ** 2 / 250000 <= 1
-    return mesh.grid_values(spark, [0.0, 0.0], [60.0, 1000.0], (61, 41), vertices, cells, maps, values, mask=mask, mask_fill=-1.0)
+    return mesh.grid_values(spark, [0.0, 0.0], [60.0, 1000.0], (61, 41), vertices, cells, maps, values, mask=mask, mask_fill=-1.0).withColumn("v", F.round("v", 6) + 0.0)
