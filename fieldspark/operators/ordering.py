@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import stored
+
 
 def threshold_crossings(series: DataFrame, thresholds: list[float], by: str = "series_id", k: str = "k", y: str = "y") -> DataFrame:
     """(series, threshold, first): the first k with y < threshold (strict), else -1, for every threshold given.
@@ -56,11 +58,13 @@ def to_batch(rows: DataFrame, starts: DataFrame, ind: str = "ind", batch: str =
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Adds the 0-based place of each row in a total order, by a range sort and numbers added up over its partitions."""
+    """Adds the 0-based place of each row in a total order, by a range sort and numbers added up over its partitions.
+
+    The sorted rows are written with their numbers before anything counts them: bounds of a range sort come from a sample,
+    which a second run of the same sort need not draw again.
+    """
     sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    shift = F.lit(33)
-    part = F.call_function("shiftright", F.col("_at"), shift).alias("_part")
-    tagged = sorted_.withColumn("_part", part)
+    tagged = stored(sorted_.withColumn("_part", F.call_function("shiftright", F.col("_at"), F.lit(33))))
     sizes = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
     base = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_base"))  # one row a partition
     return tagged.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_base", "_at")
