@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,7 +14,7 @@ from pyspark.sql.window import Window
 from .common import stored
 from .knn import nearest
 from .ordering import offsets, ranked
-from .spatial import Side, range_join
+from .spatial import Side, classes_of, members, range_join
 
 FINISH = 4096
 
@@ -118,14 +121,18 @@ def _golden(lam: np.ndarray, v: np.ndarray, tau: float, steps: int = 60) -> np.n
 
 
 def ellipsoid_pairs(ellipsoids: DataFrame, tau: float, key: str = "ell_id", mu: str = "mu", sigma: str = "sigma") -> DataFrame:
-    """(a, b), a < b: ellipsoids that intersect; boxes first, then the exact test in Arrow batches."""
+    """(a, b), a < b: ellipsoids that intersect; boxes first, then the exact test in Arrow batches, once for equal ones."""
     dim = ellipsoids.select(F.size(mu).alias("n")).first()
     if dim is None:
         return ellipsoids.select(F.col(key).alias("a"), F.col(key).alias("b")).where(F.lit(False))
     n = range(dim["n"])
     r = lambda i: tau * F.sqrt(F.col(sigma)[i][i])
     held = ellipsoids.select(F.col(key).alias("id"), mu, sigma, *((F.col(mu)[i] - r(i)).alias(f"lo{i}") for i in n), *((F.col(mu)[i] + r(i)).alias(f"hi{i}") for i in n))
-    s = Side(held, [f"lo{i}" for i in n], [f"hi{i}" for i in n])
+    s = Side(held, [f"lo{i}" for i in n], [f"hi{i}" for i in n], [mu, sigma])
+    found = classes_of(s)
+    if found:
+        one = found.side.df.withColumnsRenamed({"_k": "id"})
+        s = Side(one, s.lo, s.hi)
     near = range_join(s, s, F.col("l_id") < F.col("r_id")).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), F.col(f"l_{mu}").alias("ma"), F.col(f"r_{mu}").alias("mb"), F.col(f"l_{sigma}").alias("sa"), F.col(f"r_{sigma}").alias("sb"))
 
     def test(batches):
@@ -140,7 +147,14 @@ def ellipsoid_pairs(ellipsoids: DataFrame, tau: float, key: str = "ell_id", mu:
             yield pdf.loc[_golden(lam, v, tau) >= 0, ["a", "b"]]
 
     kind = dict(near.dtypes)["a"]
-    return near.mapInPandas(test, f"a {kind}, b {kind}")
+    pairs = near.mapInPandas(test, f"a {kind}, b {kind}")
+    if not found:
+        return pairs
+    twins = one.where(reduce(and_, [F.col(a) <= F.col(b) for a, b in zip(s.lo, s.hi)])).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    sizes = one.select("id", "_p")
+    met = pairs.union(twins).toDF("l__k", "r__k").join(sizes.toDF("l__k", "l__p"), "l__k").join(sizes.toDF("r__k", "r__p"), "r__k")
+    out = members(members(met, found, "l_", False), found, "r_", True).where((F.col("l__k") != F.col("r__k")) | (F.col("l_id") < F.col("r_id")))
+    return out.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"))
 
 
 def _components(edges: DataFrame, ids: DataFrame) -> DataFrame:

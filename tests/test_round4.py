@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldspark.operators import clusters, ordering
+from fieldspark.operators import clusters, ordering, spatial
 
 
 @pytest.fixture
@@ -30,3 +30,33 @@ def test_geometric_sort_with_sampled_bounds(spark, small_samples):
     t = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], "id long, x double, y double").repartition(8)
     got = clusters.geometric_sort(t, ["x", "y"], finish=1024).toPandas().sort_values("place")
     assert (got["id"].to_numpy() == clusters._numpy_sort(p, np.arange(6000), 0)).all()
+
+
+def test_copies_are_tested_once(spark):
+    """Many points on few places and equal boxes, corners and ids out of order, against all pairs."""
+    rng = np.random.default_rng(2)
+    places, boxes = rng.integers(0, 6, (12, 2)).astype(float), rng.integers(0, 6, (5, 2)).astype(float)
+    p, b = places[rng.integers(0, 12, 3000)], boxes[rng.integers(0, 5, 60)]
+    points = spark.createDataFrame([(i if i else None, *map(float, r)) for i, r in enumerate(p)], "id long, x double, y double")
+    held = spark.createDataFrame([(i, *map(float, r), *map(float, r + 2)) for i, r in enumerate(b)], "box long, x0 double, y0 double, x1 double, y1 double")
+    seen = []
+
+    def look(pairs):
+        seen.append(pairs.count())
+        return pairs
+
+    got = spatial.points_in_boxes(points, ["x", "y"], held, ["x0", "y0"], ["x1", "y1"], then=look)
+    hit = ((p[:, None] >= b[None]) & (p[:, None] <= b[None] + 2)).all(2)
+    want = sorted((int(i) or -1, int(j)) for i, j in zip(*np.nonzero(hit)))
+    assert sorted((-1 if r.l_id is None else r.l_id, r.r_box) for r in got.select("l_id", "r_box").collect()) == want
+    assert seen[0] <= 60
+
+
+def test_equal_ellipsoids(spark):
+    """Copies of ellipsoids pair with each other and with all copies of what they meet."""
+    rows = [(i, [float(i % 3) * 10, 0.0], [[1.0, 0.0], [0.0, 1.0]]) for i in range(30)]
+    rows += [(100 + i, [1.0, 0.0], [[1.0, 0.0], [0.0, 1.0]]) for i in range(4)]
+    e = spark.createDataFrame(rows, "ell_id long, mu array<double>, sigma array<array<double>>")
+    got = {(r.a, r.b) for r in clusters.ellipsoid_pairs(e, 1.0).collect()}
+    at = {r[0]: r[1][0] for r in rows}
+    assert got == {(a, b) for a in at for b in at if a < b and abs(at[a] - at[b]) <= 2}
