@@ -25,11 +25,23 @@ def _drain(spark, df, mode="append", path=None):
     return spark.read.schema(df.schema).parquet(path + "/out")
 
 
+def _drain_batches(spark, events, enrich):
+    """As _drain, for an enrichment that is run on micro-batches."""
+    path = _base(spark)
+    streams.enrich_batches(events, enrich, path + "/out", path + "/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path + "/out").drop("batch")
+
+
 @query(with_views(["pts2", "boxes2"], "SELECT id, box_id FROM pts2 JOIN boxes2 ON x >= x_lo AND x <= x_hi AND y >= y_lo AND y <= y_hi"))
 def str1_stream_boxes(spark, d):
     pts = _stream(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.round(F.col("p_retailprice") * 10) - 9000).alias("y"))
-    got = streams.enrich_with_boxes(pts, ["x", "y"], view(spark, d, "boxes2"), ["x_lo", "y_lo"], ["x_hi", "y_hi"], [5.0, 60.0])
-    return _drain(spark, got.select(F.col("l_id").alias("id"), F.col("r_box_id").alias("box_id")))
+    boxes = view(spark, d, "boxes2")
+
+    def enrich(batch):
+        got = streams.enrich_with_boxes(batch, ["x", "y"], boxes, ["x_lo", "y_lo"], ["x_hi", "y_hi"], [5.0, 60.0])
+        return got.select(F.col("l_id").alias("id"), F.col("r_box_id").alias("box_id"))
+
+    return _drain_batches(spark, pts, enrich)
 
 
 def _part_places(spark, d):
@@ -38,8 +50,13 @@ def _part_places(spark, d):
 
 @query(ORACLES["jns5_points_in_ellipsoids"])
 def str1_stream_ellipsoids(spark, d):
-    got = streams.enrich_with_ellipsoids(_part_places(spark, d), ["x", "y"], view(spark, d, "ell2"), ["mx", "my"], [["sxx", "sxy"], ["sxy", "syy"]], 2.0)
-    return _drain(spark, got.select(F.col("l_id").alias("id"), F.col("r_ell_id").alias("ell_id")))
+    ellipsoids = view(spark, d, "ell2")
+
+    def enrich(batch):
+        got = streams.enrich_with_ellipsoids(batch, ["x", "y"], ellipsoids, ["mx", "my"], [["sxx", "sxy"], ["sxy", "syy"]], 2.0)
+        return got.select(F.col("l_id").alias("id"), F.col("r_ell_id").alias("ell_id"))
+
+    return _drain_batches(spark, _part_places(spark, d), enrich)
 
 
 @query(ORACLES["loc1_locate"])

@@ -25,6 +25,16 @@ def enrich_with_ellipsoids(events: DataFrame, axes: list[str], ellipsoids: DataF
     return points_in_ellipsoids(events, axes, ellipsoids, mu, sigma, tau)
 
 
+def enrich_batches(events: DataFrame, enrich, path: str, checkpoint: str):
+    """A query that writes enrich(micro-batch) to the folder path/batch=N; there a join sees a table, so copies among a
+    batch's events are joined once and its tasks are spread. A batch that is run again replaces what it had written."""
+
+    def step(batch: DataFrame, n: int) -> None:
+        enrich(batch).write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+
+
 def enrich_with_cells(events: DataFrame, axes: list[str], maps: DataFrame, width: list[float], tol: float = 0.0) -> DataFrame:
     """events with `cell_id`, the smallest mesh cell whose affine coordinates of the event are all >= -tol (append mode).
 
