@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -141,6 +143,7 @@ def rbf_shape(centres: np.ndarray, target: float, kind: str = "gaussian", steps:
 
 
 def rbf_evaluate(points: DataFrame, centres: DataFrame, axes: list[str], radius: float, kind: str = "gaussian", shape: float = 1.0, key: str = "id") -> DataFrame:
-    """(key, value): sum of w phi over the centres (id, .., w) within the radius."""
-    near = kernel_values(centres, points, axes, radius, kind, shape)
-    return near.groupBy(F.col("l_" + key).alias(key)).agg(F.sum(F.col("phi") * F.col("r_w")).alias("value"))
+    """(key, value): sum of w phi over the centres (id, .., w) within the radius; points of one place are summed once."""
+    near = kernel_values(centres, stored(points.select(*axes).distinct()), axes, radius, kind, shape)
+    sums = near.groupBy(*(F.col("l_" + a).alias("_" + a) for a in axes)).agg(F.sum(F.col("phi") * F.col("r_w")).alias("value"))
+    return points.join(sums, reduce(and_, [F.col(a) == F.col("_" + a) for a in axes])).select(key, "value")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldspark.operators import clusters, ordering, spatial
+from fieldspark.operators import clusters, geofit, ordering, spatial
 
 
 @pytest.fixture
@@ -60,3 +60,14 @@ def test_equal_ellipsoids(spark):
     got = {(r.a, r.b) for r in clusters.ellipsoid_pairs(e, 1.0).collect()}
     at = {r[0]: r[1][0] for r in rows}
     assert got == {(a, b) for a in at for b in at if a < b and abs(at[a] - at[b]) <= 2}
+
+
+def test_radial_sums_once_a_place(spark, monkeypatch):
+    """Points on one place share one sum over the centres, and each gets its row."""
+    points = spark.createDataFrame([(i, float(i % 2), 0.0) for i in range(400)], "id long, x double, y double")
+    centres = spark.createDataFrame([(7, 0.0, 0.0, 2.0), (8, 1.0, 0.0, 3.0), (9, 90.0, 0.0, 5.0)], "id long, x double, y double, w double")
+    asked, plain = [], geofit.kernel_values
+    monkeypatch.setattr(geofit, "kernel_values", lambda c, p, *a: asked.append(p.count()) or plain(c, p, *a))
+    got = {r.id: r.value for r in geofit.rbf_evaluate(points, centres, ["x", "y"], 5.0, "gaussian", 1.0).collect()}
+    e = np.exp(-0.5)
+    assert asked == [2] and len(got) == 400 and np.allclose([got[0], got[1], got[399]], [2 + 3 * e, 3 + 2 * e, 3 + 2 * e])
