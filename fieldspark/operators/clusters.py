@@ -17,6 +17,8 @@ from .ordering import offsets, ranked
 from .spatial import Side, classes_of, members, range_join
 
 FINISH = 4096
+#: Links of one group at most while a table of classes is finished in it.
+LINKS = 1 << 20
 
 
 def _numpy_sort(p: np.ndarray, ids: np.ndarray, depth: int) -> np.ndarray:
@@ -171,9 +173,10 @@ def _components(edges: DataFrame, ids: DataFrame) -> DataFrame:
         cur = new.select("id", "l")
 
 
-def _first_fit(members: pd.DataFrame, links: pd.DataFrame) -> np.ndarray:
-    """The batch of each row (c, id), ids ascending: the first that neither its class nor a linked class (a, b) holds."""
-    near, used = links.groupby("a")["b"].agg(list).to_dict(), dict.fromkeys(members["c"], 0)  # batches as bits
+def _first_fit(members: pd.DataFrame, links: pd.DataFrame, used: dict | None = None) -> np.ndarray:
+    """The batch of each row (c, id), ids ascending: the first that neither its class nor a linked class (a, b) holds; used:
+    the batches, as bits, that classes hold already."""
+    near, used = links.groupby("a")["b"].agg(list).to_dict(), dict.fromkeys(members["c"], 0) | (used or {})
     out = []
     for c in members["c"]:
         taken = used[c]
@@ -185,6 +188,55 @@ def _first_fit(members: pd.DataFrame, links: pd.DataFrame) -> np.ndarray:
     return np.array(out, dtype=np.int32)
 
 
+def _farthest_first(state: pd.DataFrame, links: pd.DataFrame, nexts: pd.DataFrame, batch: int, most: int) -> tuple[list, np.ndarray]:
+    """(class, id, batch) of the next batches, at most `most`, until every centre has been come to; and the distances then.
+
+    state (c, mu, n, used, far), links (a, b) in both directions, nexts (c, id, r): members of place r within their class.
+    """
+    state = state.sort_values("c").reset_index(drop=True)
+    c, mu, far = state["c"].to_numpy(), np.array(state["mu"].tolist(), float), state["far"].to_numpy(float).copy()
+    used, n, at = state["used"].to_numpy().copy(), state["n"].to_numpy(), {v: k for k, v in enumerate(c)}
+    near: list[list[int]] = [[] for _ in c]
+    for a, b in zip(links["a"], links["b"]):
+        if a in at and b in at:
+            near[at[a]].append(at[b])
+    ids = {(at[x], r): i for x, i, r in zip(nexts["c"], nexts["id"], nexts["r"])}
+    out: list = []
+    for step in range(most):
+        left = np.flatnonzero(used < n)
+        if not len(left) or far[left].max() == 0:
+            break
+        blocked, taken = np.zeros(len(c), bool), []
+        for k in sorted(left.tolist(), key=lambda k: (-far[k], ids[k, used[k]])):
+            if not blocked[k]:
+                taken.append(k)
+                blocked[near[k]] = True
+        out += [(c[k], ids[k, used[k]], batch + step) for k in taken]
+        used[taken] += 1
+        for s in range(0, len(c), 1024):  # the places in slices
+            dsq = np.zeros((len(c[s : s + 1024]), len(taken)))
+            for x in mu.T:
+                d = x[taken][None, :] - x[s : s + 1024, None]
+                dsq += d * d
+            far[s : s + 1024] = np.minimum(far[s : s + 1024], dsq.min(axis=1))
+    return out, pd.DataFrame({"c": c, "far": far})
+
+
+def _stretch(left: DataFrame, edges: DataFrame, nexts: DataFrame, batch: int, most: int, kind: str) -> DataFrame:
+    """(c, id, batch, far): the members that _farthest_first takes, and the distances of the classes on rows without an id."""
+    blank = {"mu": "array<double>", "n": "long", "used": "long", "far": "double", "b": kind, "id": kind, "r": "long"}
+    wide = lambda df, what, c: df.select(F.lit(1).alias("g"), F.lit(what).alias("what"), F.col(c).alias("c"), *(F.col(x).cast(t).alias(x) if x in df.columns else (F.col(c) if x in ("b", "id") else F.array() if x == "mu" else F.lit(0)).cast(t).alias(x) for x, t in blank.items()))  # noqa: E731, no nulls, so that whole numbers stay whole
+    both = wide(left, 0, "c").union(wide(edges, 1, "a")).union(wide(nexts.select("c", "id", "r"), 2, "c"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, links, nexts = (pdf[pdf["what"] == w] for w in (0, 1, 2))
+        out, ends = _farthest_first(state[["c", "mu", "n", "used", "far"]], links[["c", "b"]].rename(columns={"c": "a"}), nexts, batch, most)
+        rows = [(c, i, b, None) for c, i, b in out] + [(c, None, None, f) for c, f in zip(ends["c"], ends["far"])]
+        return pd.DataFrame({n: pd.array([r[k] for r in rows], dtype=t) for k, (n, t) in enumerate((("c", object), ("id", object), ("batch", "Int32"), ("far", "Float64")))})
+
+    return both.groupBy("g").applyInPandas(run, f"c {kind}, id {kind}, batch int, far double")
+
+
 def ellipsoid_batches(ellipsoids: DataFrame, tau: float, key: str = "ell_id", mu: str = "mu", sigma: str = "sigma", max_batches: int | None = None, finish: int = 1 << 16) -> DataFrame:
     """(key, batch): farthest-first independent batches; every ellipsoid ends in one batch (or in none, beyond max_batches).
 
@@ -193,10 +245,12 @@ def ellipsoid_batches(ellipsoids: DataFrame, tau: float, key: str = "ell_id", mu
     taken and their neighbours dropped, which gives the sequential answer.
 
     Equal ellipsoids are one class, known by its smallest key, so links don't grow with copies; a batch takes at most the
-    next member of a class. Once a batch has come to every centre, the order is that of the keys for good and batches are
-    a first fit: a class without links takes one batch after the other, and the members of a component with up to `finish`
-    members and links are fitted in one group. Only larger components go on batch by batch, and are looked at again when
-    half of their members are placed. Rows with null in the key, mu or sigma are left out.
+    next member of a class. While there are at most `finish` classes and LINKS links, the batches up to the one that has come to every
+    centre are made in one group, a stretch at a time with at most `finish` members. From then on the order is that of the
+    keys for good and batches are a first fit: a class without links takes one batch after the other, the members of a
+    component with up to `finish` members and links are fitted in one group, and larger components in the order of the keys,
+    `finish` members at a time, with the links of their classes and the batches that these hold. Rows with null in the
+    key, mu or sigma are left out.
     """
     rows = ellipsoids.select(F.col(key).alias("id"), F.col(mu).alias("mu"), F.col(sigma).alias("sigma")).dropna()
     classes = stored(rows.groupBy("mu", "sigma").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("n")))
@@ -211,10 +265,10 @@ def ellipsoid_batches(ellipsoids: DataFrame, tau: float, key: str = "ell_id", mu
     pairs = stored(ellipsoid_pairs(classes, tau, "c", "mu", "sigma"))
     edges = stored(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     left = stored(classes.select("c", "mu", "n", F.lit(0).cast("long").alias("used"), F.lit(float("inf")).alias("far")))
-    out, batch, due = [], 0, None
+    out, batch = [], 0
 
-    def settled(left: DataFrame, batch: int) -> tuple[list[DataFrame], DataFrame]:
-        """Batches of small components and lone classes, and the classes of the others."""
+    def settled(left: DataFrame, batch: int) -> list[DataFrame]:
+        """The batches of all that is left: first fit in the order of the keys."""
         ids = left.select(F.col("c").alias("id"))
         live = stored(edges.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi"))
         parts = left.join(_components(live, ids).withColumnRenamed("id", "c"), "c")
@@ -231,14 +285,47 @@ def ellipsoid_batches(ellipsoids: DataFrame, tau: float, key: str = "ell_id", mu
             return pd.DataFrame({key: pdf["id"].to_numpy(), "batch": batch + _first_fit(pdf, links)})
 
         fitted = stored(rest(small).select("id", "c", "l")).groupBy("l").cogroup(stored(mine).groupBy("m")).applyInPandas(fit, f"`{key}` {kind}, batch int")
-        return [stored(ones), stored(fitted)], stored(parts.where(~lone & ~small).select(left.columns))
-
+        big = ~lone & ~small
+        queue = stored(ranked(stored(rest(big).select("id", "c", "l")), [F.col("id")], "_place"))
+        wide = stored(live.join(parts.where(big).select(F.col("c").alias("a"), F.col("l").alias("m")), "a").select("a", "b", "m"))
+        done, total, size = [stored(ones), stored(fitted)], queue.count(), max(1, finish)
+        placed = None  # (c, batch) of the members of larger components so far
+
+        def go_on(pdf: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+            pdf, known = pdf.sort_values("id"), links[links["held"].notna()]
+            used = {c: sum(1 << (int(b) - batch) for b in held) for c, held in zip(known["a"], known["held"])}
+            got = batch + _first_fit(pdf, links[links["held"].isna()], used)
+            return pd.DataFrame({"c": pdf["c"].to_numpy(), "id": pdf["id"].to_numpy(), "batch": got})
+
+        for start in range(0, total, size):
+            block = stored(queue.where(F.col("_place").between(start, start + size - 1)).select("id", "c", "l"))
+            mine = stored(wide.join(block.select(F.col("c").alias("a")).distinct(), "a", "left_semi"))
+            table = mine.select("a", "b", "m", F.lit(None).cast("array<int>").alias("held"))
+            if placed is not None:
+                asked = mine.select(F.col("b").alias("c"), "m").union(block.select("c", F.col("l").alias("m"))).distinct()
+                held = placed.join(asked, "c").groupBy("c", "m").agg(F.collect_set("batch").alias("held"))
+                table = table.union(held.select(F.col("c").alias("a"), F.col("c").alias("b"), "m", "held"))
+            new = stored(block.groupBy("l").cogroup(table.groupBy("m")).applyInPandas(go_on, f"c {kind}, id {kind}, batch int"))
+            placed = new.select("c", "batch") if placed is None else placed.union(new.select("c", "batch"))
+            done.append(new.select(F.col("id").alias(key), "batch"))
+        return done
+
+    links = edges.count()
     while not left.isEmpty() and (max_batches is None or batch < max_batches):
-        open_ = left.agg(F.sum(F.col("n") - F.col("used")).alias("n"), F.max("far").alias("far")).first()
-        if open_["far"] == 0 and (due is None or open_["n"] <= due):
-            done, left = settled(left, batch)
-            out.extend(done)
-            due = open_["n"] // 2
+        open_ = left.agg(F.sum(F.col("n") - F.col("used")).alias("n"), F.max("far").alias("far"), F.count(F.lit(1)).alias("k")).first()
+        if open_["far"] == 0:
+            out.extend(settled(left, batch))
+            break
+        if open_["k"] <= finish and links // 2 <= LINKS:
+            most = max(1, finish // open_["k"])
+            nexts = members.join(left.select("c", "used"), "c").where((F.col("r") >= F.col("used")) & (F.col("r") < F.col("used") + most))
+            done = stored(_stretch(left, edges, nexts, batch, most, kind))
+            out.append(done.where("id is not null").select(F.col("id").alias(key), "batch"))
+            taken = done.where("id is not null").groupBy("c").agg(F.count(F.lit(1)).alias("_t"))
+            ends = done.where("id is null").select("c", F.col("far").alias("_far"))
+            left = left.join(taken, "c", "left").join(ends, "c").withColumns({"used": F.col("used") + F.coalesce("_t", F.lit(0)), "far": F.col("_far")}).drop("_t", "_far")
+            left = stored(left.where("used < n").select("c", "mu", "n", "used", "far"))
+            batch = done.agg(F.max("batch")).first()[0] + 1
             continue
         at = stored(left.join(members.withColumnRenamed("r", "used"), ["c", "used"]).select("c", "id", F.struct((-F.col("far")).alias("f"), F.col("id").alias("id")).alias("o")))
         todo, taken = at, None
