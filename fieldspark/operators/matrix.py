@@ -14,6 +14,8 @@ from .lowrank import row_products
 
 #: Numbers of probes that are sent to all tasks at once.
 SENT = 1 << 21
+#: Entries of patches that are changed together.
+PATCHED = 1 << 16
 
 
 def apply(a: DataFrame, x: DataFrame, transpose: bool = False) -> DataFrame:
@@ -250,15 +252,30 @@ def weighted_patch_apply(a: DataFrame, left: DataFrame, right: DataFrame, x: Dat
 
 
 def _per_patch(entries: DataFrame, change) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([pdf["i"], pdf["j"]]))
-        m = np.zeros((len(ids), len(ids)))
-        np.add.at(m, (np.searchsorted(ids, pdf["i"]), np.searchsorted(ids, pdf["j"])), pdf["v"])
-        out = change((m + m.T) / 2)
-        r, c = np.meshgrid(ids, ids, indexing="ij")
-        return pd.DataFrame({"patch_id": pdf["patch_id"].iloc[0], "i": r.ravel(), "j": c.ravel(), "v": out.ravel()})
+    """change(stack of symmetric matrices) of each patch; patches share groups of some PATCHED entries, and those of one size
+    are changed at once."""
+    held = stored(entries.select("patch_id", "i", "j", "v"))
+    groups = 1 + held.count() // PATCHED
 
-    return entries.groupBy("patch_id").applyInPandas(run, "patch_id long, i long, j long, v double")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        patch, p = np.unique(pdf["patch_id"].to_numpy(), return_inverse=True)
+        ends = pd.DataFrame({"p": np.concatenate([p, p]), "i": np.concatenate([pdf["i"], pdf["j"]])}).drop_duplicates().sort_values(["p", "i"], ignore_index=True)
+        start, size = np.searchsorted(ends["p"], np.arange(len(patch))), np.bincount(ends["p"])
+        ends["at"] = np.arange(len(ends)) - start[ends["p"]]
+        at = [pd.DataFrame({"p": p, "i": pdf[c].to_numpy()}).merge(ends, on=["p", "i"], how="left")["at"].to_numpy() for c in ("i", "j")]
+        names, out = ends["i"].to_numpy(), []
+        for n in np.unique(size):
+            some = np.flatnonzero(size == n)
+            no = np.full(len(patch), -1)
+            no[some] = np.arange(len(some))
+            mine = no[p] >= 0
+            m = np.zeros((len(some), n, n))
+            np.add.at(m, (no[p[mine]], at[0][mine], at[1][mine]), pdf["v"].to_numpy(float)[mine])
+            ids = names[start[some][:, None] + np.arange(n)]
+            out.append(pd.DataFrame({"patch_id": np.repeat(patch[some], n * n), "i": np.repeat(ids, n, axis=1).ravel(), "j": np.tile(ids, (1, n)).ravel(), "v": change((m + m.transpose(0, 2, 1)) / 2).ravel()}))
+        return pd.concat(out)
+
+    return held.groupBy(F.pmod(F.xxhash64("patch_id"), F.lit(groups)).alias("g")).applyInPandas(run, "patch_id long, i long, j long, v double")
 
 
 def patch_positive(entries: DataFrame, flip: bool = False) -> DataFrame:
@@ -266,7 +283,7 @@ def patch_positive(entries: DataFrame, flip: bool = False) -> DataFrame:
 
     def change(m: np.ndarray) -> np.ndarray:
         w, u = np.linalg.eigh(m)
-        return (u * (np.abs(w) if flip else np.maximum(w, 0))) @ u.T
+        return (u * (np.abs(w) if flip else np.maximum(w, 0))[:, None, :]) @ u.transpose(0, 2, 1)
 
     return _per_patch(entries, change)
 
@@ -276,6 +293,6 @@ def patch_sqrt(entries: DataFrame) -> DataFrame:
 
     def change(m: np.ndarray) -> np.ndarray:
         w, u = np.linalg.eigh(m)
-        return (u * np.sqrt(np.maximum(w, 0))) @ u.T
+        return (u * np.sqrt(np.maximum(w, 0))[:, None, :]) @ u.transpose(0, 2, 1)
 
     return _per_patch(entries, change)
