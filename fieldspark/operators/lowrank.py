@@ -252,6 +252,7 @@ def alternate(a: DataFrame, rank: int, sweeps: int = 10, ridge: float = 1e-8, se
     tol over 0 the sweeps end when the residual, relative to the entries, is at most tol or no longer shrinks by a
     thousandth; a residual over tol is then the best that this start comes to. `fit_error` returns it.
     """
+    a = stored(a.select("i", "j", "v").repartition("i").sortWithinPartitions("i"))  # a row's entries together: its sums end in the task that reads them
     y = stored(to_row_table(probes(a.select(F.col("j").alias("i")).distinct(), rank, seed), rank))
     x = None
 
