@@ -57,19 +57,36 @@ def binary(op: Callable[[Column, Column], Column], u: Column, v: Column, t: T.Da
     return op(u, v)
 
 
-def reduce(leaf: Callable[[Column], Column], combine: Callable[[Column, Column], Column], u: Column, t: T.DataType) -> Column:
-    """Left fold of combine over leaf(x) in container order; null for a tree without leaves (as for any null leaf)."""
+def _leaves(leaf: Callable[[Column], Column], u: Column, t: T.DataType) -> Column:
+    """Array of leaf(x) for the numbers of u in container order, in which u stands once a field."""
+    none = F.array()
     if isinstance(t, T.StructType):
-        out = None
+        parts, run = [], []
         for f in t.fields:
-            part = reduce(leaf, combine, u[f.name], f.dataType)
-            out = part if out is None else F.when(out.isNull(), part).when(part.isNull(), out).otherwise(combine(out, part))
-        return out if out is not None else F.lit(None)
-    if isinstance(t, (T.ArrayType, T.MapType)):
-        items, kind = (u, t.elementType) if isinstance(t, T.ArrayType) else (F.map_values(u), t.valueType)
-        parts = F.filter(F.transform(items, lambda x: reduce(leaf, combine, x, kind)), lambda x: x.isNotNull())
-        return F.when(F.size(parts) > 0, F.reduce(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.get(parts, F.lit(0)), combine))
-    return leaf(u)
+            if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
+                parts += [F.array(*run)] if run else []
+                run = []
+                parts.append(_leaves(leaf, u[f.name], f.dataType))
+            else:
+                run.append(leaf(u[f.name]))
+        parts += [F.array(*run)] if run else []
+        return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else none
+    items, kind = (u, t.elementType) if isinstance(t, T.ArrayType) else (F.map_values(u), t.valueType)
+    if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+        return F.coalesce(F.flatten(F.transform(items, lambda x: _leaves(leaf, x, kind))), none)
+    return F.coalesce(F.transform(items, leaf), none)
+
+
+def reduce(leaf: Callable[[Column], Column], combine: Callable[[Column, Column], Column], u: Column, t: T.DataType) -> Column:
+    """Left fold of combine over leaf(x) in container order; nulls are left out, and a tree without leaves gives null.
+
+    The leaves are folded as one array, so that each is worked out once whatever the depth.
+    """
+    if not isinstance(t, (T.StructType, T.ArrayType, T.MapType)):
+        return leaf(u)
+    leaves = _leaves(leaf, u, t)
+    start = F.when(F.lit(False), F.get(leaves, F.lit(0)))  # a null of the leaves' type; the optimizer drops the rest
+    return F.aggregate(leaves, start, lambda s, x: F.when(s.isNull(), x).when(x.isNull(), s).otherwise(combine(s, x)))
 
 
 def leafwise(fold: Callable[[Column], Column], u: Column, t: T.DataType) -> Column:
