@@ -127,13 +127,34 @@ def row_sums(data: DataFrame, kernel, params: np.ndarray, size: int) -> np.ndarr
 
 
 class LeastSquares:
-    """misfit ||f(m) - y||^2 / 2 + ridge ||m||^2 / 2 over data rows; model(pdf, m) returns predictions and Jacobian rows."""
+    """misfit ||f(m) - y||^2 / 2 + ridge ||m||^2 / 2 over data rows; model(pdf, m) returns predictions and Jacobian rows.
 
-    def __init__(self, data: DataFrame, model, y: str, size: int, ridge: float = 0.0):
-        self.data, self.model, self.y, self.size, self.ridge = data, model, y, size, ridge
+    linear: the Jacobian doesn't depend on m. Then one pass over all rows sums the products of the Jacobian's columns and the
+    residual at zero, and every misfit, gradient and product comes from these; else each of them is a pass of its own.
+    """
+
+    def __init__(self, data: DataFrame, model, y: str, size: int, ridge: float = 0.0, linear: bool = False):
+        self.data, self.model, self.y, self.size, self.ridge, self.linear = data, model, y, size, ridge, linear
         self._last: tuple | None = None
+        self._sums: np.ndarray | None = None
+
+    def _products(self) -> np.ndarray:
+        """[J r]' [J r] for the residual r at zero, of a linear model."""
+        if self._sums is None:
+            model, y = self.model, self.y
+
+            def kernel(pdf, m):
+                f, jac = model(pdf, m)
+                both = np.column_stack([jac, f - pdf[y].to_numpy(float)])
+                return (both.T @ both).ravel()
+
+            self._sums = row_sums(self.data, kernel, np.zeros(self.size), (self.size + 1) ** 2).reshape(self.size + 1, -1)
+        return self._sums
 
     def _at(self, m: np.ndarray) -> tuple[float, np.ndarray]:
+        if self.linear:
+            s, to = self._products(), np.append(m, 1.0)
+            return float(to @ s @ to / 2 + self.ridge * (m @ m) / 2), (s @ to)[:-1] + self.ridge * m
         if self._last is None or not np.array_equal(self._last[0], m):
             model, y = self.model, self.y
 
@@ -154,6 +175,8 @@ class LeastSquares:
 
     def hessian(self, m: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Gauss-Newton product."""
+        if self.linear:
+            return self._products()[:-1, :-1] @ p + self.ridge * p
         model = self.model
 
         def kernel(pdf, mp):

@@ -67,7 +67,7 @@ def _prices(spark, d):
         return jac @ m, jac
 
     rows = table(spark, d, "lineitem").select("l_quantity", "l_tax", "l_discount", F.log("l_extendedprice").alias("y"))
-    return iterate.LeastSquares(rows, model, "y", 4, ridge=1e-6), rows
+    return iterate.LeastSquares(rows, model, "y", 4, ridge=1e-6, linear=True), rows
 
 
 def _as_rows(spark, rows, m):
