@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -107,66 +108,92 @@ def first_crossings(series: DataFrame, threshold: float, key: str = "series_id",
 
 
 class _Episodes(StatefulProcessor):
-    """The open episodes of a key, (start, end, first) in microseconds (first -1 without a crossing), each with a timer."""
+    """The open episodes of a group of keys: (key, start, end, first) in microseconds (first -1 without a crossing), as one
+    Arrow table, with a timer for the one that closes next."""
 
     def __init__(self, threshold: float, gap: int, y: str, key: str):
         self.threshold, self.gap, self.y, self.key = threshold, gap, y, key
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "start long, end long, first long")
+        self.open = handle.getValueState("open", "held binary")
 
-    def _ends(self, end: int) -> int:
+    def _ends(self, end):
         return (end + self.gap) // 1000
 
-    def _merged(self, spans: np.ndarray) -> np.ndarray:
-        """Spans less than the gap apart become one, with the earliest crossing of its parts."""
-        spans = spans[np.argsort(spans[:, 0], kind="stable")]
-        reach = np.maximum.accumulate(spans[:, 1])
-        at = np.flatnonzero(np.r_[True, spans[1:, 0] - reach[:-1] >= self.gap])
+    def _merged(self, keys: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Spans of a key less than the gap apart become one, with the earliest crossing of its parts."""
+        code, _ = pd.factorize(keys)  # a group's keys are all null (one key) or none is
+        order = np.lexsort((spans[:, 0], code))
+        keys, spans, code = keys[order], spans[order], code[order]
+        reach = pd.Series(spans[:, 1]).groupby(code).cummax().to_numpy()
+        at = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (spans[1:, 0] - reach[:-1] >= self.gap)])
         first = np.minimum.reduceat(np.where(spans[:, 2] < 0, np.iinfo(np.int64).max, spans[:, 2]), at)
-        return np.stack([spans[at, 0], np.maximum.reduceat(spans[:, 1], at), np.where(first == np.iinfo(np.int64).max, -1, first)], 1)
+        return keys[at], np.stack([spans[at, 0], np.maximum.reduceat(spans[:, 1], at), np.where(first == np.iinfo(np.int64).max, -1, first)], 1)
+
+    def _held(self) -> tuple[np.ndarray, np.ndarray]:
+        t = pa.ipc.open_stream(bytes(self.open.get()[0])).read_all()
+        return t.column(0).to_numpy(), np.stack([t.column(1 + i).to_numpy() for i in range(3)], 1)
+
+    def _keep(self, keys: np.ndarray, spans: np.ndarray) -> None:
+        """Store what is open and wake up when the first of it closes."""
+        if not len(keys):
+            self.open.clear()
+            return
+        t = pa.table([pa.array(keys, from_pandas=True), *(pa.array(np.ascontiguousarray(spans[:, i])) for i in range(3))], names=["key", "start", "end", "first"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema) as out:
+            out.write_table(t)
+        self.open.update((sink.getvalue().to_pybytes(),))
+        self.handle.registerTimer(int(self._ends(spans[:, 1].min())))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        spans = np.array([tuple(x) for x in self.open.get()] if self.open.exists() else [], np.int64).reshape(-1, 3)
+        held = self._held() if self.open.exists() else None
         for pdf in rows:
             if not len(pdf):
                 continue
             t = pdf["at_us"].to_numpy(np.int64)
             low = pdf[self.y].to_numpy(float) < self.threshold  # a null is not under the threshold
-            spans = self._merged(np.concatenate([spans, np.stack([t, t, np.where(low, t, -1)], 1)]))
-        if not len(spans):
-            return iter(())
-        self.open.put([tuple(map(int, x)) for x in spans])
-        for end in spans[:, 1]:
-            self.handle.registerTimer(self._ends(int(end)))
+            keys, spans = self._merged(pdf[self.key].to_numpy(), np.stack([t, t, np.where(low, t, -1)], 1))
+            held = (keys, spans) if held is None else self._merged(np.concatenate([held[0], keys]), np.concatenate([held[1], spans]))
+        if held is not None:
+            self._keep(*held)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        spans = [tuple(x) for x in self.open.get()] if self.open.exists() else []
-        done = [x for x in spans if self._ends(x[1]) <= now]  # none, if the episode has grown since the timer was set
-        rest = [x for x in spans if self._ends(x[1]) > now]
-        self.open.put(rest) if rest else self.open.clear()
-        if done:
-            yield pd.DataFrame({self.key: [key[0]] * len(done), "start": [x[0] for x in done], "end": [x[1] for x in done], "first": pd.array([x[2] if x[2] >= 0 else None for x in done], dtype="Int64")})
+        if not self.open.exists():
+            return
+        keys, spans = self._held()
+        done = self._ends(spans[:, 1]) <= timerValues.getCurrentWatermarkInMs()  # none, if the episode has grown since the timer was set
+        self._keep(keys[~done], spans[~done])
+        if done.any():
+            first = pd.array(spans[done, 2], dtype="Int64")
+            first[spans[done, 2] < 0] = pd.NA
+            yield pd.DataFrame({self.key: keys[done], "start": spans[done, 0], "end": spans[done, 1], "first": first})
 
     def close(self) -> None:
         pass
 
 
-def crossing_episodes(series: DataFrame, threshold: float, gap_seconds: int, late: str, key: str = "series_id", ts: str = "ts", y: str = "y") -> DataFrame:
+#: Groups of keys; a group that gets rows or closes an episode costs one call of Python a micro-batch.
+GROUPS = 1024
+
+
+def crossing_episodes(series: DataFrame, threshold: float, gap_seconds: int, late: str, key: str = "series_id", ts: str = "ts", y: str = "y", groups: int = GROUPS) -> DataFrame:
     """(key, start, end, first): first time under the threshold in each episode of a series, null if there is none; times in
     microseconds since 1970.
 
     An episode is a run of rows less than the gap apart in event time. It comes out, once and whole, when an event-time
     timer finds the watermark past its end by the gap, and takes its state along: a quiet series keeps nothing. Rows in any
     order count, also those that join two open episodes; rows behind the watermark are dropped. Append mode; needs the
-    RocksDB state store.
+    RocksDB state store. Series are dealt into groups by a hash, which are changed at once, so calls and timers grow with
+    the groups and not with the series; a group's open episodes are read and written whole, so take more groups than the
+    default for very many series. The number of groups is part of the checkpoint.
     """
     kind = dict(series.dtypes)[key]
-    held = series.withWatermark(ts, late).select(key, ts, F.unix_micros(ts).alias("at_us"), F.col(y).cast("double").alias(y)).where(F.col(ts).isNotNull())
-    return held.groupBy(key).transformWithStateInPandas(_Episodes(threshold, gap_seconds * 1_000_000, y, key), f"{key} {kind}, start long, end long, first long", "Append", "EventTime")
+    group = F.when(F.col(key).isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64(key), F.lit(groups).cast("long")))
+    held = series.withWatermark(ts, late).select(group.alias("_group"), key, ts, F.unix_micros(ts).alias("at_us"), F.col(y).cast("double").alias(y)).where(F.col(ts).isNotNull())
+    return held.groupBy("_group").transformWithStateInPandas(_Episodes(threshold, gap_seconds * 1_000_000, y, key), f"{key} {kind}, start long, end long, first long", "Append", "EventTime")
 
 
 def first_crossing_times(series: DataFrame, threshold: float, window: str, late: str, key: str = "series_id", ts: str = "ts", y: str = "y") -> DataFrame:
