@@ -7,6 +7,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,23 +198,84 @@ def norm_squared(a: tuple[DataFrame, DataFrame]) -> float:
     return float((gram(a[0]) * gram(a[1])).sum())
 
 
+#: Pivots between two writings of the residual.
+PIVOTS = 8
+
+
 def cross_full(a: DataFrame, rtol: float, min_rank: int = 0, max_rank: int = 200) -> list[tuple[int, int]]:
     """Pivots (i, j) of cross approximation with full pivoting of (i, j, v); see cross_factors for the factors.
 
-    Each step takes the largest absolute residual (ties: smallest i, then j), broadcasts its row and column and updates the
-    residual table; it stops at ||R|| <= rtol ||A||. The zero matrix has no pivots.
+    Each step takes the largest absolute residual (ties: smallest i, then j); it stops at ||R|| <= rtol ||A||. The zero
+    matrix has no pivots. The entries are stored once as lines along the side with more ids, so a line of a complete table
+    is no longer than the root of its entries. A line holds what a step changes in it but for the pivot's line, which
+    passes through the driver: steps read the lines without a join or shuffle, take away the pivots since the residual was
+    last written, and write it after every PIVOTS.
     """
-    rest, pivots = stored(a.select("i", "j", "v")), []
-    total = rest.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
-    while total and len(pivots) < max_rank:
-        row = rest.agg(F.sum(F.col("v") * F.col("v")).alias("s"), F.max_by(F.struct("i", "j", "v"), F.struct(F.abs("v"), -F.col("i"), -F.col("j"))).alias("p")).first()
-        if not row.s or (math.sqrt(row.s) <= rtol * math.sqrt(total) and len(pivots) >= min_rank):
+    entries = a.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v")).dropna()
+    n = entries.agg(F.approx_count_distinct("i"), F.approx_count_distinct("j")).first()
+    line, place = ("i", "j") if n[0] >= n[1] else ("j", "i")
+    lines = entries.groupBy(F.col(line).alias("line")).agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), "v"))).alias("e"))
+    rest = stored(lines.select("line", F.col("e.p").alias("p"), F.col("e.v").alias("v")))
+    pivots, taken = [], []  # taken: (place, value, places of the pivot's line, values there) since the last writing
+    shape = "line long, p array<long>, v array<double>"
+
+    def residual(batch, taken):
+        """Bounds of the lines, places and what is left of their values."""
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column(1)).to_numpy())])
+        p, v = (batch.column(c).flatten().to_numpy() for c in (1, 2))
+        v, of = v.copy(), np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        for at, pivot, places, values in taken:
+            here = np.flatnonzero(p == at)
+            c = np.zeros(len(ends) - 1)
+            c[of[here]] = v[here]
+            k = np.minimum(np.searchsorted(places, p), len(places) - 1)
+            v -= np.where(places[k] == p, values[k], 0.0) * c[of] / pivot
+        return ends, of, p, v
+
+    def largest(taken):
+        def run(batches):
+            total, best = 0.0, None
+            for batch in batches:
+                if batch.num_rows:
+                    _, of, p, v = residual(batch, taken)
+                    total += float(v @ v)
+                    size = np.abs(v)
+                    tied = np.flatnonzero(size == size.max(initial=0.0))
+                    if len(tied):
+                        ids = batch.column(0).to_numpy()[of[tied]], p[tied]
+                        i, j = ids if line == "i" else ids[::-1]
+                        one = np.lexsort((j, i))[0]
+                        found = (-float(size[tied[one]]), int(i[one]), int(j[one]), float(v[tied[one]]))
+                        best = found if best is None else min(best, found)
+            if best is not None:
+                yield pa.RecordBatch.from_pydict({"s": [total], "size": [-best[0]], "i": [best[1]], "j": [best[2]], "v": [best[3]]})
+
+        return run
+
+    def written(taken):
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    ends, _, p, v = residual(batch, taken)
+                    offsets = pa.array(ends, pa.int32())
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(p)), pa.ListArray.from_arrays(offsets, pa.array(v))], names=["line", "p", "v"])
+
+        return run
+
+    norm = None
+    while len(pivots) < max_rank:
+        tops = rest.mapInArrow(largest(taken), "s double, size double, i long, j long, v double")
+        row = tops.agg(F.sum("s").alias("s"), F.max_by(F.struct("i", "j", "v"), F.struct("size", -F.col("i"), -F.col("j"))).alias("p")).first()
+        norm = math.sqrt(row.s or 0.0) if norm is None else norm
+        if not row.s or (math.sqrt(row.s) <= rtol * norm and len(pivots) >= min_rank):
             break
         i, j, v = row.p
         pivots.append((i, j))
-        r = rest.where(F.col("i") == i).select("j", F.col("v").alias("rv"))
-        c = rest.where(F.col("j") == j).select("i", F.col("v").alias("cv"))
-        rest = stored(rest.join(r, "j", "left").join(c, "i", "left").select("i", "j", (F.col("v") - F.coalesce(F.col("rv") * F.col("cv") / v, F.lit(0.0))).alias("v")))
+        mine, at = (i, j) if line == "i" else (j, i)
+        held = next(iter(rest.where(F.col("line") == mine).mapInArrow(written(taken), shape).collect()))
+        taken.append((at, v, np.array(held.p, np.int64), np.array(held.v, np.float64)))
+        if len(taken) == PIVOTS:
+            rest, taken = stored(rest.mapInArrow(written(taken), shape)), []
     return pivots
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldspark.functions import nested
-from fieldspark.operators import iterate
+from fieldspark.operators import iterate, lowrank
 from fieldspark.plans.streams import _with_timers
 from fieldspark.streaming import streams
 
@@ -72,3 +72,29 @@ def test_episodes_of_many_series_share_groups(spark, tmp_path):
                 low = e["t"][e["y"] < 5]
                 want.append(str((None if pd.isna(k) else int(k), int(e["t"].min()), int(e["t"].max()), int(low.min()) if len(low) else None)))
     assert got == sorted(want) and len(want) > 100
+
+
+def test_full_pivoting_writes_lines_and_shuffles_no_entries(spark, monkeypatch):
+    """The pivots of the plain rule on a matrix and its transpose, ties included; entries are stored as lines, once and again
+    after every eight pivots."""
+    rng = np.random.default_rng(9)
+    m = np.round(rng.normal(size=(40, 12)), 1)
+    m[5], m[7, 3], m[2, 8], m[30, 3] = 0.0, 9.0, -9.0, 9.0
+    kept = []
+    monkeypatch.setattr(lowrank, "stored", lambda df, keep=lowrank.stored: kept.append(df.columns) or keep(df))
+
+    def plain(m):
+        rest, out = m.copy(), []
+        while np.linalg.norm(rest) > 1e-9 * np.linalg.norm(m):
+            i, j = np.unravel_index(np.abs(rest).argmax(), m.shape)
+            out.append((int(i), int(j)))
+            rest = rest - rest[i][None, :] * rest[:, j][:, None] / rest[i, j]
+        return out
+
+    for a in (m, m.T):
+        kept.clear()
+        rows = [(int(i), int(j), float(a[i, j])) for i in range(a.shape[0]) for j in range(a.shape[1])]
+        got = lowrank.cross_full(spark.createDataFrame(rows, "i long, j long, v double").repartition(3), 1e-9)
+        assert got == plain(a) and len(got) == 12
+        assert kept == [["line", "p", "v"]] * 2
+    assert lowrank.cross_full(spark.createDataFrame([(0, 0, 0.0), (0, 1, 0.0)], "i long, j long, v double"), 1e-9) == []
