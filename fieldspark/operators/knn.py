@@ -120,12 +120,17 @@ def _best(rows: np.ndarray, dsq: np.ndarray, item: np.ndarray, k: int) -> np.nda
 
 
 class Tile:
-    """The points of a tile in leaves."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x
-        self.rank = np.empty(len(ids), np.int64)  # ids of any type compare by rank
-        self.rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    """The points of a tile in leaves; of points at one place those with the `want` smallest ids, as no others are an answer."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, want: int):
+        rank = np.empty(len(ids), np.int64)  # ids of any type compare by rank
+        rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        order = np.lexsort((rank, *(x[:, a] for a in range(x.shape[1]))))
+        fresh = np.append(True, (x[order[1:]] != x[order[:-1]]).any(axis=1))[: len(order)]
+        at = np.arange(len(order))
+        keep = np.sort(order[at - np.maximum.accumulate(np.where(fresh, at, 0)) < want])
+        self.ids, self.x, self.rank = ids[keep], x[keep], rank[keep]
+        x = self.x
         self.tree = Tree(x, LEAF)
         self.tree.bound(*(np.array([f(x[m]) for m in self.tree.members]) for f in (lambda v: v.min(axis=0), lambda v: v.max(axis=0))))
 
@@ -172,7 +177,7 @@ def _kth(rows, dsq, n, k):
     return out
 
 
-def _by_tile(batches, d: int):
+def _by_tile(batches, d: int, want: int):
     """(tile number, Tile, q, far, places) for each stretch of queries in rows (tile, salt, kind, id, q, far, places...) that
     are sorted by tile, salt and kind, points before queries."""
     held, last = [], None
@@ -191,7 +196,7 @@ def _by_tile(batches, d: int):
                 held.append((batch.column(3).slice(s, e - s).to_numpy(zero_copy_only=False), x[s:e]))
                 continue
             if isinstance(held, list):
-                held = Tile(*(np.concatenate(c) for c in zip(*held)))  # every leaf of the sample has points
+                held = Tile(*(np.concatenate(c) for c in zip(*held)), want)  # every leaf of the sample has points
             yield int(tile[s] >> 20), held, batch.column(4).slice(s, e - s).to_numpy(zero_copy_only=False), batch.column(5).slice(s, e - s).to_numpy(zero_copy_only=False), x[s:e]
 
 
@@ -245,7 +250,7 @@ def nearest(points: DataFrame, queries: DataFrame, axes: list[str], k: int, poin
 
     def solve(first: bool):
         def run(batches):
-            for home, tile, q, far, x in _by_tile(batches, d):
+            for home, tile, q, far, x in _by_tile(batches, d, want):
                 rows, at, dsq = tile.nearest(x, q if others else None, k, None if first else far)
                 rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
                 more: list = [None] * len(q)

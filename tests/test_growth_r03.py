@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldspark.functions import nested
-from fieldspark.operators import iterate, lowrank
+from fieldspark.operators import iterate, knn, lowrank
 from fieldspark.plans.streams import _with_timers
 from fieldspark.streaming import streams
 
@@ -98,3 +98,19 @@ def test_full_pivoting_writes_lines_and_shuffles_no_entries(spark, monkeypatch):
         assert got == plain(a) and len(got) == 12
         assert kept == [["line", "p", "v"]] * 2
     assert lowrank.cross_full(spark.createDataFrame([(0, 0, 0.0), (0, 1, 0.0)], "i long, j long, v double"), 1e-9) == []
+
+
+def test_tiles_keep_few_points_of_a_place():
+    """Of 400 copies of a place a tile holds those that can be an answer, and the nearest are those of all points."""
+    rng = np.random.default_rng(10)
+    places = rng.integers(0, 6, (25, 2)).astype(float)
+    x = places[rng.integers(0, 25, 10_000)]
+    ids = rng.permutation(10_000)
+    asked = rng.integers(0, 60, (50, 2)) / 10.0
+    tile = knn.Tile(ids, x, 3)
+    assert len(tile.ids) == 3 * len(np.unique(x, axis=0))
+    rows, at, dsq = tile.nearest(asked, None, 3)
+    for r in range(50):
+        far = ((x - asked[r]) ** 2).sum(axis=1)
+        want = np.lexsort((ids, far))[:3]
+        assert tile.ids[at[rows == r]].tolist() == ids[want].tolist() and np.allclose(dsq[rows == r], far[want])
