@@ -96,10 +96,9 @@ def _sketches(units: DataFrame) -> DataFrame:
     """(id, k, w): number of distinct shingles and the parity bitmap of the lines (id, u)."""
     each = units.select("id.lk", "id.lk2", F.explode(F.array_distinct(_hashes(F.col("u")))).alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
-    word = F.shiftright("h", 6).bitwiseAND(F.lit(PARITY - 1)).alias("word")
-    some = each.groupBy("lk", "lk2", word).agg(F.count(F.lit(1)).alias("k"), F.bit_xor(bit).alias("x"))
-    words = [F.coalesce(F.max(F.when(F.col("word") == i, F.col("x"))), F.lit(0).cast("long")).alias(f"w{i}") for i in range(PARITY)]
-    got = some.groupBy("lk", "lk2").agg(F.sum("k").alias("k"), *words)
+    each = each.select("lk", "lk2", F.shiftright("h", 6).bitwiseAND(F.lit(PARITY - 1)).alias("word"), bit.alias("bit"))
+    words = [F.bit_xor(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(PARITY)]
+    got = each.groupBy("lk", "lk2").agg(F.count(F.lit(1)).alias("k"), *words)
     return got.select(F.struct("lk", "lk2").alias("id"), "k", F.struct(*(f"w{i}" for i in range(PARITY))).alias("w"))
 
 
